@@ -21,13 +21,13 @@ def skewed(spark, folder):
         "l_linenumber",
         "l_quantity",
         "l_extendedprice",
-        F.when(F.col("l_linenumber") != 2, price * price / 1000).alias("heavy"),
+        F.when(F.col("l_linenumber") != 2, price * price).alias("heavy"),
     )
 
 
 SQL_SKEWED = (
     "(SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, "
-    "CASE WHEN l_linenumber <> 2 THEN l_extendedprice * l_extendedprice / 1000 END AS heavy FROM lineitem)"
+    "CASE WHEN l_linenumber <> 2 THEN l_extendedprice * l_extendedprice END AS heavy FROM lineitem)"
 )
 
 
@@ -107,12 +107,12 @@ def drop_missing_rows(spark, folder):
     "clip_outliers", "CLN-5", "FUN-4",
     sql=f"WITH b AS ({sql_bounds(SQL_SKEWED, SKEWED)}) SELECT l_orderkey, l_linenumber, "
     + ", ".join(
-        f"round(CASE WHEN s.{c} IS NOT NULL THEN greatest(lo_{c}, least(hi_{c}, s.{c})) END, 6) AS {c}" for c in SKEWED
+        f"CASE WHEN s.{c} IS NOT NULL THEN greatest(lo_{c}, least(hi_{c}, s.{c})) END AS {c}" for c in SKEWED
     )
     + f" FROM {SQL_SKEWED} AS s, b",
 )
 def clip_outliers(spark, folder):
-    return rounded(C.clip_outliers(skewed(spark, folder), SKEWED)[0], *SKEWED)
+    return C.clip_outliers(skewed(spark, folder), SKEWED)[0]
 
 
 _keep = " AND ".join(f"(s.{c} IS NULL OR s.{c} BETWEEN lo_{c} AND hi_{c})" for c in SKEWED)
@@ -121,10 +121,10 @@ _keep = " AND ".join(f"(s.{c} IS NULL OR s.{c} BETWEEN lo_{c} AND hi_{c})" for c
 @query(
     "remove_outliers_joint", "CLN-7",
     sql=f"WITH b AS ({sql_bounds(SQL_SKEWED, SKEWED)}) SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, "
-    f"round(heavy, 6) AS heavy FROM {SQL_SKEWED} AS s, b WHERE {_keep}",
+    f"heavy FROM {SQL_SKEWED} AS s, b WHERE {_keep}",
 )
 def remove_outliers_joint(spark, folder):
-    return rounded(C.remove_outliers(skewed(spark, folder), SKEWED)[0], "heavy")
+    return C.remove_outliers(skewed(spark, folder), SKEWED)[0]
 
 
 def _sequential_sql():
@@ -135,13 +135,13 @@ def _sequential_sql():
             f"s{i} AS (SELECT s.* FROM {source} AS s, b{i} WHERE s.{c} IS NULL OR lo_{c} = hi_{c} OR s.{c} BETWEEN lo_{c} AND hi_{c})"
         )
         source = f"s{i}"
-    return f"WITH {', '.join(steps)} SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, round(heavy, 6) AS heavy FROM {source}"
+    return f"WITH {', '.join(steps)} SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, heavy FROM {source}"
 
 
 @query("remove_outliers_sequential", "CLN-6", sql=_sequential_sql())
 def remove_outliers_sequential(spark, folder):
     df, _ = C.remove_outliers(skewed(spark, folder), ["heavy", "l_extendedprice", "l_quantity"], mode="sequential")
-    return rounded(df, "heavy")
+    return df
 
 
 @query("drop_constant_columns", "CLN-8", sql="SELECT c_custkey, c_nationkey, c_mktsegment FROM customer")

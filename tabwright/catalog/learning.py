@@ -114,12 +114,12 @@ def linear_importance(spark, folder):
 
 
 _nb_sql = """
-    WITH t AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
+    WITH t AS (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
         CASE l_returnflag WHEN 'A' THEN 0.0 WHEN 'N' THEN 1.0 ELSE 2.0 END::DOUBLE AS label FROM lineitem),
     c AS (SELECT label, count(*) / (SELECT count(*) FROM t) AS prior, avg(l_quantity) AS m1, var_pop(l_quantity) + 1e-9 AS v1,
         avg(l_extendedprice) AS m2, var_pop(l_extendedprice) + 1e-9 AS v2, avg(l_discount) AS m3, var_pop(l_discount) + 1e-9 AS v3
       FROM t GROUP BY label),
-    p AS (SELECT l_orderkey, l_linenumber, c.label, ln(prior) - 0.5 * ln(2 * pi() * v1) - 0.5 * ln(2 * pi() * v2) - 0.5 * ln(2 * pi() * v3)
+    p AS (SELECT r, l_orderkey, l_linenumber, c.label, ln(prior) - 0.5 * ln(2 * pi() * v1) - 0.5 * ln(2 * pi() * v2) - 0.5 * ln(2 * pi() * v3)
         - ((l_quantity - m1) ** 2 / (2 * v1) + (l_extendedprice - m2) ** 2 / (2 * v2) + (l_discount - m3) ** 2 / (2 * v3)) AS lp
       FROM t, c)
 """
@@ -136,11 +136,11 @@ NB_FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 @query(
     "gaussian_nb_returnflag", "SUP-11", "SCO-1",
-    sql=_nb_sql + "SELECT l_orderkey, l_linenumber, arg_max(label, lp) AS prediction, round(max(lp), 6) AS log_density FROM p GROUP BY ALL",
+    sql=_nb_sql + "SELECT l_orderkey, l_linenumber, arg_max(label, lp) AS prediction, round(max(lp), 6) AS log_density FROM p GROUP BY r, l_orderkey, l_linenumber",
 )
 def gaussian_nb_returnflag(spark, folder):
-    df = _flagged(spark, folder).dropDuplicates(["l_orderkey", "l_linenumber", *NB_FEATURES])
-    model = L.fit_naive_bayes(_flagged(spark, folder), NB_FEATURES, "label")
+    df = _flagged(spark, folder)
+    model = L.fit_naive_bayes(df, NB_FEATURES, "label")
     best = F.round(F.array_max(F.array(*model.scores())), 6)
     return df.select("l_orderkey", "l_linenumber", model.predict().alias("prediction"), best.alias("log_density"))
 

@@ -137,10 +137,9 @@ def clip_outliers(df: DataFrame, columns: Sequence[str], factor: float = 1.5):
     """(table, log): values beyond the quartile fences are moved onto them."""
     bounds = iqr_bounds(df, columns, factor, skip_flat=True)
     counts = outside_counts(df, bounds)
-    clipped = df.withColumns({c: clamp(number(df, c), *bounds[c]) for c in bounds}) if bounds else df
-    # least/greatest skip NULL, so blanks have to be put back
-    for c in bounds:
-        clipped = clipped.withColumn(c, F.when(number(df, c).isNotNull(), F.col(quoted(c))))
+    # least and greatest skip NULL, so blanks are kept apart
+    kept = {c: F.when(number(df, c).isNotNull(), clamp(number(df, c), *bounds[c])) for c in bounds}
+    clipped = df.withColumns(kept) if bounds else df
     return clipped, _outlier_log(df, counts, bounds, "clip")
 
 

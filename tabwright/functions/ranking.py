@@ -17,6 +17,9 @@ def _sortable(df: DataFrame, name: str, ascending: bool) -> Column:
     value = F.col(name)
     if isinstance(kind, T.TimestampType):
         value = F.unix_micros(value)
+    elif isinstance(kind, T.TimestampNTZType):
+        seconds = F.unix_date(value.cast("date")).cast("long") * 86_400 + F.hour(value) * 3_600 + F.minute(value) * 60
+        value = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
     elif isinstance(kind, T.DateType):
         value = F.unix_date(value)
     value = value.cast("double")

@@ -68,3 +68,318 @@ def cross_validate(
         )
         out = score if out is None else out.unionByName(score)
     return out
+
+
+@dataclass
+class Fitted:
+    """A trained learner: how it scores a table and what it weighs."""
+
+    algorithm: str
+    features: list[str]
+    score: Callable[[DataFrame], DataFrame]
+    importance: list[tuple[str, float]] = field(default_factory=list)
+    model: Any = None
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        """The table with a `prediction` column."""
+        return self.score(df)
+
+
+def _top_importance(names: Sequence[str], weights: Sequence[float], top: int = 10) -> list[tuple[str, float]]:
+    """Shares of the weights, largest first, without zeros."""
+    whole = sum(weights)
+    if not whole:
+        return []
+    shares = [(name, float(w) / whole) for name, w in zip(names, weights, strict=True) if w > 0]
+    return sorted(shares, key=lambda item: (-item[1], item[0]))[:top]
+
+
+def _weights(model: Any, size: int) -> list[float]:
+    """Impurity importance of trees, absolute weights of linear models, summed over classes."""
+    if hasattr(model, "models"):
+        parts = [_weights(m, size) for m in model.models]
+        return [sum(p[i] for p in parts) for i in range(size)]
+    if hasattr(model, "featureImportances"):
+        return [float(v) for v in model.featureImportances.toArray()]
+    if hasattr(model, "coefficientMatrix"):
+        return [float(v) for v in abs(model.coefficientMatrix.toArray()).sum(axis=0)]
+    if hasattr(model, "coefficients"):
+        return [float(v) for v in abs(model.coefficients.toArray())]
+    return []
+
+
+def depth_for(rows: int, deepest: int) -> int:
+    """Tree depth that grows with the table, between 3 and `deepest`."""
+    return min(deepest, max(3, max(rows, 1).bit_length() - 1))
+
+
+def estimator(
+    algorithm: str, classification: bool, rows: int, classes: int = 2, params: Mapping[str, float] | None = None
+):
+    """Spark's learner for an algorithm with the usual settings, or the given ones.
+
+    Differences to a gradient-descent build of the same learners: Spark's optimiser has no
+    learning rate for logistic and support-vector models, and trees split on binned values.
+    """
+    p = dict(params or {})
+    columns = {"featuresCol": "features", "labelCol": "label"}
+    tree = {
+        **columns,
+        "maxDepth": int(p.get("maxDepth", depth_for(rows, 15 if algorithm == "decision_tree" else 8))),
+        "minInstancesPerNode": max(1, int(p.get("minSamples", 2)) // 2),
+        "seed": SEED,
+    }
+    if algorithm == "logistic_regression":
+        return LogisticRegression(**columns, maxIter=int(p.get("epochs", 200)), regParam=p.get("lambda", 0.01))
+    if algorithm == "linear_regression":
+        return LinearRegression(**columns, regParam=p.get("lambda", 0.0))
+    if algorithm == "decision_tree":
+        return (DecisionTreeClassifier if classification else DecisionTreeRegressor)(**tree)
+    if algorithm == "random_forest":
+        kind = RandomForestClassifier if classification else RandomForestRegressor
+        return kind(**tree, numTrees=int(p.get("nTrees", 10)), featureSubsetStrategy="sqrt")
+    if algorithm == "gradient_boosting":
+        boost = {
+            **columns, "maxIter": int(p.get("nTrees", 30)), "stepSize": p.get("learningRate", 0.1),
+            "maxDepth": int(p.get("maxDepth", 4)), "seed": SEED,
+        }
+        if not classification:
+            return GBTRegressor(**boost)
+        return GBTClassifier(**boost) if classes <= 2 else OneVsRest(classifier=GBTClassifier(**boost), parallelism=4, **columns)
+    if algorithm == "svm":
+        margin = LinearSVC(**columns, maxIter=int(p.get("epochs", 100)), regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)))
+        return margin if classes <= 2 else OneVsRest(classifier=margin, parallelism=4, **columns)
+    if algorithm == "naive_bayes":
+        return NaiveBayes(**columns, modelType="gaussian", smoothing=p.get("smoothing", 1e-9))
+    raise ValueError(f"unknown algorithm {algorithm!r}")
+
+
+def _with_expression(prediction: Column) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: df.withColumn("prediction", prediction)
+
+
+def fit(
+    algorithm: str,
+    train: DataFrame,
+    features: Sequence[str],
+    classification: bool,
+    params: Mapping[str, float] | None = None,
+    key: str = "row_id",
+) -> Fitted:
+    """Train one learner on columns `features` and `label`; nearest neighbours also need an integer key."""
+    p = dict(params or {})
+    names = list(features)
+    if algorithm == "baseline":
+        model = learners.fit_baseline(train, "label", classification)
+        return Fitted(algorithm, names, _with_expression(model.predict(names)), [], model)
+    if algorithm in ("linear_regression", "ridge_regression"):
+        linear = algorithm == "linear_regression"
+        penalty = p.get("lambda", 0.001 if linear else 1.0)
+        model = (learners.fit_linear if linear else learners.fit_ridge)(train, names, "label", penalty)
+        return Fitted(algorithm, names, _with_expression(model.predict()), model.importance(), model)
+    if algorithm == "naive_bayes":
+        model = learners.fit_naive_bayes(train, names, "label", p.get("smoothing", 1e-9))
+        return Fitted(algorithm, names, _with_expression(model.predict()), [], model)
+    rows = train.count()
+    if algorithm == "knn":
+        return _fit_knn(train, names, min(int(p.get("k", 5)), max(1, rows // 2)), key)
+    classes = int(train.agg(F.countDistinct("label")).first()[0]) if classification else 0
+    steps: list = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
+    if algorithm == "svm":
+        steps = [
+            VectorAssembler(inputCols=names, outputCol="raw_features", handleInvalid="keep"),
+            StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),
+        ]
+    learner = estimator(algorithm, classification, rows, classes, p)
+    fitted = Pipeline(stages=[*steps, learner]).fit(train)
+    importance = _top_importance(names, _weights(fitted.stages[-1], len(names)) or [0.0] * len(names))
+    return Fitted(algorithm, names, fitted.transform, importance, fitted)
+
+
+def _fit_knn(train: DataFrame, names: list[str], k: int, key: str) -> Fitted:
+    """Standardised features; every training row stays a possible neighbour."""
+    from tabwright.operators.clean import apply_scale, fit_scale
+    from tabwright.operators.neighbors import as_vector, classify_by_neighbors, nearest
+
+    scales = fit_scale(train, names)
+
+    def points(df):
+        return as_vector(apply_scale(df, scales), names).withColumn("id", F.col(key).cast("long"))
+
+    def score(df):
+        found = nearest(points(df), points(train), k)
+        labels = train.select(F.col(key).cast("long").alias("neighbor"), "label")
+        votes = classify_by_neighbors(found, labels, k)
+        return df.join(votes.select(F.col("id").alias(key), F.col("label").alias("prediction")), key, "left")
+
+    return Fitted("knn", names, score)
+
+
+def save_model(model: Model, path: str) -> None:
+    """Write a fitted Spark model so that another job can load it."""
+    model.write().overwrite().save(path)
+
+
+def rank_candidates(
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    classification: bool,
+    algorithms: Sequence[str] | None = None,
+    folds: int = 0,
+    key: str = "row_id",
+):
+    """(leaderboard, fitted learners by algorithm), best first.
+
+    Learners are tried one after another, baseline included; one that fails keeps a row with its
+    error. With `folds` the rank follows the cross-validated score over all rows.
+    """
+    spark = train.sparkSession
+    wanted = list(dict.fromkeys([*(algorithms or CANDIDATES[classification]), "baseline"]))
+    main = "accuracy" if classification else "r2"
+    measure = classification_metrics if classification else regression_metrics
+    train, test = train.persist(), test.persist()
+    rows, trained = [], {}
+    try:
+        for algorithm in wanted:
+            started = time.time()
+            try:
+                fitted = fit(algorithm, train, features, classification, key=key)
+                measured = [measure(fitted.predict(part), "label", "prediction").first().asDict() for part in (train, test)]
+            except Exception as error:  # a learner that cannot handle this table must not stop the others
+                rows.append((algorithm, "error", str(error)[:200], None, None, None, None, None))
+                continue
+            trained[algorithm] = fitted
+            took = time.time() - started
+            cv = None
+            if folds and algorithm != "baseline":
+                cv = _cv_score(algorithm, train.unionByName(test), features, classification, folds, key)
+            clean = [{k: float(v) for k, v in m.items() if v is not None} for m in measured]
+            importance = [{"feature": f, "importance": s} for f, s in fitted.importance]
+            rows.append((algorithm, "ok", None, clean[1], clean[0], importance, took, cv))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    board = spark.createDataFrame(
+        rows,
+        "algorithm string, status string, message string, test_metrics map<string,double>, "
+        "train_metrics map<string,double>, feature_importance array<struct<feature:string,importance:double>>, "
+        "duration_sec double, cv_score double",
+    )
+    score = F.col("cv_score") if folds else F.col("test_metrics")[main]
+    return board.withColumn("score", score).orderBy(F.desc_nulls_last("score"), "algorithm"), trained
+
+
+def _cv_score(algorithm, df, features, classification, folds, key):
+    df = df.withColumn("_fold", F.floor(unit_hash(key) * folds))
+    measure = classification_metrics if classification else regression_metrics
+    scores = []
+    for number in range(folds):
+        try:
+            fitted = fit(algorithm, df.where(F.col("_fold") != number), features, classification, key=key)
+            held_out = fitted.predict(df.where(F.col("_fold") == number))
+            scores.append(float(measure(held_out, "label", "prediction").first()["accuracy" if classification else "r2"]))
+        except Exception:  # a fold that cannot be trained counts as 0
+            scores.append(0.0)
+    return sum(scores) / len(scores)
+
+
+def range_values(low: float, high: float, step: float, about: int = 8) -> list[float]:
+    """The step grid of a parameter, thinned to about `about` values with both ends kept."""
+    values = [round(low + i * step, 3) for i in range(int((high - low) / step + 1e-9) + 1)]
+    if len(values) <= about:
+        return values
+    stride = len(values) // (about - 1)
+    return [*values[: len(values) - 1 : stride], values[-1]]
+
+
+def parameter_grid(ranges: Mapping[str, Sequence[float]]) -> Iterator[dict[str, float]]:
+    """Every combination of the thinned ranges."""
+    lists = [range_values(*r[:3]) for r in ranges.values()]
+    for combination in product(*lists):
+        yield dict(zip(ranges, combination, strict=True))
+
+
+def random_parameters(ranges: Mapping[str, Sequence[float]], draws: int = 20, seed: int = SEED) -> list[dict[str, float]]:
+    """Seeded draws from the step grid."""
+    random = Random(seed)
+    return [
+        {name: round(low + random.randint(0, round((high - low) / step)) * step, 3) for name, (low, high, step, *_) in ranges.items()}
+        for _ in range(draws)
+    ]
+
+
+def parameter_ranges(spark) -> DataFrame:
+    """Tunable parameters as rows."""
+    return spark.createDataFrame(
+        [(a, name, *map(float, r)) for a, ranges in TUNABLE.items() for name, r in ranges.items()],
+        "algorithm string, parameter string, low double, high double, step double, usual double",
+    )
+
+
+def grid_table(ranges: DataFrame, about: int = 8) -> DataFrame:
+    """Combinations of parameter values from rows (name, low, high, step), one column per name.
+
+    The lists hold at most 13 values each; they are opened one after the other, without a join.
+    """
+    last = F.floor((F.col("high") - F.col("low")) / F.col("step") + 1e-9).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), last), lambda i: F.round(F.col("low") + i * F.col("step"), 3))
+    stride = F.greatest(F.lit(1), F.floor(F.size("grid") / (about - 1)).cast("int"))
+    thin = F.filter("grid", lambda v, i: (F.size("grid") <= about) | (i == F.size("grid") - 1) | (i % stride == 0))
+    lists = ranges.withColumn("grid", grid).select("name", thin.alias("values"))
+    names = [r.name for r in lists.select("name").orderBy("name").collect()]
+    row = lists.agg(F.map_from_entries(F.collect_list(F.struct("name", "values"))).alias("m"))
+    for name in names:
+        row = row.select("m", *[n for n in names if n in row.columns], F.explode(F.col("m")[name]).alias(name))
+    return row.drop("m")
+
+
+@dataclass
+class Tuning:
+    trials: DataFrame
+    best_params: dict[str, float]
+    best_score: float
+    original_score: float
+
+    @property
+    def improvement(self) -> float:
+        return self.best_score - self.original_score
+
+
+def tune(
+    algorithm: str,
+    train: DataFrame,
+    test: DataFrame,
+    features: Sequence[str],
+    classification: bool,
+    combinations: Sequence[Mapping[str, float]],
+    original_score: float = 0.0,
+    key: str = "row_id",
+) -> Tuning:
+    """Fit every combination, score it on the held-out part; a trial that fails ranks last."""
+    spark = train.sparkSession
+    measure = classification_metrics if classification else regression_metrics
+    main = "accuracy" if classification else "r2"
+    train, test = train.persist(), test.persist()
+    rows = []
+    try:
+        for number, params in enumerate(combinations):
+            try:
+                fitted = fit(algorithm, train, features, classification, params, key)
+                score = float(measure(fitted.predict(test), "label", "prediction").first()[main])
+            except Exception:  # a combination the learner refuses is a lost trial
+                score = float("-inf")
+            rows.append((number, {k: float(v) for k, v in params.items()}, score))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    best = max(rows, key=lambda r: (r[2], -r[0]))
+    trials = spark.createDataFrame(rows, "trial int, params map<string,double>, score double")
+    return Tuning(trials.orderBy(F.desc("score"), "trial").limit(10), best[1], best[2], original_score)
+
+
+def apply_best(algorithm, tuning: Tuning, train, features, classification, key="row_id") -> Fitted | None:
+    """Refit with the best parameters, or None when they bring no gain."""
+    if tuning.improvement <= 0:
+        return None
+    return fit(algorithm, train, features, classification, tuning.best_params, key)

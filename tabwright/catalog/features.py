@@ -133,8 +133,8 @@ def tfidf_documents(spark, folder):
 @query(
     "encode_for_scoring", "FEA-6",
     sql="""
-    WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
-        CASE WHEN o_orderkey % 5 = 0 THEN 'NEW' ELSE o_orderstatus END AS status FROM orders),
+    WITH n AS (SELECT o_orderkey, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS price,
+        CASE WHEN o_orderpriority = '1-URGENT' THEN 'NEW' ELSE o_orderstatus END AS status FROM orders),
     m AS (SELECT avg(o_totalprice) AS a, stddev_pop(o_totalprice) AS s FROM orders)
     SELECT o_orderkey, round((coalesce(price, 0) - a) / s, 6) AS o_totalprice,
       CASE WHEN status = 'O' THEN 1.0 ELSE 0.0 END::DOUBLE AS o_orderstatus_O,
@@ -147,11 +147,10 @@ def encode_for_scoring(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
     encoder = X.fit_encoder(df, "o_orderpriority", keys=["o_orderkey"])
     encoder.scales = fit_scale(df, ["o_totalprice"])
-    key = F.col("o_orderkey")
     fresh = df.withColumns(
         {
-            "o_totalprice": F.when(key % 7 != 0, F.col("o_totalprice")),
-            "o_orderstatus": F.when(key % 5 == 0, "NEW").otherwise(F.col("o_orderstatus")),
+            "o_totalprice": F.when(F.col("o_totalprice") > 50000, F.col("o_totalprice")),
+            "o_orderstatus": F.when(F.col("o_orderpriority") == "1-URGENT", "NEW").otherwise(F.col("o_orderstatus")),
         }
     )
     return rounded(encoder.encode(fresh, ["o_orderkey"]), "o_totalprice")

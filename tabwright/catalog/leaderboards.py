@@ -236,13 +236,13 @@ def filtered_orders(spark, folder):
 
 @query(
     "filter_entries_by_type", "PRJ-5", "SRT-1",
-    sql="SELECT event_id AS model_id, value AS score FROM events WHERE event_type <> 'error' AND event_type = 'click' AND user_id % 2 = 0",
+    sql="SELECT event_id AS model_id, value AS score FROM events WHERE event_type <> 'error' AND event_type = 'click' AND value > 10",
 )
 def filter_entries_by_type(spark, folder):
     df = entries(spark, folder).withColumns(
         {
             "algorithm": F.when(F.col("algorithm") == "error", "baseline").otherwise(F.col("algorithm")),
-            "problem_type": F.when(F.col("user_id") % 2 == 0, "regression").otherwise("classification"),
+            "problem_type": F.when(F.col("score") > 10, "regression").otherwise("classification"),
         }
     )
     return B.filter_entries(df, "click", "regression").select("model_id", "score")
@@ -285,13 +285,13 @@ def lookup_part(spark, folder):
 @query(
     "fingerprints", "FUN-11", "FUN-8", "FUN-2",
     sql="""
-    SELECT user_id, concat_ws('|', 'events', coalesce(CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'value' END, 'unsupervised'),
+    SELECT user_id, concat_ws('|', 'events', coalesce(CASE WHEN user_id >= 10 THEN 'value' END, 'unsupervised'),
       string_agg(DISTINCT event_type, ',' ORDER BY event_type), 'split') AS fingerprint FROM events GROUP BY 1
     """,
 )
 def fingerprints(spark, folder):
     per_user = table(spark, folder, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("algorithms"))
-    target = F.when(F.col("user_id") % 3 != 0, F.lit("value"))
+    target = F.when(F.col("user_id") >= 10, F.lit("value"))
     return per_user.select("user_id", B.fingerprint(F.lit("events"), target, F.col("algorithms"), F.lit("split")).alias("fingerprint"))
 
 

@@ -183,17 +183,17 @@ def nearest_embeddings(spark, folder):
     "knn_embeddings", "SUP-9", "JOI-5",
     sql=f"""
     WITH d AS (SELECT a.vec_id AS id, b.label, {SQL_DISTANCE} AS distance, b.vec_id AS neighbor
-      FROM embeddings a JOIN embeddings b ON a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0),
+      FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS rank FROM d),
     v AS (SELECT id, label, count(*) AS votes, max(rank) AS last FROM r WHERE rank <= 5 GROUP BY 1, 2)
     SELECT id, arg_max(label, votes * 100 - last) AS label FROM v GROUP BY id
     """,
 )
 def knn_embeddings(spark, folder):
+    """Every vector classified by its five nearest others."""
     points = embedded(spark, folder)
-    held_out, known = points.where("id % 5 = 0"), points.where("id % 5 <> 0")
-    found = N.nearest(held_out, known, 5)
-    return N.classify_by_neighbors(found, known.select(F.col("id").alias("neighbor"), "label"), 5)
+    found = N.nearest(points, points, 5, same=True)
+    return N.classify_by_neighbors(found, points.select(F.col("id").alias("neighbor"), "label"), 5)
 
 
 _knn_columns = ["p_size", "p_retailprice"]
@@ -202,24 +202,18 @@ _knn_columns = ["p_size", "p_retailprice"]
 @query(
     "knn_standardised_part", "SUP-9",
     sql="""
-    WITH m AS (SELECT avg(p_size) AS a1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS a2, stddev_pop(p_retailprice) AS s2
-      FROM part WHERE p_partkey % 4 <> 0),
+    WITH m AS (SELECT avg(p_size) AS a1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS a2, stddev_pop(p_retailprice) AS s2 FROM part),
     z AS (SELECT p_partkey AS id, (p_size - a1) / s1 AS x, (p_retailprice - a2) / s2 AS y FROM part, m),
-    d AS (SELECT a.id, b.id AS neighbor, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance
-      FROM z a JOIN z b ON a.id % 4 = 0 AND b.id % 4 <> 0),
+    d AS (SELECT a.id, b.id AS neighbor, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS distance FROM z a JOIN z b ON a.id <> b.id),
     r AS (SELECT id, distance, row_number() OVER (PARTITION BY id ORDER BY distance, neighbor) AS rank FROM d)
     SELECT id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5
     """,
 )
 def knn_standardised_part(spark, folder):
     df = table(spark, folder, "part")
-    known = df.where("p_partkey % 4 <> 0")
-    scales = fit_scale(known, _knn_columns)
-
-    def points(frame):
-        return N.as_vector(apply_scale(frame, scales), _knn_columns).withColumn("id", F.col("p_partkey"))
-
-    found = N.nearest(points(df.where("p_partkey % 4 = 0")), points(known), 5)
+    scaled = N.as_vector(apply_scale(df, fit_scale(df, _knn_columns)), _knn_columns)
+    points = scaled.select(F.col("p_partkey").alias("id"), "vec")
+    found = N.nearest(points, points, 5, same=True)
     return rounded(found.select("id", "distance", "rank"), "distance")
 
 

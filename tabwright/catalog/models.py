@@ -271,11 +271,11 @@ def scenario_comparison(spark, folder):
 @query(
     "rows_worth_explaining", "SRT-5",
     sql="""
-    WITH h AS (SELECT p_partkey AS key, 100 + 2.0 * p_retailprice - 3.0 * p_size AS prediction FROM part ORDER BY p_partkey LIMIT 200),
-    n AS (SELECT *, row_number() OVER (ORDER BY prediction, key) - 1 AS place, count(*) OVER () AS k FROM h)
-    (SELECT 'highest' AS pick, key, round(prediction, 6) AS prediction FROM n ORDER BY n.prediction DESC, key LIMIT 1)
-    UNION ALL (SELECT 'lowest', key, round(prediction, 6) FROM n ORDER BY n.prediction, key LIMIT 1)
-    UNION ALL SELECT 'median', key, round(prediction, 6) FROM n WHERE place = k // 2
+    WITH h AS (SELECT p_partkey AS key, 100 + 2.0 * p_retailprice - 3.0 * p_size AS prediction FROM part),
+    m AS (SELECT list_sort(list(prediction))[count(*) // 2 + 1] AS middle FROM h)
+    (SELECT 'highest' AS pick, key, round(prediction, 6) AS prediction FROM h ORDER BY h.prediction DESC, key LIMIT 1)
+    UNION ALL (SELECT 'lowest', key, round(prediction, 6) FROM h ORDER BY h.prediction, key LIMIT 1)
+    UNION ALL (SELECT 'median', key, round(prediction, 6) FROM h, m WHERE prediction = middle ORDER BY key LIMIT 1)
     """,
 )
 def rows_worth_explaining(spark, folder):

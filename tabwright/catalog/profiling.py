@@ -185,7 +185,7 @@ def duplicate_rows_documents(spark, folder):
 
 
 _with_constants = (
-    "(SELECT *, 'same' AS one_word, NULL::DOUBLE AS nothing, CASE WHEN c_custkey % 2 = 0 THEN 1 END AS one_or_missing FROM customer)"
+    "(SELECT *, 'same' AS one_word, NULL::DOUBLE AS nothing, CASE WHEN c_nationkey < 12 THEN 1 END AS one_or_missing FROM customer)"
 )
 
 
@@ -203,7 +203,7 @@ def constant_columns(spark, folder):
         {
             "one_word": F.lit("same"),
             "nothing": F.lit(None).cast("double"),
-            "one_or_missing": F.when(F.col("c_custkey") % 2 == 0, F.lit(1)),
+            "one_or_missing": F.when(F.col("c_nationkey") < 12, F.lit(1)),
         }
     )
     return P.constant_columns(df)

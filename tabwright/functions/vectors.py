@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CELLS_AT_ONCE = 4_000_000
+
 
 def total(terms: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a + b, terms, F.lit(0.0))
@@ -23,15 +25,27 @@ def squared_distance(features: Sequence[Column], point: Sequence[float]) -> Colu
 
 
 def array_squared_distance(a: Column, b: Column) -> Column:
-    gaps = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v)
+    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
+    return F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)
 
 
 def array_dot(a: Column, b: Column) -> Column:
-    products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
+    products = F.zip_with(a, b, lambda x, y: x * y)
     return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def unpack(values) -> np.ndarray:
+    """Stack a pandas column of arrays into a matrix."""
+    return np.array(list(values), dtype=float)
+
+
+def slices(rows: int, width: int) -> Iterator[slice]:
+    """Row ranges whose distance block to `width` other rows stays small."""
+    step = max(1, CELLS_AT_ONCE // max(1, width))
+    for start in range(0, rows, step):
+        yield slice(start, min(rows, start + step))
+
+
 def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances between the rows of two blocks, summed gap by gap for accuracy."""
     squared = np.zeros((len(a), len(b)))
@@ -41,6 +55,13 @@ def pairwise(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(squared)
 
 
-def unpack(values) -> np.ndarray:
-    """Stack a pandas column of arrays into a matrix."""
-    return np.array(list(values), dtype=float)
+def rough_squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and per row of `a` how far they may be off."""
+    left, right = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    return left[:, None] + right[None, :] - 2 * (a @ b.T), 1e-9 * (left + right.max() + 1e-300)
+
+
+def exact_distance(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Distances of chosen pairs."""
+    gaps = a[rows] - b[columns]
+    return np.sqrt((gaps * gaps).sum(axis=1))

@@ -1,10 +1,11 @@
-"""Exact nearest neighbours, and work on all pairs of row blocks, with bounded groups.
-
-Rows are placed in cells around a few hundred pivots. A first round looks only inside a row's own
-cell, which bounds how far its k-th neighbour can be; a second round visits just the cells that
-can still hold something nearer. Both sides of a cell are cut into blocks by a hash of the id, so
-a cell that holds a third of the table becomes many small groups, and each group hands on at most
-k rows per query.
+"""Exact nearest neighbours, and work on pairs of row blocks, with bounded groups.
+
+Rows are placed in cells around pivots drawn from the table, about the root of its size in
+number. A first round looks only inside a row's own cell, which bounds how far its k-th neighbour
+can be; a second round visits just the cells that can still hold something nearer. Both sides of
+a cell are cut into blocks by a hash of the id, so a crowded cell becomes many small groups, and
+each group hands on at most k rows per query. Copies of a vector are asked once, and of many
+copies only the first few can be anyone's neighbour, so crowds of copies are folded beforehand.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.sampling import SEED, pick
-from tabwright.functions.vectors import pairwise, unpack
+from tabwright.functions.vectors import exact_distance, pairwise, rough_squares, slices, unpack
+from tabwright.session import cut_lineage
 
 BLOCK_ROWS = 2_000
-MAX_PIVOTS = 256
+MAX_PIVOTS = 8_192
+ROWS_PER_PIVOT = 50
+NEIGHBOR_SCHEMA = "id long, neighbor long, distance double"
 
 
 def as_vector(df: DataFrame, columns: Sequence[str], output: str = "vec") -> DataFrame:
@@ -29,76 +33,143 @@ def as_vector(df: DataFrame, columns: Sequence[str], output: str = "vec") -> Dat
     return df.withColumn(output, F.array(*[F.col(c).cast("double") for c in columns]))
 
 
-def _salt(column: str, blocks: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), blocks).cast("int")
+def block_sizes(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(cell, _lb, _rb): into how many blocks each side of a cell is cut; cells with one empty side are left out."""
 
+    def blocks(df, name):
+        count = F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int")
+        return df.groupBy("cell").agg(F.greatest(F.lit(1), count).alias(name))
 
-def _spread(df: DataFrame, blocks: Column, name: str) -> DataFrame:
-    """Repeat each row once per block of the other side."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    return blocks(left, "_lb").join(blocks(right, "_rb"), "cell")
 
 
 def block_pairs(
     left: DataFrame,
     right: DataFrame,
-    cell: str,
-    left_blocks: Column,
-    right_blocks: Column,
+    sizes: DataFrame,
     work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
     """Run `work` on every (left block, right block) of a cell.
 
-    Both frames have columns id, vec and `cell`. Each group holds about BLOCK_ROWS rows a side.
+    Both frames have columns id, vec and cell; `sizes` says how often a cell is cut. A group holds
+    about BLOCK_ROWS rows a side whatever the size of its cell.
     """
-    mine = _spread(left.withColumn("_l", _salt("id", left_blocks, 1)), right_blocks, "_r")
-    theirs = _spread(right.withColumn("_r", _salt("id", right_blocks, 2)), left_blocks, "_l")
-    keys = [cell, "_l", "_r"]
 
-    def guarded(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame()
-        return work(a, b)
+    def cut(df, own, other, mine, theirs, seed):
+        place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(own)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        out = df.join(sizes, "cell").withColumn(mine, place).withColumn(theirs, copies).drop("_lb", "_rb")
+        # fresh column identities, so that a frame can be paired with itself
+        return out.select(*[F.col(c).alias(c) for c in out.columns])
 
-    return mine.groupBy(*keys).cogroup(theirs.groupBy(*keys)).applyInPandas(guarded, schema)
+    keys = ["cell", "_l", "_r"]
+    a = cut(left, "_lb", "_rb", "_l", "_r", 1).groupBy(*keys)
+    b = cut(right, "_rb", "_lb", "_r", "_l", 2).groupBy(*keys)
 
+    def guarded(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame() if x.empty or y.empty else work(x, y)
 
-def _blocks_by_cell(counts: dict[int, int], block_rows: int) -> Column:
-    """Blocks a cell is cut into, looked up from a map of at most MAX_PIVOTS entries."""
-    entries = [F.lit(x) for cell, n in counts.items() for x in (cell, max(1, math.ceil(n / block_rows)))]
-    return F.coalesce(F.create_map(*entries)[F.col("cell")], F.lit(1))
+    return a.cogroup(b).applyInPandas(guarded, schema)
 
 
 def _place(pivots: np.ndarray):
-    """Nearest pivot and the distance to it."""
+    """Nearest pivot of each row and the distance to it."""
 
     def place(frames):
         for frame in frames:
-            gaps = pairwise(unpack(frame["vec"]), pivots)
-            nearest = gaps.argmin(axis=1)
-            yield frame.assign(cell=nearest.astype("int32"), gap=gaps[np.arange(len(frame)), nearest])
+            vectors = unpack(frame["vec"])
+            cell, gap = np.zeros(len(frame), dtype="int32"), np.zeros(len(frame))
+            for part in slices(len(frame), len(pivots)):
+                distances = pairwise(vectors[part], pivots)
+                cell[part] = distances.argmin(axis=1)
+                gap[part] = distances.min(axis=1)
+            yield frame.assign(cell=cell, gap=gap)
 
     return place
 
 
-def _top(k: int, same: bool):
-    def top(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        gaps = pairwise(unpack(a["vec"]), unpack(b["vec"]))
-        theirs = b["id"].to_numpy()
-        if same:
-            gaps[a["id"].to_numpy()[:, None] == theirs[None, :]] = np.inf
-        by_id = np.argsort(theirs, kind="stable")
-        order = by_id[np.argsort(gaps[:, by_id], axis=1, kind="stable")[:, :k]]
-        width = order.shape[1]
-        return pd.DataFrame(
-            {
-                "id": np.repeat(a["id"].to_numpy(), width),
-                "neighbor": theirs[order].ravel(),
-                "distance": np.take_along_axis(gaps, order, axis=1).ravel(),
-            }
-        ).query("distance != inf")
+def _visits(pivots: np.ndarray, radius: np.ndarray):
+    """Other cells that may hold a row nearer than what the home cell offered."""
+
+    def visits(frames):
+        for frame in frames:
+            vectors, reach = unpack(frame["vec"]), frame["reach"].to_numpy()
+            for part in slices(len(frame), len(pivots)):
+                distances = pairwise(vectors[part], pivots)
+                near = distances - radius[None, :] <= reach[part, None] * (1 + 1e-9) + 1e-12
+                near[np.arange(len(distances)), distances.argmin(axis=1)] = False
+                rows, cells = np.nonzero(near & np.isfinite(radius)[None, :])
+                chosen = frame.iloc[part]
+                yield pd.DataFrame(
+                    {
+                        "id": chosen["id"].to_numpy()[rows],
+                        "vec": chosen["vec"].to_numpy()[rows],
+                        "cell": cells.astype("int32"),
+                    }
+                )
+
+    return visits
+
+
+def _nearest_in_block(k: int):
+    """The k nearest of each left row among the right rows, ties to the smaller id."""
+
+    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = unpack(a["vec"]), unpack(b["vec"])
+        ids, theirs = a["id"].to_numpy(), b["id"].to_numpy()
+        rough, slack = rough_squares(x, y)
+        if k < len(b):
+            bar = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+            rows, columns = np.nonzero(rough <= bar[:, None])
+        else:
+            rows, columns = np.nonzero(np.ones_like(rough, dtype=bool))
+        distance = exact_distance(x, y, rows, columns)
+        order = np.lexsort((theirs[columns], distance, rows))
+        rows, columns, distance = rows[order], columns[order], distance[order]
+        first = np.searchsorted(rows, rows)
+        kept = np.arange(len(rows)) - first < k
+        return pd.DataFrame({"id": ids[rows[kept]], "neighbor": theirs[columns[kept]], "distance": distance[kept]})
+
+    return work
+
+
+def _ranked(df: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("id").orderBy("distance", "neighbor"))
+    return df.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def _search(queries: DataFrame, base: DataFrame, rows: int, k: int, block_rows: int, max_pivots: int) -> DataFrame:
+    """k nearest base rows of each query row, itself included when it is in the base."""
+    wanted = min(max_pivots, max(1, round(math.sqrt(rows / ROWS_PER_PIVOT))))
+    pivots = unpack([r.vec for r in pick(base, ["id"], wanted, SEED).collect()])
+    schema = "id long, vec array<double>, cell int, gap double"
+    homes = base.mapInPandas(_place(pivots), schema)
+    askers = queries.mapInPandas(_place(pivots), schema).drop("gap")
+    radius = np.full(len(pivots), -np.inf)
+    for row in homes.groupBy("cell").agg(F.max("gap").alias("radius")).collect():
+        radius[row.cell] = row.radius
+    homes = homes.drop("gap")
+    work = _nearest_in_block(k)
+    first = _ranked(
+        block_pairs(askers, homes, block_sizes(askers, homes, block_rows), work, NEIGHBOR_SCHEMA), k
+    ).drop("rank")
+    if np.isfinite(radius).sum() == 1 and len(pivots) == 1:
+        return _ranked(first, k)
+    first = cut_lineage(first)
+    reach = first.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("found"))
+    bounded = queries.join(reach, "id", "left").select(
+        "id", "vec", F.when(F.col("found") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach")
+    )
+    visits = bounded.mapInPandas(_visits(pivots, radius), "id long, vec array<double>, cell int")
+    second = block_pairs(visits, homes, block_sizes(visits, homes, block_rows), work, NEIGHBOR_SCHEMA)
+    return _ranked(first.unionByName(second), k)
+
 
-    return top
+def _folded(df: DataFrame, keep: int) -> DataFrame:
+    """Of each vector the rows with the smallest ids; more copies cannot be among anyone's nearest."""
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    return df.withColumn("_copy", place).where(F.col("_copy") <= keep).drop("_copy")
 
 
 def nearest(
@@ -114,61 +185,23 @@ def nearest(
     Both frames have columns id (long) and vec (array of double). With `same` a row is not its
     own neighbour. Equal distances go to the smaller neighbour id.
     """
-    queries = queries.select("id", "vec")
-    base = base.select("id", "vec")
-    n = base.count()
-    wanted = min(max_pivots, max(1, round(math.sqrt(n / 50)))) if n else 1
-    pivots = unpack([r.vec for r in pick(base, ["id"], wanted, SEED).collect()])
-    placed_schema = "id long, vec array<double>, cell int, gap double"
-    homes = base.mapInPandas(_place(pivots), placed_schema)
-    askers = queries.mapInPandas(_place(pivots), placed_schema)
-    cells = homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    radius = np.full(len(pivots), -np.inf)
-    for row in cells:
-        radius[row.cell] = row.radius
-    asked = {r.cell: r.n for r in askers.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    held = _blocks_by_cell({r.cell: r.n for r in cells}, block_rows)
-    schema = "id long, neighbor long, distance double"
-    first = block_pairs(
-        askers, homes, "cell", _blocks_by_cell(asked, block_rows), held, _top(k, same), schema
-    )
-    by_distance = Window.partitionBy("id").orderBy("distance", "neighbor")
-    first = first.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k).drop("rank")
-    if len(cells) <= 1:
-        return first.withColumn("rank", F.row_number().over(by_distance))
-    reach = first.groupBy("id").agg(F.max("distance").alias("reach"), F.count("*").alias("found"))
-    bounded = queries.join(reach, "id", "left").select(
-        "id", "vec", F.when(F.col("found") >= k, F.col("reach")).otherwise(F.lit(float("inf"))).alias("reach")
-    )
-
-    def visit(frames):
-        for frame in frames:
-            gaps = pairwise(unpack(frame["vec"]), pivots)
-            near = gaps - radius[None, :] <= frame["reach"].to_numpy()[:, None] * (1 + 1e-9)
-            near &= np.isfinite(radius)[None, :]
-            near[np.arange(len(frame)), gaps.argmin(axis=1)] = False
-            rows, columns = np.nonzero(near)
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"].to_numpy()[rows],
-                    "vec": frame["vec"].to_numpy()[rows],
-                    "cell": columns.astype("int32"),
-                }
-            )
-
-    visits = bounded.mapInPandas(visit, "id long, vec array<double>, cell int")
-    crowd = {r.cell: r.n for r in visits.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    if not crowd:
-        return first.withColumn("rank", F.row_number().over(by_distance))
-    second = block_pairs(
-        visits, homes, "cell", _blocks_by_cell(crowd, block_rows), held, _top(k, same), schema
-    )
-    both = first.unionByName(second)
-    return both.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k)
-
-
-def block_count(rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    return max(1, math.ceil(rows / block_rows))
+    queries, base = queries.select("id", "vec"), base.select("id", "vec")
+    reach = k + 1 if same else k
+    rows, kinds = base.agg(F.count(F.lit(1)), F.countDistinct(F.xxhash64("vec"))).first()
+    asked, asked_kinds = queries.agg(F.count(F.lit(1)), F.countDistinct(F.xxhash64("vec"))).first()
+    if rows == 0 or asked == 0:
+        return queries.sparkSession.createDataFrame([], NEIGHBOR_SCHEMA + ", rank int")
+    known = _folded(base, reach) if kinds < rows else base
+    if asked_kinds < asked:
+        one = cut_lineage(queries.groupBy("vec").agg(F.min("id").alias("id")))
+        found = _search(one, known, rows, reach, block_rows, max_pivots)
+        members = queries.join(one.withColumnRenamed("id", "_one"), "vec").select("id", "_one")
+        found = found.select(F.col("id").alias("_one"), "neighbor", "distance").join(members, "_one").drop("_one")
+    else:
+        found = _search(queries, known, rows, reach, block_rows, max_pivots)
+    if same:
+        found = found.where(F.col("id") != F.col("neighbor"))
+    return _ranked(found.select("id", "neighbor", "distance"), k)
 
 
 def classify_by_neighbors(neighbors: DataFrame, labels: DataFrame, k: int) -> DataFrame:
@@ -177,7 +210,7 @@ def classify_by_neighbors(neighbors: DataFrame, labels: DataFrame, k: int) -> Da
     `labels` has columns neighbor and label.
     """
     ranked = neighbors.where(F.col("rank") <= k).join(labels, "neighbor")
-    votes = ranked.groupBy("id", "label").agg(F.count("*").alias("votes"), F.max("rank").alias("last"))
+    votes = ranked.groupBy("id", "label").agg(F.count(F.lit(1)).alias("votes"), F.max("rank").alias("last"))
     return votes.groupBy("id").agg(
         F.max_by("label", F.struct(F.col("votes"), (-F.col("last")).alias("place"))).alias("label")
     )

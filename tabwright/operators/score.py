@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import number, present, quoted, ratio
+from tabwright.functions.statistics import order_stats
 from tabwright.operators.features import label_text
 
 # Confidence below which a level is given.
@@ -114,20 +115,18 @@ def compare_scenarios(
     )
 
 
-def row_suggestions(df: DataFrame, key: str, prediction: str = "prediction", first: int = 200) -> DataFrame:
-    """Rows worth explaining among the first 200 by key: highest, lowest and median prediction."""
-    from pyspark.sql import Window
-
-    head = df.select(key, prediction).orderBy(key).limit(first)
-    place = Window.orderBy(prediction, key)
-    numbered = head.withColumns(
-        {"_place": F.row_number().over(place) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())}
-    )
-    struct = F.struct(F.col(key).alias("key"), F.col(prediction).alias("prediction"))
-    chosen = numbered.agg(
-        F.max_by(struct, F.struct(F.col(prediction), (-F.col(key)).alias("k"))).alias("highest"),
-        F.min_by(struct, F.struct(F.col(prediction), F.col(key))).alias("lowest"),
-        F.max(F.when(F.col("_place") == F.floor(F.col("_n") / 2), struct)).alias("median"),
+def row_suggestions(df: DataFrame, key: str, prediction: str = "prediction") -> DataFrame:
+    """Rows worth explaining: highest, lowest and median prediction; the smallest key on a tie."""
+    middle = order_stats(df, {prediction: (0.5,)})[prediction][0.5]
+    value, order = F.col(prediction), -F.col(key)
+    row = F.struct(F.col(key).alias("key"), value.alias("prediction"))
+    chosen = df.agg(
+        F.max_by(row, F.struct(value, order.alias("k"))).alias("highest"),
+        F.min_by(row, F.struct(value, F.col(key))).alias("lowest"),
+        F.min_by(row, F.when(value == F.lit(middle), F.col(key))).alias("median"),
     )
-    rows = [F.struct(F.lit(n).alias("pick"), F.col(n)["key"].alias("key"), F.col(n)["prediction"].alias("prediction")) for n in ("highest", "lowest", "median")]
-    return chosen.select(F.inline(F.array(*rows)))
+    picks = [
+        F.struct(F.lit(n).alias("pick"), F.col(n)["key"].alias("key"), F.col(n)["prediction"].alias("prediction"))
+        for n in ("highest", "lowest", "median")
+    ]
+    return chosen.select(F.inline(F.array(*picks)))

@@ -114,22 +114,18 @@ def calinski_harabasz(points: DataFrame, labels: DataFrame) -> DataFrame:
     """One row (clusters, calinski_harabasz): between over within spread, per degree of freedom."""
     centers = cut_lineage(centers_of(points, labels))
     overall = points.join(labels.where("cluster >= 0"), "id").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("overall")
+        vector_to_array(Summarizer.mean(array_to_vector("vec")))
+    ).first()[0]
+    middle = F.array(*[F.lit(v) for v in overall or []]).cast("array<double>")
+    between, k, n = centers.agg(
+        F.sum(F.col("n") * array_squared_distance(F.col("center"), middle)), F.count(F.lit(1)), F.sum("n")
+    ).first()
+    within = F.sum(array_squared_distance(F.col("vec"), F.col("center")))
+    usable = k >= 2 and k < n
+    score = F.when(within > 0, F.lit((between or 0.0) / max(k - 1, 1)) / (within / max((n or 0) - k, 1))).otherwise(0.0)
+    return _with_centers(points, labels, centers).agg(
+        F.lit(k).cast("long").alias("clusters"), (score if usable else F.lit(0.0)).alias("calinski_harabasz")
     )
-    between = centers.join(F.broadcast(overall)).agg(
-        F.sum(F.col("n") * array_squared_distance(F.col("center"), F.col("overall"))).alias("between"),
-        F.count(F.lit(1)).alias("clusters"),
-        F.sum("n").alias("n"),
-    )
-    within = _with_centers(points, labels, centers).agg(
-        F.sum(array_squared_distance(F.col("vec"), F.col("center"))).alias("within")
-    )
-    k, n = F.col("clusters"), F.col("n")
-    score = F.when(
-        (k >= 2) & (k < n) & (F.col("within") > 0),
-        F.try_divide(F.try_divide("between", k - 1), F.try_divide("within", n - k)),
-    ).otherwise(0.0)
-    return between.join(F.broadcast(within)).select("clusters", score.alias("calinski_harabasz"))
 
 
 def _distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

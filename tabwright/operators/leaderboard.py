@@ -73,8 +73,8 @@ def per_group(df: DataFrame, group: str, score: str) -> DataFrame:
 def totals(df: DataFrame, group: str, score: str, duration: str, dataset: str, time: str) -> DataFrame:
     """One row: entries, best and mean score, total time, data sets, best and most used algorithm."""
     usage = df.groupBy(group).agg(F.count(F.lit(1)).alias("uses"))
-    used = usage.agg(F.max_by(group, F.struct(F.col("uses"), F.col(group))).alias("most_used"), F.count("*").alias("n_groups"))
-    whole = df.agg(
+    used, kinds = usage.agg(F.max_by(group, F.struct(F.col("uses"), F.col(group))), F.count(F.lit(1))).first()
+    return df.agg(
         F.count(F.lit(1)).alias("n"),
         F.max(score).alias("best"),
         F.avg(score).alias("mean"),
@@ -82,8 +82,9 @@ def totals(df: DataFrame, group: str, score: str, duration: str, dataset: str, t
         F.countDistinct(dataset).alias("n_datasets"),
         F.max_by(group, F.struct(F.col(score), F.col(group))).alias("best_group"),
         F.max(time).alias("last_time"),
+        F.lit(used).alias("most_used"),
+        F.lit(kinds).cast("long").alias("n_groups"),
     )
-    return whole.join(F.broadcast(used))
 
 
 def top(df: DataFrame, score: str, tie: str, k: int = 5) -> DataFrame:

@@ -43,7 +43,7 @@ _centers = """
     SELECT count(*) AS clusters, round(avg(r), 6) AS davies_bouldin FROM r""",
 )
 def davies_bouldin_embeddings(spark, folder):
-    return rounded(K.davies_bouldin(*vectors(spark, folder)), "davies_bouldin")
+    return rounded(K.davies_bouldin(K.cluster_summaries(*vectors(spark, folder))), "davies_bouldin")
 
 
 @query(
@@ -54,7 +54,7 @@ def davies_bouldin_embeddings(spark, folder):
     SELECT k AS clusters, round((bss / (k - 1)) / (wss / (n - k)), 5) AS calinski_harabasz FROM b, w""",
 )
 def calinski_harabasz_embeddings(spark, folder):
-    return rounded(K.calinski_harabasz(*vectors(spark, folder)), "calinski_harabasz", places=5)
+    return rounded(K.calinski_harabasz(K.cluster_summaries(*vectors(spark, folder))), "calinski_harabasz", places=5)
 
 
 _silhouette = f"""

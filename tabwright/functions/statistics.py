@@ -41,28 +41,37 @@ class _Search:
         return (self.rank - self.below + 0.5) / self.inside
 
 
+def present_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Values present per column."""
+    if not columns:
+        return {}
+    return dict(zip(columns, df.agg(*[F.count(number(df, c)) for c in columns]).first(), strict=True))
+
+
 def order_stats(
     df: DataFrame,
     targets: Mapping[str, Sequence[float]],
     exact_rows: int = EXACT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
+    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, dict[float, float | None]]:
     """`sorted(values)[floor(n*p)]` per column: no interpolation, no global sort.
 
     A quantile sketch brackets each wanted rank, one scan counts the bracket exactly, and the
     bracket shrinks by about the sketch accuracy per round. `percentile_disc` reads it only once
-    at most `exact_rows` values are left, so no task ever holds a whole column.
+    at most `exact_rows` values are left, so no task ever holds a whole column. `sizes` are the
+    values present per column, when they are known already.
     """
+    sizes = present_counts(df, list(targets)) if sizes is None else sizes
     found = {name: dict.fromkeys(probabilities) for name, probabilities in targets.items()}
     for block in chunks(targets, COLUMNS_PER_JOB):
         slots = {name: f"v{i}" for i, name in enumerate(block)}
         slim = df.select(*[number(df, name).alias(slot) for name, slot in slots.items()])
-        sizes = slim.agg(*[F.count(slot) for slot in slots.values()]).first()
         searches = [
-            _Search(name, slots[name], p, min(math.floor(size * p), size - 1), size)
-            for name, size in zip(block, sizes, strict=True)
+            _Search(name, slots[name], p, min(math.floor(sizes[name] * p), sizes[name] - 1), sizes[name])
+            for name in block
             for p in targets[name]
-            if size
+            if sizes[name]
         ]
         _resolve(slim, searches, exact_rows, accuracy)
         for search in searches:
@@ -134,16 +143,14 @@ def iqr_bounds(
     df: DataFrame, columns: Sequence[str], factor: float = 1.5, min_rows: int = 4, skip_flat: bool = False
 ) -> dict[str, tuple[float, float]]:
     """Fences `q1 - f*iqr`, `q3 + f*iqr` per column; columns with too few values are left out."""
-    quartiles = order_stats(df, {name: (0.25, 0.75) for name in columns})
-    sizes = df.agg(*[F.count(number(df, name)) for name in columns]).first() if columns else ()
+    sizes = present_counts(df, columns)
+    enough = [name for name in columns if sizes[name] >= min_rows]
+    quartiles = order_stats(df, {name: (0.25, 0.75) for name in enough}, sizes=sizes)
     bounds = {}
-    for name, size in zip(columns, sizes, strict=True):
-        if size < min_rows:
-            continue
+    for name in enough:
         q1, q3 = quartiles[name][0.25], quartiles[name][0.75]
-        if skip_flat and q1 == q3:
-            continue
-        bounds[name] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
+        if not (skip_flat and q1 == q3):
+            bounds[name] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return bounds
 
 

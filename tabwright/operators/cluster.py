@@ -24,7 +24,7 @@ from tabwright.functions.columns import quoted, ratio
 from tabwright.functions.sampling import SEED
 from tabwright.functions.statistics import order_stats
 from tabwright.functions.vectors import array_squared_distance, pairwise, unpack
-from tabwright.operators.neighbors import BLOCK_ROWS, block_pairs, block_sizes, nearest
+from tabwright.operators.neighbors import BLOCK_ROWS, block_pairs, block_sizes, blocks_for, nearest
 from tabwright.session import cut_lineage
 
 NOISE = -1
@@ -87,12 +87,23 @@ def _with_centers(points: DataFrame, labels: DataFrame, centers: DataFrame) -> D
     return points.join(labels, "id").join(F.broadcast(centers) if few else centers, "cluster")
 
 
-def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row (clusters, davies_bouldin): mean over clusters of the worst (spread + spread) / distance."""
+def cluster_summaries(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cluster, n, center, spread, within): size, mean, mean distance and summed square to the mean.
+
+    Two passes over the points; what comes out has one row per cluster and is written down, as
+    the indices below read it several times.
+    """
     centers = cut_lineage(centers_of(points, labels))
-    distance = F.sqrt(array_squared_distance(F.col("vec"), F.col("center")))
-    spread = _with_centers(points, labels, centers).groupBy("cluster").agg(F.avg(distance).alias("spread"))
-    rows = centers.join(spread, "cluster").select(
+    squared = array_squared_distance(F.col("vec"), F.col("center"))
+    spreads = _with_centers(points, labels, centers).groupBy("cluster").agg(
+        F.avg(F.sqrt(squared)).alias("spread"), F.sum(squared).alias("within")
+    )
+    return cut_lineage(centers.join(spreads, "cluster"))
+
+
+def davies_bouldin(summaries: DataFrame) -> DataFrame:
+    """One row (clusters, davies_bouldin): mean over clusters of the worst (spread + spread) / distance."""
+    rows = summaries.select(
         F.col("cluster").cast("long").alias("id"), F.col("center").alias("vec"), "spread", F.lit(0).alias("cell")
     )
 
@@ -103,28 +114,30 @@ def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
         worst_ratio = np.where(apart, spreads / np.where(apart, gaps, 1.0), 0.0).max(axis=1)
         return pd.DataFrame({"id": a["id"], "r": worst_ratio})
 
-    found = block_pairs(rows, rows, block_sizes(rows, rows), worst, "id long, r double")
+    blocks = blocks_for(rows.count())
+    found = block_pairs(rows, rows, (blocks, blocks), worst, "id long, r double")
     return found.groupBy("id").agg(F.max("r").alias("r")).agg(
         F.count(F.lit(1)).alias("clusters"),
         F.when(F.count(F.lit(1)) < 2, F.lit(float("inf"))).otherwise(F.avg("r")).alias("davies_bouldin"),
     )
 
 
-def calinski_harabasz(points: DataFrame, labels: DataFrame) -> DataFrame:
+def calinski_harabasz(summaries: DataFrame) -> DataFrame:
     """One row (clusters, calinski_harabasz): between over within spread, per degree of freedom."""
-    centers = cut_lineage(centers_of(points, labels))
-    overall = points.join(labels.where("cluster >= 0"), "id").agg(
-        vector_to_array(Summarizer.mean(array_to_vector("vec")))
+    overall = summaries.agg(
+        vector_to_array(Summarizer.mean(array_to_vector("center"), F.col("n").cast("double")))
     ).first()[0]
     middle = F.array(*[F.lit(v) for v in overall or []]).cast("array<double>")
-    between, k, n = centers.agg(
-        F.sum(F.col("n") * array_squared_distance(F.col("center"), middle)), F.count(F.lit(1)), F.sum("n")
-    ).first()
-    within = F.sum(array_squared_distance(F.col("vec"), F.col("center")))
-    usable = k >= 2 and k < n
-    score = F.when(within > 0, F.lit((between or 0.0) / max(k - 1, 1)) / (within / max((n or 0) - k, 1))).otherwise(0.0)
-    return _with_centers(points, labels, centers).agg(
-        F.lit(k).cast("long").alias("clusters"), (score if usable else F.lit(0.0)).alias("calinski_harabasz")
+    sums = summaries.agg(
+        F.count(F.lit(1)).alias("clusters"),
+        F.sum("n").alias("n"),
+        F.sum("within").alias("within"),
+        F.sum(F.col("n") * array_squared_distance(F.col("center"), middle)).alias("between"),
+    )
+    k, n = F.col("clusters"), F.col("n")
+    score = F.try_divide(F.try_divide("between", k - 1), F.try_divide("within", n - k))
+    return sums.select(
+        "clusters", F.when((k >= 2) & (k < n) & (F.col("within") > 0), score).otherwise(0.0).alias("calinski_harabasz")
     )
 
 
@@ -152,10 +165,9 @@ def silhouette_rows(points: DataFrame, labels: DataFrame, block_rows: int = BLOC
     rows = points.join(labels.where("cluster >= 0"), "id").select(
         "id", "vec", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell")
     )
-    parts = block_pairs(
-        rows, rows, block_sizes(rows, rows, block_rows), _distance_sums, "id long, own int, other int, s double"
-    )
     sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    blocks = blocks_for(rows.count(), block_rows)
+    parts = block_pairs(rows, rows, (blocks, blocks), _distance_sums, "id long, own int, other int, s double")
     sums = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     mine = F.col("own") == F.col("other")
     a = F.max(F.when(mine & (F.col("n") > 1), F.col("s") / (F.col("n") - 1)))
@@ -188,10 +200,11 @@ def cluster_metrics(points: DataFrame, labels: DataFrame, rows: int | None = Non
     rows = points.count() if rows is None else rows
     exact = rows <= EXACT_SILHOUETTE_ROWS
     score = silhouette(points, labels).first().silhouette if exact else silhouette_squared(points, labels)
+    summaries = cluster_summaries(points, labels)
     return {
         "silhouette": float(score),
-        "davies_bouldin": float(davies_bouldin(points, labels).first().davies_bouldin),
-        "calinski_harabasz": float(calinski_harabasz(points, labels).first().calinski_harabasz),
+        "davies_bouldin": float(davies_bouldin(summaries).first().davies_bouldin),
+        "calinski_harabasz": float(calinski_harabasz(summaries).first().calinski_harabasz),
     }
 
 

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import chunks, quoted, sigmoid
-from tabwright.functions.vectors import dot, total
+from tabwright.functions.columns import quoted, sigmoid
+from tabwright.functions.vectors import dot, total, unpack
 
-EXPRESSIONS_PER_JOB = 600
+NARROW = 16
 MAX_CLASSES = 1_000
 
 
@@ -71,23 +72,41 @@ def fit_baseline(df: DataFrame, label: str, classification: bool) -> ConstantMod
     return ConstantModel(counts.orderBy(F.desc("_n"), label).first()[0])
 
 
-def cross_products(df: DataFrame, features: Sequence[str], label: str, weight: Column | None = None):
-    """(X'X, X'y) with a leading column of ones: p*p sums, each partly added up before the shuffle."""
-    columns = [F.lit(1.0), *feature_columns(features)]
-    y = F.col(quoted(label)).cast("double")
-    w = weight if weight is not None else F.lit(1.0)
+def cross_products(df: DataFrame, features: Sequence[str], label: str):
+    """(X'X, X'y) with a leading column of ones.
+
+    A few features become p*p sums in one generated aggregation. Many would make that code too
+    large: then every task multiplies its own rows and hands on one matrix, and Spark adds those
+    up cell by cell.
+    """
+    columns = [F.lit(1.0), *feature_columns(features), F.col(quoted(label)).cast("double")]
     size = len(columns)
-    cells = [(i, j) for i in range(size) for j in range(i, size)]
-    wanted = [((i, j), F.sum(w * columns[i] * columns[j])) for i, j in cells]
-    wanted += [((i, size), F.sum(w * columns[i] * y)) for i in range(size)]
-    gram, moment = np.zeros((size, size)), np.zeros(size)
-    for block in chunks(wanted, EXPRESSIONS_PER_JOB):
-        for ((i, j), _), value in zip(block, df.agg(*[s for _, s in block]).first(), strict=True):
-            if j == size:
-                moment[i] = value
-            else:
-                gram[i, j] = gram[j, i] = value
-    return gram, moment
+    whole = np.zeros((size, size))
+    if size <= NARROW:
+        cells = [(i, j) for i in range(size) for j in range(i, size)]
+        sums = df.agg(*[F.sum(columns[i] * columns[j]) for i, j in cells]).first()
+    else:
+        slim = df.select(F.array(*columns).alias("row")).where(~F.exists("row", lambda v: v.isNull()))
+        parts = slim.mapInPandas(_partial_products(size), "products array<double>")
+        added = parts.select(F.posexplode("products").alias("cell", "v")).groupBy("cell").agg(F.sum("v").alias("v"))
+        cells = [(i, j) for i in range(size) for j in range(size)]
+        found = {r.cell: r.v for r in added.collect()}
+        sums = [found.get(n, 0.0) for n in range(len(cells))]
+    for (i, j), value in zip(cells, sums, strict=True):
+        whole[i, j] = whole[j, i] = value
+    return whole[:-1, :-1], whole[:-1, -1]
+
+
+def _partial_products(size: int):
+    def products(frames):
+        held = np.zeros((size, size))
+        for frame in frames:
+            rows = unpack(frame["row"])
+            if len(rows):
+                held += rows.T @ rows
+        yield pd.DataFrame({"products": [held.ravel()]})
+
+    return products
 
 
 def _solve(gram: np.ndarray, moment: np.ndarray) -> list[float]:

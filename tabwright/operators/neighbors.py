@@ -33,6 +33,10 @@ def as_vector(df: DataFrame, columns: Sequence[str], output: str = "vec") -> Dat
     return df.withColumn(output, F.array(*[F.col(c).cast("double") for c in columns]))
 
 
+def blocks_for(rows: int, block_rows: int = BLOCK_ROWS) -> int:
+    return max(1, math.ceil(rows / block_rows))
+
+
 def block_sizes(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(cell, _lb, _rb): into how many blocks each side of a cell is cut; cells with one empty side are left out."""
 
@@ -46,20 +50,25 @@ def block_sizes(left: DataFrame, right: DataFrame, block_rows: int = BLOCK_ROWS)
 def block_pairs(
     left: DataFrame,
     right: DataFrame,
-    sizes: DataFrame,
+    sizes: DataFrame | tuple[int, int],
     work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     schema: str,
 ) -> DataFrame:
     """Run `work` on every (left block, right block) of a cell.
 
-    Both frames have columns id, vec and cell; `sizes` says how often a cell is cut. A group holds
-    about BLOCK_ROWS rows a side whatever the size of its cell.
+    Both frames have columns id, vec and cell; `sizes` says how often a cell is cut: a table per
+    cell, or one pair of numbers when there is a single cell. A group holds about BLOCK_ROWS rows
+    a side whatever the size of its cell.
     """
 
     def cut(df, own, other, mine, theirs, seed):
         place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.col(own)).cast("int")
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        out = df.join(sizes, "cell").withColumn(mine, place).withColumn(theirs, copies).drop("_lb", "_rb")
+        if isinstance(sizes, tuple):
+            df = df.withColumns({"_lb": F.lit(sizes[0]), "_rb": F.lit(sizes[1])})
+        else:
+            df = df.join(sizes, "cell")
+        out = df.withColumn(mine, place).withColumn(theirs, copies).drop("_lb", "_rb")
         # fresh column identities, so that a frame can be paired with itself
         return out.select(*[F.col(c).alias(c) for c in out.columns])
 
@@ -144,19 +153,20 @@ def _search(queries: DataFrame, base: DataFrame, rows: int, k: int, block_rows:
     wanted = min(max_pivots, max(1, round(math.sqrt(rows / ROWS_PER_PIVOT))))
     pivots = unpack([r.vec for r in pick(base, ["id"], wanted, SEED).collect()])
     schema = "id long, vec array<double>, cell int, gap double"
-    homes = base.mapInPandas(_place(pivots), schema)
+    placed = base.mapInPandas(_place(pivots), schema)
+    homes = placed.drop("gap")
     askers = queries.mapInPandas(_place(pivots), schema).drop("gap")
-    radius = np.full(len(pivots), -np.inf)
-    for row in homes.groupBy("cell").agg(F.max("gap").alias("radius")).collect():
-        radius[row.cell] = row.radius
-    homes = homes.drop("gap")
     work = _nearest_in_block(k)
+    if len(pivots) == 1:
+        sizes = blocks_for(queries.count(), block_rows), blocks_for(rows, block_rows)
+        return _ranked(block_pairs(askers, homes, sizes, work, NEIGHBOR_SCHEMA), k)
     first = _ranked(
         block_pairs(askers, homes, block_sizes(askers, homes, block_rows), work, NEIGHBOR_SCHEMA), k
     ).drop("rank")
-    if np.isfinite(radius).sum() == 1 and len(pivots) == 1:
-        return _ranked(first, k)
     first = cut_lineage(first)
+    radius = np.full(len(pivots), -np.inf)
+    for row in placed.groupBy("cell").agg(F.max("gap").alias("radius")).collect():
+        radius[row.cell] = row.radius
     reach = first.groupBy("id").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("found"))
     bounded = queries.join(reach, "id", "left").select(
         "id", "vec", F.when(F.col("found") >= k, F.col("far")).otherwise(F.lit(float("inf"))).alias("reach")

@@ -7,16 +7,9 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.functions.columns import as_rows, number, numeric_columns
+from tabwright.functions.columns import as_rows, number, numeric_columns, present
 from tabwright.functions.statistics import iqr_bounds
-from tabwright.operators.profile import (
-    constant_columns,
-    duplicate_rows,
-    high_correlations,
-    missing_cells,
-    scale_spread,
-    target_check,
-)
+from tabwright.operators.profile import WIDE_SCALE, duplicate_rows, high_correlations, target_check
 
 SCAN_SCHEMA = (
     "n_rows long, n_columns long, n_numeric long, n_categorical long, total_missing long, "
@@ -71,15 +64,28 @@ def quality_score(
     return max(0, math.floor(100 - penalty + 0.5))
 
 
+def _facts(df: DataFrame) -> dict[str, tuple[int, object, object]]:
+    """(missing, min, max) of every column from one scan."""
+    wanted = []
+    for c in df.columns:
+        value = present(df, c)
+        wanted += [F.count_if(value.isNull()), F.min(value), F.max(value)]
+    row = df.agg(*wanted).first()
+    return {c: tuple(row[3 * i : 3 * i + 3]) for i, c in enumerate(df.columns)}
+
+
 def scan(df: DataFrame, target: str | None = None) -> DataFrame:
     """One row: the defects of a table, its score, the number of warnings and whether it is ready."""
     numbers = numeric_columns(df)
     copies = duplicate_rows(df).first()
-    missing = sum(r.n_missing for r in missing_cells(df).collect())
+    facts = _facts(df)
+    missing = sum(blank for blank, _, _ in facts.values())
+    constants = sum(low is None or (low == high and blank == 0) for blank, low, high in facts.values())
+    ranges = [float(facts[c][2]) - float(facts[c][1]) for c in numbers if facts[c][1] is not None]
+    ranges = [r for r in ranges if r > 0]
+    wide = len(ranges) > 1 and max(ranges) / min(ranges) > WIDE_SCALE
     outliers = sum(r.n_outliers for r in outlier_counts(df, numbers).collect()) if numbers else 0
-    constants = constant_columns(df).count()
     pairs = high_correlations(df, numbers).count() if len(numbers) > 1 else 0
-    wide = bool(len(numbers) > 1 and scale_spread(df, numbers).first().scale_issue)
     imbalanced = bool(target and target_check(df, target).first().imbalanced)
     small = copies.n_rows < 100
     score = quality_score(

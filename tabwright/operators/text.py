@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_TERMS = 200
@@ -67,7 +67,7 @@ def tfidf(
 ) -> DataFrame:
     """(key, term, weight): tf * (ln((1+n)/(1+df)) + 1), each text scaled to length 1.
 
-    The vocabulary holds `max_terms` rows, which bounds what is broadcast.
+    The vocabulary holds `max_terms` rows, which bounds what is broadcast and what a text keeps.
     """
     n = df.count()
     counts = term_counts(df, key, text, stop_words)
@@ -75,8 +75,8 @@ def tfidf(
     weighted = counts.join(F.broadcast(chosen.select("term", "df")), "term").withColumn(
         "raw", F.col("tf") * (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1)
     )
-    lengths = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("length"))
-    return weighted.join(lengths, key).select(key, "term", (F.col("raw") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return weighted.select(key, "term", (F.col("raw") / length).alias("weight"))
 
 
 def text_matrix(weights: DataFrame, key: str, names: Sequence[str]) -> DataFrame:

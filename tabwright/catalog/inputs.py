@@ -100,14 +100,14 @@ def saved_pipeline_scores(spark, folder):
 
 @query(
     "saved_line_scores", "SRC-8", "SCO-2", "FUN-10",
-    sql="SELECT p_partkey, 100 + 2.0 * p_retailprice - 3.0 * p_size AS prediction FROM part",
+    sql="SELECT p_partkey, round(100 + 2.0 * p_retailprice - 3.0 * p_size, 6) AS prediction FROM part",
 )
 def saved_line_scores(spark, folder):
     model = LinearModel(["p_retailprice", "p_size"], [100.0, 2.0, -3.0])
     path = scratch(spark)
     saved_models.export(spark, M.Fitted(model.algorithm, model.features, lambda d: d, [], model), path)
     _, restored = saved_models.restore(spark, path)
-    return restored.predict(table(spark, folder, "part")).select("p_partkey", "prediction")
+    return rounded(restored.predict(table(spark, folder, "part")).select("p_partkey", "prediction"), "prediction")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, table
+from tabwright.catalog.base import query, spread_table, table
 from tabwright.catalog.cleaning import SKEWED, SQL_SKEWED
 from tabwright.catalog.learning import SQL_DISTANCE, embedded
 from tabwright.catalog.profiling import rounded
@@ -91,7 +91,7 @@ def standard_points(df, key, columns):
 
 @query("isolation_forest_orders", "ANO-4")
 def isolation_forest_orders(spark, folder):
-    df = table(spark, folder, "orders").select(
+    df = spread_table(spark, folder, "orders").select(
         "o_orderkey", "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day")
     )
     return A.isolation_forest(standard_points(df, "o_orderkey", ["o_totalprice", "day"]))

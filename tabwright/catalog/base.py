@@ -51,6 +51,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row or reads the rows many times: at least one partition per core.
+
+    Files with few row groups come as few splits and would leave cores idle. A table with more
+    splits than cores, as any large one has, is taken as it is.
+    """
+    df = table(spark, folder, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def sql_order_stat(column: str, p: float) -> str:
     """`sorted(values)[floor(n*p)]` in the checking engine."""
     position = f"least(CAST(floor(count({column}) * {p}) AS BIGINT) + 1, count({column}))"

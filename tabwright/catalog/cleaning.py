@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, sql_order_stat, table
+from tabwright.catalog.base import query, spread_table, sql_order_stat, table
 from tabwright.catalog.profiling import BLANKED_COLUMNS, SQL_BLANKED, blanked, rounded
 from tabwright.catalog.quality import _scan_sql, sql_bounds
 from tabwright.operators import clean as C
@@ -16,7 +16,7 @@ SKEWED = ["l_quantity", "l_extendedprice", "heavy"]
 def skewed(spark, folder):
     """lineitem with a long-tailed amount, so that fences have something to catch."""
     price = F.col("l_extendedprice")
-    return table(spark, folder, "lineitem").select(
+    return spread_table(spark, folder, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
         "l_quantity",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabwright.catalog.anomalies import standard_points
-from tabwright.catalog.base import query, sql_order_stat, table
+from tabwright.catalog.base import query, spread_table, sql_order_stat, table
 from tabwright.catalog.learning import SQL_DISTANCE, embedded
 from tabwright.catalog.profiling import rounded
 from tabwright.operators import cluster as K
@@ -14,7 +14,7 @@ ORDER_COLUMNS = ["o_totalprice", "day"]
 
 
 def order_points(spark, folder):
-    df = table(spark, folder, "orders").select(
+    df = spread_table(spark, folder, "orders").select(
         "o_orderkey", "o_totalprice", F.unix_date(F.col("o_orderdate").cast("date")).cast("double").alias("day")
     )
     return standard_points(df, "o_orderkey", ORDER_COLUMNS)

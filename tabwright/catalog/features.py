@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, table
+from tabwright.catalog.base import query, spread_table, table
 from tabwright.catalog.profiling import rounded
 from tabwright.functions import sampling
 from tabwright.operators import features as X
@@ -127,7 +127,7 @@ _stop = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
     """,
 )
 def tfidf_documents(spark, folder):
-    return rounded(T.tfidf(table(spark, folder, "documents"), "doc_id", "text"), "weight")
+    return rounded(T.tfidf(spread_table(spark, folder, "documents"), "doc_id", "text"), "weight")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, table
+from tabwright.catalog.base import query, spread_table, table
 from tabwright.catalog.evaluation import _fit_line, scored
 from tabwright.catalog.profiling import rounded
 from tabwright.functions.sampling import train_test
@@ -13,6 +13,7 @@ from tabwright.operators import models as M
 from tabwright.operators import score as S
 from tabwright.operators import text as T
 from tabwright.operators.learners import LinearModel, fit_linear
+from tabwright.session import cut_lineage
 
 REGRESSORS = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
@@ -21,7 +22,7 @@ def priced(spark, folder):
     """lineitem with its part: inputs and the price to predict."""
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size", "p_retailprice")
     return (
-        table(spark, folder, "lineitem")
+        spread_table(spark, folder, "lineitem")
         .join(parts, "l_partkey")
         .select(
             F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("row_id"),
@@ -33,8 +34,8 @@ def priced(spark, folder):
 
 def judged(spark, folder):
     """Labelled documents as weights of their forty most frequent terms and their length."""
-    documents = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
-    weights = T.tfidf(documents, "doc_id", "text", max_terms=40).persist()
+    documents = spread_table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    weights = cut_lineage(T.tfidf(documents, "doc_id", "text", max_terms=40))
     names = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
     matrix = T.text_matrix(weights, "doc_id", names)
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
@@ -46,7 +47,7 @@ def judged(spark, folder):
 
 def statuses(spark, folder):
     """Orders with their status as a three-class label."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders")
     return orders.select(
         F.col("o_orderkey").alias("row_id"),
         "o_totalprice",
@@ -59,7 +60,7 @@ def _regressor(algorithm, *covers):
     @query(f"{algorithm}_price", *covers)
     def run(spark, folder):
         train, test = train_test(priced(spark, folder), ["row_id"])
-        fitted = M.fit(algorithm, train.persist(), REGRESSORS, classification=False)
+        fitted = M.fit(algorithm, train, REGRESSORS, classification=False)
         return E.regression_metrics(fitted.predict(test), "label", "prediction")
 
     return run
@@ -78,7 +79,7 @@ def _classifier(algorithm, source, name, *covers):
     def run(spark, folder):
         df, features = source(spark, folder)
         train, test = train_test(df, ["row_id"])
-        fitted = M.fit(algorithm, train.persist(), features, classification=True)
+        fitted = M.fit(algorithm, train, features, classification=True)
         return E.classification_metrics(fitted.predict(test), "label", "prediction")
 
     return run

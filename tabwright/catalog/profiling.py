@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, sql_order_stat, table
+from tabwright.catalog.base import query, spread_table, sql_order_stat, table
 from tabwright.operators import profile as P
 from tabwright.operators import targets as G
 
@@ -44,7 +44,7 @@ def rounded(df, *names, places=6):
 
 def blanked(spark, folder):
     """lineitem with missing cells made by rule, as no test table has any."""
-    return table(spark, folder, "lineitem").select(
+    return spread_table(spark, folder, "lineitem").select(
         "l_orderkey",
         "l_quantity",
         "l_extendedprice",
@@ -74,7 +74,7 @@ _rounded_profile = (
     ),
 )
 def profile_lineitem(spark, folder):
-    df = P.profile(table(spark, folder, "lineitem").select(*LINEITEM_NUMBERS, *LINEITEM_WORDS))
+    df = P.profile(spread_table(spark, folder, "lineitem").select(*LINEITEM_NUMBERS, *LINEITEM_WORDS))
     return rounded(rounded(df, "min", "max"), "mean", "std", places=4).drop("position")
 
 
@@ -248,7 +248,7 @@ _matrix_columns = [*MEASURES, "l_linenumber"]
     + ")",
 )
 def corr_matrix_lineitem(spark, folder):
-    return rounded(P.correlation_matrix(table(spark, folder, "lineitem"), _matrix_columns), "r")
+    return rounded(P.correlation_matrix(spread_table(spark, folder, "lineitem"), _matrix_columns), "r")
 
 
 @query(

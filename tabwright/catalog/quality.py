@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabwright.catalog.base import query, sql_order_stat, table
+from tabwright.catalog.base import query, spread_table, sql_order_stat, table
 from tabwright.catalog.profiling import BLANKED_COLUMNS, MEASURES, SQL_BLANKED, blanked, rounded
 from tabwright.functions.statistics import order_stats
 from tabwright.operators import scan as S
@@ -35,7 +35,7 @@ def sql_bounds(source: str, columns: list[str], factor: str = HALF) -> str:
     ),
 )
 def order_stats_lineitem(spark, folder):
-    found = order_stats(table(spark, folder, "lineitem"), {c: (0.25, 0.5, 0.75) for c in MEASURES})
+    found = order_stats(spread_table(spark, folder, "lineitem"), {c: (0.25, 0.5, 0.75) for c in MEASURES})
     return spark.createDataFrame(
         [(c, p, value) for c, values in found.items() for p, value in values.items()],
         "name string, p double, value double",
@@ -52,7 +52,7 @@ def order_stats_lineitem(spark, folder):
     ),
 )
 def iqr_outliers_lineitem(spark, folder):
-    return rounded(S.outlier_counts(table(spark, folder, "lineitem"), MEASURES), "low", "high")
+    return rounded(S.outlier_counts(spread_table(spark, folder, "lineitem"), MEASURES), "low", "high")
 
 
 def _scan_sql(source, numeric, words, target=None):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +14,8 @@ from pyspark.sql import functions as F
 from tabwright.functions.columns import chunks, number
 
 # A percentile_disc buffer keeps one entry per distinct value; it only ever sees this many rows.
-EXACT_ROWS = 200_000
-SKETCH_ACCURACY = 20_000
+EXACT_ROWS = 100_000
+SKETCH_ACCURACY = 10_000
 COLUMNS_PER_JOB = 16
 
 
@@ -31,21 +33,23 @@ class _Search:
     high: float | None = None
     value: float | None = None
 
-    def within(self) -> Column:
-        value = F.col(self.slot)
-        if self.low is None:
-            return value
-        return F.when(value.between(self.low, self.high), value)
+    @property
+    def bracket(self) -> tuple[str, float | None, float | None]:
+        return self.slot, self.low, self.high
 
     def share(self) -> float:
         return (self.rank - self.below + 0.5) / self.inside
 
 
-def present_counts(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Values present per column."""
-    if not columns:
-        return {}
-    return dict(zip(columns, df.agg(*[F.count(number(df, c)) for c in columns]).first(), strict=True))
+def _within(bracket: tuple[str, float | None, float | None]) -> Column:
+    slot, low, high = bracket
+    return F.col(slot) if low is None else F.when(F.col(slot).between(low, high), F.col(slot))
+
+
+def _around(share: float, accuracy: int) -> list[float]:
+    """Probabilities whose sketched values enclose the wanted one, and the wanted one itself."""
+    slack = 2.0 / accuracy
+    return [max(0.0, share - slack), share, min(1.0, share + slack)]
 
 
 def order_stats(
@@ -53,103 +57,131 @@ def order_stats(
     targets: Mapping[str, Sequence[float]],
     exact_rows: int = EXACT_ROWS,
     accuracy: int = SKETCH_ACCURACY,
-    sizes: Mapping[str, int] | None = None,
 ) -> dict[str, dict[float, float | None]]:
     """`sorted(values)[floor(n*p)]` per column: no interpolation, no global sort.
 
-    A quantile sketch brackets each wanted rank, one scan counts the bracket exactly, and the
-    bracket shrinks by about the sketch accuracy per round. `percentile_disc` reads it only once
-    at most `exact_rows` values are left, so no task ever holds a whole column. `sizes` are the
-    values present per column, when they are known already.
+    One scan sketches the quantiles and counts the values, a second one counts exactly how many
+    lie below the sketched values around each wanted rank. Often one of them is the answer; if
+    not, they enclose it, and `percentile_disc` reads what lies between them. While more than
+    `exact_rows` values lie between, the enclosed part is sketched again, which shrinks it by the
+    sketch accuracy each time. No task ever holds a whole column.
     """
-    sizes = present_counts(df, list(targets)) if sizes is None else sizes
+    return order_stats_and_counts(df, targets, exact_rows, accuracy)[0]
+
+
+def order_stats_and_counts(
+    df: DataFrame,
+    targets: Mapping[str, Sequence[float]],
+    exact_rows: int = EXACT_ROWS,
+    accuracy: int = SKETCH_ACCURACY,
+) -> tuple[dict[str, dict[float, float | None]], dict[str, int]]:
+    """`order_stats` and the number of values present per column."""
     found = {name: dict.fromkeys(probabilities) for name, probabilities in targets.items()}
+    sizes: dict[str, int] = {}
     for block in chunks(targets, COLUMNS_PER_JOB):
         slots = {name: f"v{i}" for i, name in enumerate(block)}
         slim = df.select(*[number(df, name).alias(slot) for name, slot in slots.items()])
-        searches = [
-            _Search(name, slots[name], p, min(math.floor(sizes[name] * p), sizes[name] - 1), sizes[name])
-            for name in block
-            for p in targets[name]
-            if sizes[name]
-        ]
-        _resolve(slim, searches, exact_rows, accuracy)
+        grids = {name: [q for p in targets[name] for q in _around(p, accuracy)] for name in block}
+        first = slim.agg(
+            *[F.count(slots[name]) for name in block],
+            *[F.percentile_approx(slots[name], grids[name], accuracy) for name in block],
+        ).first()
+        searches, guesses = [], []
+        for name, size, values in zip(block, first[: len(block)], first[len(block) :], strict=True):
+            sizes[name] = size
+            for place, p in enumerate(targets[name] if size else ()):
+                searches.append(_Search(name, slots[name], p, min(math.floor(size * p), size - 1), size))
+                guesses.append(values[3 * place : 3 * place + 3])
+        if searches:
+            _enclose(slim, searches, guesses)
+            _resolve(slim, searches, exact_rows, accuracy)
         for search in searches:
             found[search.name][search.probability] = search.value
-    return found
+    return found, sizes
 
 
 def _resolve(slim: DataFrame, searches: list[_Search], exact_rows: int, accuracy: int) -> None:
     while wanted := [s for s in searches if s.value is None]:
         if small := [s for s in wanted if s.inside <= exact_rows]:
-            held = slim.select(*[s.within().alias(f"w{i}") for i, s in enumerate(small)])
-            row = held.agg(
-                *[
-                    F.expr(f"percentile_disc({s.share()!r}D) WITHIN GROUP (ORDER BY w{i})")
-                    for i, s in enumerate(small)
-                ]
-            ).first()
-            for search, value in zip(small, row, strict=True):
-                search.value = value
+            _read_brackets(slim, small)
         if large := [s for s in wanted if s.inside > exact_rows]:
-            _narrow(slim, large, accuracy)
-
-
-def _narrow(slim: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    """Shrink each bracket around its rank; keep the old end where the sketch missed."""
-    slack = 2.0 / accuracy
-    row = slim.agg(
-        *[
-            F.percentile_approx(
-                s.within(),
-                [max(0.0, s.share() - slack), s.share(), min(1.0, s.share() + slack)],
-                accuracy,
-            )
-            for s in searches
-        ]
-    ).first()
-    guesses = list(zip(searches, row, strict=True))
-    tallies = []
-    for search, (low, middle, high) in guesses:
-        value = F.col(search.slot)
-        tallies += [F.count_if(value < cut) for cut in (low, middle, high)]
-        tallies += [F.count_if(value <= cut) for cut in (low, middle, high)]
-    counted = slim.agg(*tallies).first()
-    for position, (search, (low, middle, high)) in enumerate(guesses):
-        under = counted[6 * position : 6 * position + 3]
-        upto = counted[6 * position + 3 : 6 * position + 6]
-        for cut, less, most in zip((low, middle, high), under, upto, strict=True):
-            if less <= search.rank < most:
+            brackets = list(dict.fromkeys(s.bracket for s in large))
+            grids = {b: [q for s in large if s.bracket == b for q in _around(s.share(), accuracy)] for b in brackets}
+            row = slim.agg(*[F.percentile_approx(_within(b), grids[b], accuracy) for b in brackets]).first()
+            sketched = dict(zip(brackets, map(list, row), strict=True))
+            guesses = []
+            for s in large:
+                guesses.append(sketched[s.bracket][:3])
+                del sketched[s.bracket][:3]
+            _enclose(slim, large, guesses)
+
+
+def _read_brackets(slim: DataFrame, searches: list[_Search]) -> None:
+    """The exact value of each search from the rows inside any of the brackets."""
+    inside = reduce(or_, [_within(s.bracket).isNotNull() for s in searches])
+    held = slim.where(inside).select(*[_within(s.bracket).alias(f"w{i}") for i, s in enumerate(searches)])
+    exact = [f"percentile_disc({s.share()!r}D) WITHIN GROUP (ORDER BY w{i})" for i, s in enumerate(searches)]
+    for search, value in zip(searches, held.agg(*map(F.expr, exact)).first(), strict=True):
+        search.value = value
+
+
+def _enclose(slim: DataFrame, searches: list[_Search], guesses: list[Sequence[float]]) -> None:
+    """Count around the guessed values; settle a search or shrink its bracket."""
+    cuts: dict[str, list[float]] = {}
+    for search, guess in zip(searches, guesses, strict=True):
+        cuts[search.slot] = sorted({*cuts.get(search.slot, ()), *guess})
+    ranks = _count_around(slim, cuts)
+    for search, guess in zip(searches, guesses, strict=True):
+        edges = sorted((cut, *ranks[search.slot, cut]) for cut in set(guess))
+        for cut, under, upto in edges:
+            if under <= search.rank < upto:
                 search.value = cut
-                break
         if search.value is not None:
             continue
-        edges = sorted(
-            (cut, less, most) for cut, less, most in zip((low, middle, high), under, upto, strict=True)
-        )
-        first = [edge for edge in edges if edge[1] <= search.rank]
-        last = [edge for edge in edges if edge[2] > search.rank]
         start, end = search.below, search.below + search.inside
-        if first:
-            search.low, start = first[-1][0], first[-1][1]
-        if last:
-            search.high, end = last[0][0], last[0][2]
-        search.low = -math.inf if search.low is None else search.low
-        search.high = math.inf if search.high is None else search.high
-        search.below, search.inside = start, end - start
+        low = -math.inf if search.low is None else search.low
+        high = math.inf if search.high is None else search.high
+        for cut, under, _ in edges:
+            if under <= search.rank:
+                low, start = cut, under
+        for cut, _, upto in reversed(edges):
+            if upto > search.rank:
+                high, end = cut, upto
+        search.low, search.high, search.below, search.inside = low, high, start, end - start
+
+
+def _count_around(slim: DataFrame, cuts: Mapping[str, Sequence[float]]) -> dict[tuple[str, float], tuple[int, int]]:
+    """(values below, values up to) each cut of each column.
+
+    A value's place among the sorted cuts is twice the cuts below it, plus one if it equals a
+    cut. Rows are counted per (column, place), which leaves a few dozen groups.
+    """
+    places = []
+    for slot, values in cuts.items():
+        steps = [((F.col(slot) >= c).cast("int") + (F.col(slot) > c).cast("int")) for c in values]
+        places.append(F.struct(F.lit(slot).alias("slot"), reduce(add, steps).alias("place")))
+    counts = slim.select(F.inline(F.array(*places))).where("place IS NOT NULL").groupBy("slot", "place").count()
+    tally = {(r.slot, r.place): r["count"] for r in counts.collect()}
+    found = {}
+    for slot, values in cuts.items():
+        below = 0
+        for i, cut in enumerate(values):
+            below += tally.get((slot, 2 * i), 0)
+            upto = below + tally.get((slot, 2 * i + 1), 0)
+            found[slot, cut] = (below, upto)
+            below = upto
+    return found
 
 
 def iqr_bounds(
     df: DataFrame, columns: Sequence[str], factor: float = 1.5, min_rows: int = 4, skip_flat: bool = False
 ) -> dict[str, tuple[float, float]]:
     """Fences `q1 - f*iqr`, `q3 + f*iqr` per column; columns with too few values are left out."""
-    sizes = present_counts(df, columns)
-    enough = [name for name in columns if sizes[name] >= min_rows]
-    quartiles = order_stats(df, {name: (0.25, 0.75) for name in enough}, sizes=sizes)
+    quartiles, sizes = order_stats_and_counts(df, {name: (0.25, 0.75) for name in columns})
     bounds = {}
-    for name in enough:
+    for name in columns:
         q1, q3 = quartiles[name][0.25], quartiles[name][0.75]
-        if not (skip_flat and q1 == q3):
+        if sizes[name] >= min_rows and not (skip_flat and q1 == q3):
             bounds[name] = (q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
     return bounds
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.columns import quoted, ratio
+from tabwright.functions.ranking import numbered
 from tabwright.functions.sampling import SEED
 from tabwright.functions.statistics import order_stats
 from tabwright.functions.vectors import array_squared_distance, pairwise, unpack
@@ -266,12 +267,21 @@ def core_points(points: DataFrame, min_pts: int, eps: float | None = None) -> tu
 
 
 GRID_COLUMNS = 3
+CELL_ROWS = 300
 
 
 def _cells(points: DataFrame, eps: float) -> DataFrame:
-    """Cell of side eps over the first three columns."""
+    """Grid cell over the first three columns, of side eps or wider where rows are sparse.
+
+    Any side from eps up lets a row reach only its own and the next cells; a wider one saves
+    groups that would hold a handful of rows.
+    """
     width = min(GRID_COLUMNS, len(points.first().vec))
-    return points.withColumn("_c", F.array(*[F.floor(F.col("vec")[i] / F.lit(eps)).cast("long") for i in range(width)]))
+    x = [F.col("vec")[i] for i in range(width)]
+    n, *ends = points.agg(F.count(F.lit(1)), *[f(c) for c in x for f in (F.min, F.max)]).first()
+    spans = [max(ends[2 * i + 1] - ends[2 * i], eps) for i in range(width)]
+    side = max(eps, (math.prod(spans) * CELL_ROWS / n) ** (1 / width))
+    return points.withColumn("_c", F.array(*[F.floor(c / F.lit(side)).cast("long") for c in x]))
 
 
 def _around(cells: DataFrame) -> DataFrame:
@@ -353,10 +363,9 @@ def dbscan(points: DataFrame, min_pts: int, eps: float | None = None, block_rows
     reach = _around(kinds.where("core")).select("id", "vec", "cell")
     forward = block_pairs(core, reach, block_sizes(core, reach, block_rows), _links(eps), "id long, to long")
     parts = connected(core, forward)
-    numbered = parts.select("component").distinct().withColumn(
-        "cluster", F.row_number().over(Window.orderBy("component")) - 1
-    )
-    cores = cut_lineage(parts.join(numbered, "component").select("id", "cluster"))
+    places = numbered(parts.select("component").distinct(), [("component", True)], name="place")
+    first = places.select("component", (F.col("place") - 1).cast("int").alias("cluster"))
+    cores = cut_lineage(parts.join(first, "component").select("id", "cluster"))
     border = home.where("NOT core").select("id", "vec", "cell")
     labelled = reach.join(cores, "id")
 

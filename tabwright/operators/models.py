@@ -180,9 +180,20 @@ def fit(
     if algorithm == "naive_bayes":
         model = learners.fit_naive_bayes(train, names, "label", p.get("smoothing", 1e-9))
         return Fitted(algorithm, names, _with_expression(model.predict()), [], model)
-    rows = train.count()
     if algorithm == "knn":
-        return _fit_knn(train, names, min(int(p.get("k", 5)), max(1, rows // 2)), key)
+        return _fit_knn(train, names, min(int(p.get("k", 5)), max(1, train.count() // 2)), key)
+    held = train.is_cached
+    train = train.persist()
+    try:
+        return _fit_spark(algorithm, train, names, classification, p)
+    finally:
+        if not held:
+            train.unpersist()
+
+
+def _fit_spark(algorithm: str, train: DataFrame, names: list[str], classification: bool, p: Mapping[str, float]) -> Fitted:
+    """Train one of Spark's learners on rows that are kept at hand for its many passes."""
+    rows = train.count()
     classes = int(train.agg(F.countDistinct("label")).first()[0]) if classification else 0
     steps: list = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
     if algorithm == "svm":

@@ -38,14 +38,31 @@ def distinct_values(df: DataFrame, name: str, approximate: bool = False) -> Colu
     return counted + F.max(value.isNull().cast("long"))
 
 
+def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """(name, n_unique) per column; missing counts as one more value.
+
+    Exact counts go column by column in one job: each branch reads one column and shuffles its
+    distinct values, where a joint count would carry every row once per column.
+    """
+    if approximate:
+        counts = [distinct_values(df, c, True).alias(f"u{i}") for i, c in enumerate(columns)]
+        rows = [F.struct(F.lit(c).alias("name"), F.col(f"u{i}").alias("n_unique")) for i, c in enumerate(columns)]
+        return df.agg(*counts).select(as_rows(rows))
+    out = None
+    for c in columns:
+        values = df.select(present(df, c).alias("v")).distinct()
+        branch = values.agg(F.lit(c).alias("name"), F.count(F.lit(1)).alias("n_unique"))
+        out = branch if out is None else out.unionByName(branch)
+    return out
+
+
 def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row per column: type, distinct, missing, min, max, mean and population deviation."""
     numbers = set(numeric_columns(df))
     aggregates, rows = [], []
     nothing = F.lit(None).cast("double")
     for i, name in enumerate(df.columns):
-        value = present(df, name)
-        aggregates += [distinct_values(df, name, approximate).alias(f"u{i}"), F.count_if(value.isNull()).alias(f"m{i}")]
+        aggregates.append(F.count_if(present(df, name).isNull()).alias(f"m{i}"))
         spread = [nothing] * 4
         if name in numbers:
             x = number(df, name)
@@ -59,12 +76,15 @@ def profile(df: DataFrame, approximate: bool = False) -> DataFrame:
                 F.lit(i).alias("position"),
                 F.lit(name).alias("name"),
                 F.lit("numeric" if name in numbers else "categorical").alias("type"),
-                F.col(f"u{i}").alias("n_unique"),
                 F.col(f"m{i}").alias("n_missing"),
                 *[s.alias(kind) for s, kind in zip(spread, ("min", "max", "mean", "std"), strict=True)],
             )
         )
-    return df.agg(*aggregates).select(as_rows(rows))
+    facts = df.agg(*aggregates).select(as_rows(rows))
+    # one row per column of the table on both sides
+    return facts.join(F.broadcast(distinct_counts(df, df.columns, approximate)), "name").select(
+        "position", "name", "type", "n_unique", "n_missing", "min", "max", "mean", "std"
+    )
 
 
 def as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:

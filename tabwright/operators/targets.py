@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import categorical_columns, number, numeric_columns, ratio
 from tabwright.functions.statistics import iqr_bounds
-from tabwright.operators.profile import distinct_values, missing_cells, scale_spread
+from tabwright.operators.profile import distinct_counts, missing_cells, scale_spread
 
 # Column-name words that mark amounts, outcomes and identifiers.
 AMOUNT_WORDS = (
@@ -138,14 +138,15 @@ def recommendations(df: DataFrame, target: str | None = None) -> DataFrame:
         rows.append(("scaling", "medium", numbers, "standard"))
 
     words = [c for c in categorical_columns(df) if c != target]
-    spreads = [distinct_values(df, c).alias(f"u{i}") for i, c in enumerate(words)]
-    spreads += [F.var_pop(number(df, c)).alias(f"v{i}") for i, c in enumerate(numbers)]
-    spreads += [F.count(number(df, c)).alias(f"k{i}") for i, c in enumerate(numbers)]
-    if spreads:
-        found = df.agg(*spreads).first()
-        crowded = [c for i, c in enumerate(words) if found[f"u{i}"] > 20]
+    if words:
+        kinds = {r.name: r.n_unique for r in distinct_counts(df, words).collect()}
+        crowded = [c for c in words if kinds[c] > 20]
         if crowded:
             rows.append(("cardinality", "low", crowded, "exclude"))
+    if numbers:
+        spreads = [F.var_pop(number(df, c)).alias(f"v{i}") for i, c in enumerate(numbers)]
+        spreads += [F.count(number(df, c)).alias(f"k{i}") for i, c in enumerate(numbers)]
+        found = df.agg(*spreads).first()
         flat = [c for i, c in enumerate(numbers) if found[f"k{i}"] >= 5 and found[f"v{i}"] < 0.001]
         if flat:
             rows.append(("variance", "low", flat, "exclude"))

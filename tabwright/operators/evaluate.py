@@ -151,10 +151,10 @@ def metric_rows(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> D
 
 
 def compare_models(models: DataFrame, classification: bool) -> DataFrame:
-    """Weighted score, place, and the spread between best and worst, for a handful of models.
+    """Weighted score of each model, which one wins, and the spread between best and worst.
 
     `models` has model_id and its metrics. The runner-up is chosen by its own rule: the weighted
-    score for classification, r2 for regression.
+    score for classification, r2 for regression. Between equal scores the smaller numeric id wins.
     """
 
     def metric(name):
@@ -173,21 +173,21 @@ def compare_models(models: DataFrame, classification: bool) -> DataFrame:
         )
         second, plain = metric("r2"), metric("r2")
     scored = models.select("model_id", score.alias("score"), second.alias("_second"), plain.alias("_plain"))
-    everything = Window.partitionBy()
-    placed = scored.withColumns(
-        {
-            "place": F.row_number().over(everything.orderBy(F.desc("score"), "model_id")),
-            "spread": F.max("_plain").over(everything) - F.min("_plain").over(everything),
-            "_models": F.count(F.lit(1)).over(everything),
-        }
-    )
-    rest = Window.partitionBy(F.col("place") > 1).orderBy(F.desc("_second"), "model_id")
-    role = (
-        F.when(F.col("place") == 1, "winner")
-        .when((F.col("_models") > 2) & (F.row_number().over(rest) == 1), "runner-up")
-        .otherwise("other")
-    )
-    return placed.withColumn("role", role).select("model_id", "score", "role", "spread")
+    first = F.struct(F.col("score"), (-F.col("model_id")).alias("k")) if _is_number(models) else F.col("score")
+    winner, best, worst, n = scored.agg(
+        F.max_by("model_id", first), F.max("_plain"), F.min("_plain"), F.count(F.lit(1))
+    ).first()
+    role = F.when(F.col("model_id") == F.lit(winner), "winner")
+    if n > 2:
+        order = F.struct(F.col("_second"), (-F.col("model_id")).alias("k")) if _is_number(models) else F.col("_second")
+        runner_up = scored.where(F.col("model_id") != F.lit(winner)).agg(F.max_by("model_id", order)).first()[0]
+        role = role.when(F.col("model_id") == F.lit(runner_up), "runner-up")
+    spread = best - worst if n else None
+    return scored.select("model_id", "score", role.otherwise("other").alias("role"), F.lit(spread).alias("spread"))
+
+
+def _is_number(models: DataFrame) -> bool:
+    return models.schema["model_id"].dataType.typeName() in ("long", "integer")
 
 
 def radar(models: DataFrame, metrics: Sequence[str], errors: Sequence[str] = ("mae", "rmse")) -> DataFrame:
@@ -207,20 +207,20 @@ def radar(models: DataFrame, metrics: Sequence[str], errors: Sequence[str] = ("m
 def importance_table(importances: DataFrame, models: Sequence[str], per_model: int = 8, kept: int = 10) -> DataFrame:
     """Feature importance in percent side by side, 0 where a model lacks the feature.
 
-    `importances` has model_id, feature, importance: tens of rows per model. Features come from
+    `importances` has model_id, feature, importance. Features come from
     each model's first eight, and the first ten of those by the best place they reach.
     """
     place = F.row_number().over(Window.partitionBy("model_id").orderBy(F.desc("importance"), "feature"))
-    ranked = importances.withColumn("_place", place)
     chosen = (
-        ranked.where(F.col("_place") <= per_model)
+        importances.withColumn("_place", place)
+        .where(F.col("_place") <= per_model)
         .groupBy("feature")
         .agg(F.min("_place").alias("_best"), F.max("importance").alias("_top"))
         .orderBy("_best", F.desc("_top"), "feature")
         .limit(kept)
     )
     return (
-        ranked.join(chosen, "feature", "left_semi")
+        importances.join(F.broadcast(chosen.select("feature")), "feature", "left_semi")
         .groupBy("feature")
         .pivot("model_id", list(models))
         .agg(F.round(F.first("importance") * 100, 1))

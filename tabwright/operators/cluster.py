@@ -26,7 +26,7 @@ from tabwright.functions.sampling import SEED
 from tabwright.functions.statistics import order_stats
 from tabwright.functions.vectors import array_squared_distance, pairwise, unpack
 from tabwright.operators.neighbors import BLOCK_ROWS, block_pairs, block_sizes, blocks_for, nearest
-from tabwright.session import cut_lineage
+from tabwright.session import cut_lineage, ensure_checkpoint_dir, side_by_side
 
 NOISE = -1
 MAX_BROADCAST_CENTERS = 5_000
@@ -212,11 +212,13 @@ def cluster_metrics(points: DataFrame, labels: DataFrame, rows: int | None = Non
 def find_k(points: DataFrame, most: int = 10) -> tuple[DataFrame, int]:
     """(one row per k with its metrics, best k by silhouette) for K-Means with 2 to `most` clusters."""
     n = points.count()
-    rows = []
-    for k in range(2, min(most, n - 1) + 1):
+    ensure_checkpoint_dir(points.sparkSession)
+
+    def measured(k):
         found = kmeans(points, k)
-        labels = cut_lineage(found.labels)
-        rows.append({"k": k, "inertia": found.inertia, **cluster_metrics(points, labels, n)})
+        return {"k": k, "inertia": found.inertia, **cluster_metrics(points, cut_lineage(found.labels), n)}
+
+    rows = side_by_side(measured, range(2, min(most, n - 1) + 1))
     best = max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"] if rows else 2
     schema = "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"
     return points.sparkSession.createDataFrame(rows, schema), best

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from tabwright.functions.sampling import SEED, unit_hash
 from tabwright.operators import learners
 from tabwright.operators.evaluate import classification_metrics, regression_metrics
+from tabwright.session import side_by_side
 
 # Tunable parameters as (lowest, highest, step, usual value).
 TUNABLE = {
@@ -242,7 +243,7 @@ def rank_candidates(
 ):
     """(leaderboard, fitted learners by algorithm), best first.
 
-    Learners are tried one after another, baseline included; one that fails keeps a row with its
+    Learners are tried a few at a time, baseline included; one that fails keeps a row with its
     error. With `folds` the rank follows the cross-validated score over all rows.
     """
     spark = train.sparkSession
@@ -250,27 +251,31 @@ def rank_candidates(
     main = "accuracy" if classification else "r2"
     measure = classification_metrics if classification else regression_metrics
     train, test = train.persist(), test.persist()
-    rows, trained = [], {}
+
+    def attempt(algorithm):
+        started = time.time()
+        try:
+            fitted = fit(algorithm, train, features, classification, key=key)
+            measured = [measure(fitted.predict(part), "label", "prediction").first().asDict() for part in (train, test)]
+        except Exception as error:  # a learner that cannot handle this table must not stop the others
+            return (algorithm, "error", str(error)[:200], None, None, None, None, None), None
+        took = time.time() - started
+        cv = None
+        if folds and algorithm != "baseline":
+            cv = _cv_score(algorithm, train.unionByName(test), features, classification, folds, key)
+        clean = [{k: float(v) for k, v in m.items() if v is not None} for m in measured]
+        importance = [{"feature": f, "importance": s} for f, s in fitted.importance]
+        return (algorithm, "ok", None, clean[1], clean[0], importance, took, cv), fitted
+
     try:
-        for algorithm in wanted:
-            started = time.time()
-            try:
-                fitted = fit(algorithm, train, features, classification, key=key)
-                measured = [measure(fitted.predict(part), "label", "prediction").first().asDict() for part in (train, test)]
-            except Exception as error:  # a learner that cannot handle this table must not stop the others
-                rows.append((algorithm, "error", str(error)[:200], None, None, None, None, None))
-                continue
-            trained[algorithm] = fitted
-            took = time.time() - started
-            cv = None
-            if folds and algorithm != "baseline":
-                cv = _cv_score(algorithm, train.unionByName(test), features, classification, folds, key)
-            clean = [{k: float(v) for k, v in m.items() if v is not None} for m in measured]
-            importance = [{"feature": f, "importance": s} for f, s in fitted.importance]
-            rows.append((algorithm, "ok", None, clean[1], clean[0], importance, took, cv))
+        for part in (train, test):
+            part.count()
+        outcomes = side_by_side(attempt, wanted)
     finally:
         train.unpersist()
         test.unpersist()
+    rows = [row for row, _ in outcomes]
+    trained = {row[0]: fitted for row, fitted in outcomes if fitted is not None}
     board = spark.createDataFrame(
         rows,
         "algorithm string, status string, message string, test_metrics map<string,double>, "
@@ -372,15 +377,20 @@ def tune(
     measure = classification_metrics if classification else regression_metrics
     main = "accuracy" if classification else "r2"
     train, test = train.persist(), test.persist()
-    rows = []
+
+    def trial(numbered):
+        number, params = numbered
+        try:
+            fitted = fit(algorithm, train, features, classification, params, key)
+            score = float(measure(fitted.predict(test), "label", "prediction").first()[main])
+        except Exception:  # a combination the learner refuses is a lost trial
+            score = float("-inf")
+        return number, {k: float(v) for k, v in params.items()}, score
+
     try:
-        for number, params in enumerate(combinations):
-            try:
-                fitted = fit(algorithm, train, features, classification, params, key)
-                score = float(measure(fitted.predict(test), "label", "prediction").first()[main])
-            except Exception:  # a combination the learner refuses is a lost trial
-                score = float("-inf")
-            rows.append((number, {k: float(v) for k, v in params.items()}, score))
+        for part in (train, test):
+            part.count()
+        rows = side_by_side(trial, enumerate(combinations))
     finally:
         train.unpersist()
         test.unpersist()

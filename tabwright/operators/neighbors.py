@@ -99,15 +99,24 @@ def _place(pivots: np.ndarray):
 
 
 def _visits(pivots: np.ndarray, radius: np.ndarray):
-    """Other cells that may hold a row nearer than what the home cell offered."""
+    """Other cells that may hold a row nearer than what the home cell offered.
+
+    A cell is out of reach when its ball around the pivot is, or when the plane halfway between
+    the two pivots is: every row of a cell lies on its own pivot's side of it.
+    """
+    between = np.maximum(pairwise(pivots, pivots), 1e-300)
 
     def visits(frames):
         for frame in frames:
             vectors, reach = unpack(frame["vec"]), frame["reach"].to_numpy()
             for part in slices(len(frame), len(pivots)):
                 distances = pairwise(vectors[part], pivots)
-                near = distances - radius[None, :] <= reach[part, None] * (1 + 1e-9) + 1e-12
-                near[np.arange(len(distances)), distances.argmin(axis=1)] = False
+                home = distances.argmin(axis=1)
+                own = distances[np.arange(len(distances)), home]
+                squares = distances**2
+                plane = (squares * (1 - 1e-14) - own[:, None] ** 2 * (1 + 1e-14)) / (2 * between[home])
+                near = np.maximum(distances - radius[None, :], plane) <= reach[part, None] * (1 + 1e-9) + 1e-9
+                near[np.arange(len(distances)), home] = False
                 rows, cells = np.nonzero(near & np.isfinite(radius)[None, :])
                 chosen = frame.iloc[part]
                 yield pd.DataFrame(

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
+JOBS_AT_ONCE = 4
+
 
 def local_session(app: str = "tabwright", cores: int | str = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own settings."""
@@ -19,6 +24,7 @@ def local_session(app: str = "tabwright", cores: int | str = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -38,6 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def side_by_side(run: Callable, items: Iterable, at_once: int = JOBS_AT_ONCE) -> list:
+    """`run` on every item, a few at a time, results in order: independent fits share the cluster."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(run), items))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and go on from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)

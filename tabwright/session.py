@@ -46,8 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def side_by_side(run: Callable, items: Iterable, at_once: int = JOBS_AT_ONCE) -> list:
     """`run` on every item, a few at a time, results in order: independent fits share the cluster."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(inheritable_thread_target(run), items))
+        return list(pool.map(inherit(run), items))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

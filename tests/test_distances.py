@@ -73,7 +73,7 @@ def test_silhouette_matches_brute_force_in_small_blocks(spark, clouds):
     assert got == pytest.approx(wanted)
 
 
-def reference_dbscan(matrix, eps, min_pts):
+def flooded(matrix, eps, min_pts):
     """Clusters of core points by flooding; borders to the cluster with the smallest first core id."""
     d = distances(matrix) <= eps
     core = d.sum(axis=1) >= min_pts
@@ -98,7 +98,7 @@ def reference_dbscan(matrix, eps, min_pts):
 def test_dbscan_matches_brute_force(spark, clouds, block_rows):
     found = K.dbscan(frame(spark, clouds), 4, eps=0.35, block_rows=block_rows)
     got = {r.id: r.cluster for r in found.labels.collect()}
-    wanted = reference_dbscan(clouds, 0.35, 4)
+    wanted = flooded(clouds, 0.35, 4)
     assert got == dict(enumerate(wanted))
     assert got[len(clouds) - 1] == -1
 

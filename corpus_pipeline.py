@@ -7,31 +7,64 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.llm import language_id
+from tabwright.llm.budget_mix import mix
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
+from tabwright.llm.pii_surrogates import pseudonymize
 from tabwright.llm.positional_index import contamination
 from tabwright.llm.store import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (no text, or no letter in it) go; the others get the predicted one as `lang`."""
+    model = language_id.fit(docs, "text", "lang")
+    found = language_id.predict(docs, model, "text", tuple(docs.columns))
+    return found.where(F.col("lang_pred") != language_id.UNDETERMINED).select(
+        *[F.col("lang_pred").alias("lang") if c == "lang" else c for c in docs.columns]
+    )
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component of 5-word shingle sets with a similarity of 0.8 stays."""
+    """The smallest document of each component of 5-word shingle sets with a similarity of 0.8 stays.
+
+    Rows without an id stay; of rows that share an id one stays.
+    """
     found = jaccard_join(docs, Similarity(words=5, percent=80))
     others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti").select(docs.columns)
+    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti")
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts become surrogates; `n_chars` follows the new text."""
+    changed = pseudonymize(docs, key="corpus-pipeline")
+    return changed.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix with the number of copies it takes; those it takes no copy of go."""
+    mixed = mix(docs, weights=(3, 1, 2), share=1.5)
+    chosen = mixed.where("copies > 0").select("doc_id", "size", "source_size", "target", "copies", "taken")
+    return docs.join(chosen, "doc_id")
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
     ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
+    ("decontamination", decontaminate),
+    ("personal_data", replace_personal_data),
+    ("source_mix", mix_sources),
 ]
 
+# Phrase parsing, surrogates and subset sums have no SQL form; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 

@@ -6,9 +6,10 @@
 2. A set's prefix holds the tokens of which two linked sets must share one. Documents with the
    same prefix and size form one group, and only groups enter the inverted index.
 3. Groups under a token are compared by size and by the position of the token. What passes is not
-   written as pairs: it only marks two tiles (bounded bundles of alike documents) as worth a look.
-4. Marked tiles are expanded to the distinct sets of their members and verified whole. Each pair
-   of sets lives in exactly one pair of tiles, so links are counted once and never enumerated.
+   written as pairs: it only marks two tiles (bounded bundles of alike groups) as worth a look.
+   Inside marked tiles, groups stay that share enough prefix tokens with another.
+4. These are expanded to the distinct sets of their members and verified whole. Each pair of sets
+   lives in exactly one pair of tiles, so links are counted once and never enumerated.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,12 +28,15 @@ from tabwright.llm.store import keep
 from tabwright.llm.texts import WordHashes, run_starts, shingles, split_words, text_bytes, whole_runs
 
 WINDOW_TOKENS = 4_000_000
-LOCAL_REPEATS = 3
-ORDERED_TOKENS = 1 << 19
+LOCAL_REPEATS = 2
+ORDERED_TOKENS = 1 << 20
 CELL_GROUPS = 1_024
 TILE_SETS = 256
 TILE_TOKENS = 400_000
 SLAB = 2_048
+SEEN_KEYS = 500_000
+CELL = ("token", "low", "high")
+UNIT = ("left", "right")
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ class Similarity:
     def linked(self, shared: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return 100 * shared >= self.percent * (left + right - shared)
 
-    def needed(self, left: int, right: np.ndarray) -> np.ndarray:
+    def needed(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The smallest intersection with which sets of these sizes link."""
         return -(-self.percent * (left + right) // (100 + self.percent))
 
@@ -84,9 +87,9 @@ def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
 def token_order(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens known to be frequent, sorted, and their ranks (a larger one is more frequent).
 
-    Counts are kept for tokens seen three times in one window of a task. A token in G documents
-    over P windows is seen so once G passes a small power of P, so what is missed is rare. Only
-    tokens holding at least a 2^19th of all counted occurrences stay, hence at most 2^19 of them.
+    Counts are kept for tokens seen twice in one window of a task. A token in G documents over P
+    windows is seen so once G passes about the square root of P, so what is missed is rare. Only
+    tokens holding at least a 2^20th of all counted occurrences stay, hence at most 2^20 of them.
     """
     counted = keep(
         texts.mapInArrow(_repeated(width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
@@ -98,44 +101,70 @@ def token_order(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], table["n"].to_numpy(dtype=np.int64)[order]
 
 
-def _ordered_prefix(found: np.ndarray, size: int, order: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _ordered_prefix(
+    found: np.ndarray, size: int, order: tuple[np.ndarray, np.ndarray]
+) -> tuple[np.ndarray, np.ndarray]:
+    """The first `size` tokens from rare to frequent, and into how many chunks the index cuts each one's list."""
     tokens, counts = order
     if len(tokens) == 0:
-        return found[:size]
+        return found[:size], np.ones(size, dtype=np.int64)
     at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
     known = tokens[at] == found
-    rare = found[~known]
-    if len(rare) >= size:
-        return rare[:size]
-    often = found[known]
-    often = often[np.argsort(counts[at[known]], kind="stable")]
-    return np.concatenate([rare, often])[:size]
+    rare = found[~known][:size]
+    held = np.ones(len(rare), dtype=np.int64)
+    if len(rare) < size:
+        often = counts[at[known]]
+        place = np.argsort(often, kind="stable")[: size - len(rare)]
+        rare = np.concatenate([rare, found[known][place]])
+        held = np.concatenate([held, -(-often[place] // CELL_GROUPS)])
+    return rare, held
 
 
-def _signed(rule: Similarity, shared) -> object:
+def _signed(rule: Similarity, shared):
+    """Per row: set size, key of the set, key of (prefix, size), and the prefix with the chunks of each token.
+
+    A task that has just seen the same prefix leaves it out, so copies do not fill the index.
+    """
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("prefix", pa.list_(pa.int64()))]
+        [
+            ("doc_id", pa.int64()),
+            ("n", pa.int64()),
+            ("set_key", pa.binary()),
+            ("gkey", pa.int64()),
+            ("prefix", pa.list_(pa.int64())),
+            ("chunks", pa.list_(pa.int64())),
+        ]
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order = WordHashes(), shared.value
+        hashes, order, seen = WordHashes(), shared.value, set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at in range(0, len(ids), 1_000):
-                sizes, keys, prefixes = [], [], []
+                sizes, set_keys, group_keys, prefixes, chunks = [], [], [], [], []
                 for text in text_bytes(batch.column("text").slice(at, 1_000)):
                     found = shingles(hashes.of(split_words(text)), rule.words)
+                    prefix, held = _ordered_prefix(found, rule.prefix(len(found)) if len(found) else 0, order)
+                    key = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(found))
+                    if key in seen:
+                        prefix, held = prefix[:0], held[:0]
+                    seen.add(key)
                     sizes.append(len(found))
-                    keys.append(xxhash.xxh128_digest(found.tobytes()))
-                    prefixes.append(_ordered_prefix(found, rule.prefix(len(found)), order) if len(found) else found)
-                offsets = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
-                flat = np.concatenate(prefixes).view(np.int64)
+                    set_keys.append(xxhash.xxh128_digest(found.tobytes()))
+                    group_keys.append(key)
+                    prefixes.append(prefix)
+                    chunks.append(held)
+                if len(seen) > SEEN_KEYS:
+                    seen.clear()
+                offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids[at : at + 1_000], pa.int64()),
                         pa.array(sizes, pa.int64()),
-                        pa.array(keys, pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                        pa.array(set_keys, pa.binary()),
+                        pa.array(np.array(group_keys, dtype=np.uint64).view(np.int64)),
+                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view(np.int64))),
+                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chunks))),
                     ],
                     schema=schema,
                 )
@@ -143,34 +172,89 @@ def _signed(rule: Similarity, shared) -> object:
     return run
 
 
+def _run_pairs(
+    rule: Similarity, table: dict[str, np.ndarray], begin: int, end: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, later rows of alike size, which of them pass by position) inside one cell of the index."""
+    n, pos, chunk, gkey = (table[c] for c in ("n", "pos", "chunk", "gkey"))
+    within = table["low"][begin] == table["high"][begin]
+    for i in range(begin, end - 1):
+        limit = begin + int(np.searchsorted(n[begin:end], 100 * n[i] // rule.percent, side="right"))
+        if limit > i + 1:
+            later = np.arange(i + 1, limit)
+            met = gkey[later] != gkey[i]
+            if not within:
+                met &= chunk[later] != chunk[i]
+            later = later[met]
+            if len(later):
+                bound = 1 + np.minimum(n[i] - pos[i] - 1, n[later] - pos[later] - 1)
+                yield i, later, bound >= rule.needed(n[i], n[later])
+
+
+def _columns(table: pa.Table) -> dict[str, np.ndarray]:
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _candidates(rule: Similarity):
+    """Postings with a partner of alike size in their cell.
+
+    `leader` is the smallest group key among the posting's own and the partners it passes with by
+    position, null if it passes with none.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for arrow in whole_runs(batches, CELL):
+            table = _columns(arrow)
+            starts = run_starts(arrow, CELL)
+            lengths = np.diff(np.r_[starts, arrow.num_rows])
+            n, pos, gkey, chunk = (table[c] for c in ("n", "pos", "gkey", "chunk"))
+            leader = gkey.copy()
+            kept = np.zeros(arrow.num_rows, dtype=bool)
+            passed = np.zeros(arrow.num_rows, dtype=bool)
+            one = starts[lengths == 2]
+            two = one + 1
+            met = (gkey[one] != gkey[two]) & (100 * n[one] >= rule.percent * n[two])
+            met &= (table["low"][one] == table["high"][one]) | (chunk[one] != chunk[two])
+            one, two = one[met], two[met]
+            good = 1 + np.minimum(n[one] - pos[one] - 1, n[two] - pos[two] - 1) >= rule.needed(n[one], n[two])
+            for row in (one, two):
+                kept[row] = True
+                passed[row] = good
+                leader[row] = np.minimum(gkey[one], gkey[two])
+            for begin, length in zip(starts[lengths > 2].tolist(), lengths[lengths > 2].tolist(), strict=True):
+                for i, later, fits in _run_pairs(rule, table, begin, begin + length):
+                    kept[i] = kept[later] = True
+                    if fits.any():
+                        fitting = later[fits]
+                        passed[i] = passed[fitting] = True
+                        leader[i] = min(leader[i], gkey[fitting].min())
+                        leader[fitting] = np.minimum(leader[fitting], gkey[i])
+            if kept.any():
+                rows = arrow.filter(pa.array(kept))
+                rows = rows.append_column("leader", pa.array(leader[kept], mask=~passed[kept]))
+                yield from rows.combine_chunks().to_batches()
+
+    return run
+
+
 def _marked_tiles(rule: Similarity):
-    """Tile pairs with a pair of groups that may link, from index cells sorted by size."""
-    keys = ("token", "low", "high")
+    """Pairs of tiles with a pair of groups that may link."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for table in whole_runs(batches, keys):
-            n, pos, tile, chunk = (table[c].to_numpy() for c in ("n", "pos", "tile", "chunk"))
-            low, high = table["low"].to_numpy(), table["high"].to_numpy()
-            starts = run_starts(table, keys)
+        for arrow in whole_runs(batches, CELL):
+            table = _columns(arrow)
+            tile = table["tile"]
+            starts = run_starts(arrow, CELL)
             fresh: list[tuple[int, int]] = []
-            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
-                within = low[begin] == high[begin]
-                for i in range(begin, end - 1):
-                    limit = begin + int(np.searchsorted(n[begin:end], 100 * n[i] // rule.percent, side="right"))
-                    if limit <= i + 1:
-                        continue
-                    later = slice(i + 1, limit)
-                    bound = 1 + np.minimum(n[i] - pos[i] - 1, n[later] - pos[later] - 1)
-                    passed = bound >= rule.needed(int(n[i]), n[later])
-                    if not within:
-                        passed &= chunk[later] != chunk[i]
-                    for other in np.unique(tile[later][passed]).tolist():
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), arrow.num_rows], strict=True):
+                for i, later, fits in _run_pairs(rule, table, begin, end):
+                    for other in np.unique(tile[later[fits]]).tolist():
                         pair = (min(int(tile[i]), other), max(int(tile[i]), other))
                         if pair not in seen:
                             seen.add(pair)
                             fresh.append(pair)
-            if len(seen) > 500_000:
+            if len(seen) > SEEN_KEYS:
                 seen.clear()
             if fresh:
                 yield pa.RecordBatch.from_pydict(
@@ -180,10 +264,43 @@ def _marked_tiles(rule: Similarity):
     return run
 
 
+def _promising(rule: Similarity):
+    """Groups of a tile pair that share enough prefix tokens with one across.
+
+    Of two sets, the one whose prefix ends earlier in the token order has all its common prefix
+    tokens in the other's prefix too, so the intersection is at most those plus its own rest.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_runs(batches, UNIT):
+            starts = run_starts(table, UNIT)
+            for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+                rows = table.slice(begin, end - begin)
+                n, tile, sets, gkey = (rows[c].to_numpy() for c in ("n", "tile", "sets", "gkey"))
+                tokens = [np.array(t, dtype=np.int64) for t in rows["tokens"].to_pylist()]
+                rest = n - np.array([rule.prefix(int(x)) for x in n])
+                fits = _overlaps(tokens) >= rule.needed(n[:, None], n[None, :]) - np.maximum(
+                    rest[:, None], rest[None, :]
+                )
+                fits &= 100 * np.minimum(n[:, None], n[None, :]) >= rule.percent * np.maximum(n[:, None], n[None, :])
+                fits &= gkey[:, None] != gkey[None, :]
+                left, right = rows["left"][0].as_py(), rows["right"][0].as_py()
+                if left != right:
+                    fits &= (tile == left)[:, None] != (tile == left)[None, :]
+                good = fits.any(axis=1) | (sets > 1)
+                if good.any():
+                    yield from rows.select([*UNIT, "tile", "gkey"]).filter(pa.array(good)).to_batches()
+
+    return run
+
+
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Intersection sizes of all pairs, from the tokens that at least two sets hold, in column slabs."""
     m = len(sets)
+    shared = np.zeros((m, m), dtype=np.int64)
     tokens = np.concatenate(sets)
+    if len(tokens) == 0:
+        return shared
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
@@ -193,7 +310,6 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[common], column[common]
     if len(column):
         column = np.cumsum(np.r_[False, column[1:] != column[:-1]])
-    shared = np.zeros((m, m), dtype=np.int64)
     columns = int(column[-1]) + 1 if len(column) else 0
     for begin in range(0, columns, SLAB):
         a, b = np.searchsorted(column, [begin, begin + SLAB])
@@ -205,12 +321,11 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 def _verified(rule: Similarity):
     """Per set: how many documents its linked sets stand for, and the smallest set linked through this tile pair."""
-    keys = ("left", "right")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for table in whole_runs(batches, keys):
-            starts = run_starts(table, keys)
+        for table in whole_runs(batches, UNIT):
+            starts = run_starts(table, UNIT)
             for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 if end - begin > 1:
                     found = unit(table.slice(begin, end - begin), hashes)
@@ -273,26 +388,20 @@ def jaccard_join(
     shared_order = spark.sparkContext.broadcast(token_order(texts.select("text"), rule.words))
     signed = keep(
         texts.mapInArrow(
-            _signed(rule, shared_order), "doc_id long, n long, set_key binary, prefix array<long>"
-        ).withColumn("prefix_key", F.md5(F.to_json("prefix")))
+            _signed(rule, shared_order),
+            "doc_id long, n long, set_key binary, gkey long, prefix array<long>, chunks array<long>",
+        )
     )
     usable = signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    groups = usable.groupBy("n", "prefix_key").agg(F.min("doc_id").alias("gid"))
     classes = keep(
-        usable.groupBy("n", "set_key", "prefix_key")
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-        .join(groups, ["n", "prefix_key"])
-        .select("rep", "size", "n", "set_key", "gid")
-    )
-    tiles, members, units = _tiles(usable, groups, classes, rule)
-    need = units.select("left", "right", F.explode(F.array_distinct(F.array("left", "right"))).alias("tile")).join(
-        members, "tile"
+        usable.groupBy("n", "set_key", "gkey").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
     )
+    need = _needed(usable, classes, rule)
     verified = keep(
         texts.join(need, F.col("doc_id") == F.col("rep"))
         .select("left", "right", "tile", "rep", "size", "set_key", "text")
-        .repartition("left", "right")
-        .sortWithinPartitions("left", "right")
+        .repartition(*UNIT)
+        .sortWithinPartitions(*UNIT)
         .mapInArrow(_verified(rule), "rep long, links long, root long")
     )
     named = (
@@ -318,78 +427,81 @@ def jaccard_join(
     )
 
 
-def _tiles(
-    usable: DataFrame, groups: DataFrame, classes: DataFrame, rule: Similarity
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tiles of the groups, the members of each tile, and the pairs of tiles to verify.
+def _needed(usable: DataFrame, classes: DataFrame, rule: Similarity) -> DataFrame:
+    """The sets to verify: one row per set and pair of tiles.
 
-    A tile bundles groups that share a leader, the smallest group found under one of their common
-    tokens, and is cut by a hash into parts of bounded sets and tokens; a group with many members
-    is cut the same way. A frequent token's list is cut into chunks, and chunk meets chunk.
+    Only groups with a partner that passes the filters get a tile. It bundles those with the same
+    leader (the smallest partner), and a hash cuts it into parts of bounded sets and tokens; a
+    group with many sets is cut the same way. The list of a frequent token is cut into chunks,
+    and each chunk meets each other one in a cell of its own.
     """
-    first = groups.select(F.col("gid").alias("doc_id"), F.col("n").alias("group_n"), "prefix_key")
-    postings = (
-        usable.join(first, ["doc_id", "prefix_key"])
-        .where("n = group_n")
-        .dropDuplicates(["doc_id", "prefix_key"])
-        .select(F.col("doc_id").alias("gid"), "n", F.posexplode("prefix").alias("pos", "token"))
-    )
-    frequent = (
-        postings.groupBy("token")
-        .agg(F.count("*").alias("held"), F.min("gid").alias("leader"))
-        .where("held > 1")
-    )
-    shared = keep(postings.join(frequent, "token"))
-    crowds = classes.groupBy("gid").agg(F.count("*").alias("sets"), F.max("n").alias("n"))
-    led = shared.groupBy("gid").agg(F.min("leader").alias("label"))
-    placed = (
-        crowds.join(led, "gid", "left")
-        .where(F.col("label").isNotNull() | (F.col("sets") > 1))
-        .withColumn("label", F.coalesce("label", "gid"))
-    )
-    parts = placed.groupBy("label").agg(
-        F.greatest(
-            F.ceil(F.sum("sets") / TILE_SETS), F.ceil(F.sum(F.col("sets") * F.col("n")) / TILE_TOKENS)
-        ).alias("parts")
-    )
-    spread = F.greatest(F.ceil(F.col("sets") / TILE_SETS), F.ceil(F.col("sets") * F.col("n") / TILE_TOKENS))
-    spread = F.least(spread, F.col("sets"))
-    tiles = keep(
-        placed.join(parts, "label")
-        .withColumn("spread", spread)
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spread") - 1)))
-        .withColumn("part", F.pmod(F.xxhash64("gid", "piece"), F.col("parts")))
-        .select("gid", "piece", "spread", "sets", F.xxhash64("label", "part").alias("tile"))
-    )
-    members = (
-        classes.join(tiles, "gid")
-        .where(F.pmod(F.xxhash64("rep", "set_key"), F.col("spread")) == F.col("piece"))
-        .select("rep", "size", "set_key", "tile")
-    )
-    chunks = F.ceil(F.col("held") / CELL_GROUPS)
+    postings = usable.select(
+        "gkey", "n", F.posexplode(F.arrays_zip("prefix", "chunks")).alias("pos", "posting")
+    ).select("gkey", "n", F.col("pos").cast("long").alias("pos"), "posting.*")
     cells = (
-        shared.join(tiles.select("gid", "piece", "tile"), "gid")
-        .withColumn("chunks", chunks)
-        .withColumn("chunk", F.pmod(F.xxhash64("gid", F.lit(7)), F.col("chunks")))
+        postings.withColumn("chunk", F.pmod(F.xxhash64("gkey", F.lit(7)), F.col("chunks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select(
-            "token",
+            F.col("prefix").alias("token"),
             F.least("chunk", "other").alias("low"),
             F.greatest("chunk", "other").alias("high"),
             "n",
             "pos",
-            "tile",
             "chunk",
+            "gkey",
         )
     )
+    candidates = keep(
+        cells.repartition(*CELL)
+        .sortWithinPartitions(*CELL, "n")
+        .mapInArrow(_candidates(rule), f"{', '.join(f'{c} long' for c in cells.columns)}, leader long")
+    )
+    crowds = classes.groupBy("gkey").agg(F.count("*").alias("sets"), F.max("n").alias("n"))
+    led = candidates.groupBy("gkey").agg(F.min("leader").alias("label"))
+    placed = (
+        crowds.join(led, "gkey", "left")
+        .where(F.col("label").isNotNull() | (F.col("sets") > 1))
+        .withColumn("label", F.coalesce("label", "gkey"))
+    )
+    bundles = lambda sets, tokens: F.greatest(F.ceil(sets / TILE_SETS), F.ceil(tokens / TILE_TOKENS))
+    weight = F.col("sets") * F.col("n")
+    parts = placed.groupBy("label").agg(bundles(F.sum("sets"), F.sum(weight)).alias("parts"))
+    tiles = keep(
+        placed.join(parts, "label")
+        .withColumn("pieces", F.least(bundles(F.col("sets"), weight), F.col("sets")))
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        .withColumn("part", F.pmod(F.xxhash64("gkey", "piece"), F.col("parts")))
+        .select("gkey", "n", "piece", "pieces", "sets", F.xxhash64("label", "part").alias("tile"))
+    )
+    members = (
+        classes.join(tiles, "gkey")
+        .where(F.pmod(F.xxhash64("set_key"), F.col("pieces")) == F.col("piece"))
+        .select("gkey", "rep", "size", "set_key", "tile")
+    )
     marked = (
-        cells.repartition("token", "low", "high")
-        .sortWithinPartitions("token", "low", "high", "n")
+        candidates.drop("leader")
+        .join(tiles.select("gkey", "tile"), "gkey")
+        .select(*CELL, "n", "pos", "chunk", "gkey", "tile")
+        .repartition(*CELL)
+        .sortWithinPartitions(*CELL, "n")
         .mapInArrow(_marked_tiles(rule), "left long, right long")
     )
-    crowded = tiles.where("sets > 1").select("gid", "tile").distinct()
-    inside = crowded.select("gid", F.col("tile").alias("left")).join(
-        crowded.select("gid", F.col("tile").alias("right")), "gid"
+    crowded = tiles.where("sets > 1").select("gkey", "tile").distinct()
+    inside = crowded.select("gkey", F.col("tile").alias("left")).join(
+        crowded.select("gkey", F.col("tile").alias("right")), "gkey"
+    )
+    units = keep(marked.unionByName(inside.where("left <= right").select(*UNIT)).distinct())
+    lists = candidates.groupBy("gkey").agg(F.collect_set("token").alias("tokens"))
+    listed = tiles.join(lists, "gkey", "left").withColumn(
+        "tokens", F.coalesce("tokens", F.array().cast("array<long>"))
+    )
+    return (
+        units.withColumn("tile", F.explode(F.array_distinct(F.array(*UNIT))))
+        .join(listed.select("tile", "gkey", "n", "sets", "tokens"), "tile")
+        .select(*UNIT, "tile", "gkey", "n", "sets", "tokens")
+        .repartition(*UNIT)
+        .sortWithinPartitions(*UNIT)
+        .mapInArrow(_promising(rule), "left long, right long, tile long, gkey long")
+        .distinct()
+        .join(members, ["gkey", "tile"])
     )
-    units = keep(marked.unionByName(inside.where("left <= right").select("left", "right")).distinct())
-    return tiles, members, units

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.store import keep, small
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW_WORDS = 10
 ROW = ["k1", "k2"]
@@ -35,12 +36,8 @@ def _pieces(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words; an empty piece stands before a leading gap and after a trailing one."""
-    pieces = _pieces(text)
-    empty = (F.element_at(pieces, 1) == "").cast("int") + (
-        (F.size(pieces) > 1) & (F.element_at(pieces, -1) == "")
-    ).cast("int")
-    return F.when(text.isNull(), 0).otherwise(F.size(pieces) - empty).cast("long")
+    """Number of words; none in a null text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.llm import language_id
+from tabwright.llm.budget_mix import mix
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
+from tabwright.llm.pii_surrogates import pseudonymize
 from tabwright.llm.positional_index import contamination
+from tabwright.llm.texts import id_remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -72,3 +76,24 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(id_remainder("doc_id", 5) == 0, F.lit(False))
+    )
+    model = language_id.fit(documents.where(~F.col("held_out")), "text", "lang")
+    return language_id.predict(documents, model, "text", ("doc_id", "held_out"))
+
+
+@query("op5_budget_mix")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix(table(spark, folder, "documents"), weights=(3, 1, 2), share=1.5)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op2_pii_surrogates")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonymize(documents, key="op2-production-key", count_col="n_replaced")

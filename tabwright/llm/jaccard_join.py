@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.graph import components
 from tabwright.llm.store import keep
-from tabwright.llm.texts import WordHashes, run_starts, shingles, split_words, text_bytes, whole_runs
+from tabwright.llm.texts import run_starts, shingles, text_bytes, whole_runs, word_hashes
 
 WINDOW_TOKENS = 4_000_000
 LOCAL_REPEATS = 2
 ORDERED_TOKENS = 1 << 20
+FILTER_BITS = 24
 CELL_GROUPS = 1_024
 TILE_SETS = 256
 TILE_TOKENS = 400_000
@@ -59,10 +60,10 @@ class Similarity:
 
 def _repeated(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
         for batch in batches:
-            for text in text_bytes(batch.column("text")):
-                found = shingles(hashes.of(split_words(text)), width)
+            for hashes in word_hashes(text_bytes(batch.column("text"))):
+                found = shingles(hashes, width)
                 held.append(found)
                 size += len(found)
                 if size >= WINDOW_TOKENS:
@@ -101,23 +102,29 @@ def token_order(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], table["n"].to_numpy(dtype=np.int64)[order]
 
 
-def _ordered_prefix(
-    found: np.ndarray, size: int, order: tuple[np.ndarray, np.ndarray]
-) -> tuple[np.ndarray, np.ndarray]:
-    """The first `size` tokens from rare to frequent, and into how many chunks the index cuts each one's list."""
-    tokens, counts = order
-    if len(tokens) == 0:
-        return found[:size], np.ones(size, dtype=np.int64)
-    at = np.minimum(np.searchsorted(tokens, found), len(tokens) - 1)
-    known = tokens[at] == found
-    rare = found[~known][:size]
-    held = np.ones(len(rare), dtype=np.int64)
-    if len(rare) < size:
-        often = counts[at[known]]
-        place = np.argsort(often, kind="stable")[: size - len(rare)]
-        rare = np.concatenate([rare, found[known][place]])
-        held = np.concatenate([held, -(-often[place] // CELL_GROUPS)])
-    return rare, held
+class Order:
+    """Tokens from rare to frequent: those not known to be frequent first, each kind by hash or count."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        self.tokens, self.counts = tokens, counts
+        self.maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
+        self.maybe[tokens >> np.uint64(64 - FILTER_BITS)] = True
+
+    def prefix(self, found: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first `size` tokens of a set, and into how many chunks the index cuts each one's list."""
+        known = self.maybe[found >> np.uint64(64 - FILTER_BITS)]
+        likely = found[known]
+        at = np.minimum(np.searchsorted(self.tokens, likely), max(len(self.tokens) - 1, 0))
+        exact = self.tokens[at] == likely if len(likely) else likely.astype(bool)
+        known[known] = exact
+        rare = found[~known][:size]
+        held = np.ones(len(rare), dtype=np.int64)
+        if len(rare) < size:
+            often = self.counts[at[exact]]
+            place = np.argsort(often, kind="stable")[: size - len(rare)]
+            rare = np.concatenate([rare, likely[exact][place]])
+            held = np.concatenate([held, -(-often[place] // CELL_GROUPS)])
+        return rare, held
 
 
 def _signed(rule: Similarity, shared):
@@ -137,14 +144,14 @@ def _signed(rule: Similarity, shared):
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, order, seen = WordHashes(), shared.value, set()
+        order, seen = Order(*shared.value), set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for at in range(0, len(ids), 1_000):
                 sizes, set_keys, group_keys, prefixes, chunks = [], [], [], [], []
-                for text in text_bytes(batch.column("text").slice(at, 1_000)):
-                    found = shingles(hashes.of(split_words(text)), rule.words)
-                    prefix, held = _ordered_prefix(found, rule.prefix(len(found)) if len(found) else 0, order)
+                for hashes in word_hashes(text_bytes(batch.column("text").slice(at, 1_000))):
+                    found = shingles(hashes, rule.words)
+                    prefix, held = order.prefix(found, rule.prefix(len(found)) if len(found) else 0)
                     key = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(found))
                     if key in seen:
                         prefix, held = prefix[:0], held[:0]
@@ -323,24 +330,25 @@ def _verified(rule: Similarity):
     """Per set: how many documents its linked sets stand for, and the smallest set linked through this tile pair."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for table in whole_runs(batches, UNIT):
             starts = run_starts(table, UNIT)
             for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
                 if end - begin > 1:
-                    found = unit(table.slice(begin, end - begin), hashes)
+                    found = unit(table.slice(begin, end - begin))
                     if found is not None:
                         yield found
 
-    def unit(table: pa.Table, hashes: WordHashes) -> pa.RecordBatch | None:
+    def unit(table: pa.Table) -> pa.RecordBatch | None:
         sets, rep, tile, size, seen = [], [], [], [], set()
         rows = zip(
-            *(table[c].to_pylist() for c in ("rep", "tile", "size", "set_key")), text_bytes(table["text"]), strict=True
+            *(table[c].to_pylist() for c in ("rep", "tile", "size", "set_key")),
+            word_hashes(text_bytes(table["text"])),
+            strict=True,
         )
-        for one, at, many, key, text in rows:
+        for one, at, many, key, hashes in rows:
             if (one, key) in seen:
                 continue
-            found = shingles(hashes.of(split_words(text)), rule.words)
+            found = shingles(hashes, rule.words)
             if xxhash.xxh128_digest(found.tobytes()) == key:
                 seen.add((one, key))
                 sets.append(found)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import language_id
+from tabwright.llm import chat_format, co_training, context_mixing, language_id, syncmers, toxicity
 from tabwright.llm.budget_mix import mix
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
 from tabwright.llm.pii_surrogates import pseudonymize
@@ -97,3 +98,59 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     return pseudonymize(documents, key="op2-production-key", count_col="n_replaced")
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select(
+        "doc_id", "text", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
+    )
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.fit(documents.where(~F.col("held_out")).join(labels, "doc_id").select("text", "label"))
+    scored = toxicity.score(documents, model, ("doc_id", "held_out"))
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "found", "n_words"
+    )
+
+
+@query("op3_syncmers")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.edit_fingerprints(table(spark, folder, "documents"))
+
+
+@query("op7_context_mixing")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").withColumn(
+        "held_out", F.coalesce(id_remainder("doc_id", 5) == 1, F.lit(False))
+    )
+    return context_mixing.score(documents, documents.where(~F.col("held_out")), ("doc_id", "held_out"))
+
+
+HARD_SAYING = r"\### Assistant: </turn> ok"
+
+
+@query("op9_chat_format")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select(
+        "conv_id", F.to_json(F.struct("turn", "role", "text")).alias("record")
+    )
+    said = [{"role": role, "content": HARD_SAYING} for role in ("user", "assistant")]
+    hard = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(json.dumps({"messages": said})).alias("record"))
+    turns = chat_format.canonical_turns(rows.unionByName(hard))
+    return chat_format.read_back(chat_format.formatted_turns(turns))
+
+
+@query("op10_co_training")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    joined = co_training.with_metadata(table(spark, folder, "documents"), table(spark, folder, "pages"))
+    held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = co_training.fit(co_training.sample_rows(joined, labels.where(~held_out)))
+    return co_training.score(joined, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "text_score",
+        "page_score",
+    )

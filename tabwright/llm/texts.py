@@ -6,12 +6,14 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+BASE = np.uint64(0xD1342543DE82EF95)
+IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+GROUP_BYTES = 1 << 20
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -24,21 +26,60 @@ def id_remainder(doc_id: str | Column, divisor: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % divisor
 
 
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; the memory is emptied when it holds `limit` words."""
+class _Powers:
+    """Powers of an odd 64-bit base and of its inverse, as many as asked for."""
 
-    def __init__(self, limit: int = 300_000):
-        super().__init__()
-        self.limit = limit
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 2 * len(self.up), 1 << 16)
+            inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, BASE, dtype=np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, inverse, dtype=np.uint64)])
+        return self.up[:n], self.down[:n]
 
-    def of(self, words: Sequence[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+_powers = _Powers()
+
+
+def hash_group(texts: Sequence[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined and lower-cased; begin, end and hash of each word in them; words of each text before its first."""
+    joined = b" ".join([b"", *texts, b""]).translate(LOWER_ASCII)
+    chars = np.frombuffer(joined, dtype=np.uint8)
+    space = IS_SPACE[chars]
+    begin = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    up, down = _powers.upto(len(chars))
+    sums = np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up)
+    values = (sums[end - 1] - sums[begin - 1]) * down[begin] + (end - begin).astype(np.uint64) * MULTIPLIER
+    firsts = np.searchsorted(begin, np.cumsum([1, *[1 + len(t) for t in texts]])[:-1])
+    return joined, begin, end, scramble(values), firsts
+
+
+def groups_of(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
+    """Consecutive texts of at most `limit` bytes together; a longer one goes alone, whole."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > limit:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text) + 1
+    if group:
+        yield group
+
+
+def word_hashes(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
+    """For each text the 64-bit hashes of its words, a polynomial in their bytes, A-Z lower-cased.
+
+    Words are what lies between ASCII white space (tab to carriage return, space).
+    """
+    for group in groups_of(texts, GROUP_BYTES):
+        _, _, _, values, firsts = hash_group(group)
+        yield from np.split(values, firsts[1:])
 
 
 def scramble(values: np.ndarray) -> np.ndarray:
@@ -56,10 +97,13 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     if n == 0:
         return hashes
     width = min(width, n)
-    folded = np.full(n - width + 1, width, dtype=np.uint64)
-    for offset in range(width):
-        folded = folded * MULTIPLIER + hashes[offset : n - width + 1 + offset]
-    return np.unique(scramble(folded))
+    folded = hashes[: n - width + 1] + np.uint64(width)
+    for offset in range(1, width):
+        folded = folded * MULTIPLIER
+        folded += hashes[offset : n - width + 1 + offset]
+    folded = scramble(folded)
+    folded.sort()
+    return folded[np.r_[True, folded[1:] != folded[:-1]]]
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm import language_id
-from tabwright.llm.budget_mix import mix
+from tabwright.llm.budget_mix import draw_of, mix
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
 from tabwright.llm.pii_surrogates import pseudonymize
-from tabwright.llm.positional_index import contamination
+from tabwright.llm.positional_index import phrase_matches
 from tabwright.llm.store import keep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,15 +32,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows without an id stay; of rows that share an id one stays.
     """
     found = jaccard_join(docs, Similarity(words=5, percent=80))
-    others = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).join(others, "doc_id", "left_anti")
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    others = keep(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
+    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    repeated = keep(repeated.where("_rows > 1").select("doc_id"))
+    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    once = left.join(repeated, "doc_id", "left_anti").select(docs.columns)
+    first = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return once.unionByName(first)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.where("n_hit > 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hit = keep(phrase_matches(docs, benchmark).select("k1", "k2").distinct())
+    same = (F.xxhash64("doc_id") == F.col("k1")) & (F.xxhash64(F.col("text").cast("string")) == F.col("k2"))
+    return docs.join(hit, same, "left_anti").select(docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +56,17 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix with the number of copies it takes; those it takes no copy of go."""
-    mixed = mix(docs, weights=(3, 1, 2), share=1.5)
-    chosen = mixed.where("copies > 0").select("doc_id", "size", "source_size", "target", "copies", "taken")
-    return docs.join(chosen, "doc_id")
+    """Documents of the mix with the number of copies it takes; those it takes no copy of go.
+
+    Rows alike in id and text get the largest number of copies among them.
+    """
+    mixed = mix(docs, weights=(3, 1, 2), share=1.5).where("copies > 0")
+    chosen = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("draw").alias("_draw")).agg(
+        *[F.max(c).alias(c) for c in ("size", "source_size", "target", "copies", "taken")]
+    )
+    drawn = docs.withColumn("_own", draw_of("doc_id", "text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_draw"))
+    return drawn.join(chosen, same).drop("_id", "_draw", "_own")
 
 
 STAGES: list[tuple[str, Stage]] = [

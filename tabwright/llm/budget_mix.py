@@ -13,6 +13,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKET_ROWS = 1_000
 CAP = 2
 SLACK = 65_536
+SEED = 20_240_501
+
+
+def draw_of(id_col: str, text_col: str, seed: int = SEED) -> Column:
+    """The hash of id and text by which documents are picked."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.md5(F.col(text_col).cast("string")))
 
 
 def n_words(text: Column) -> Column:
@@ -133,12 +139,13 @@ def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
     share: float = 1.5,
-    seed: int = 20_240_501,
+    seed: int = SEED,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken (size times copies).
+    """One row per document: doc_id, source, size, source_size, target, copies, taken (size times copies),
+    draw (the hash that picked it, of id and text).
 
     Documents are counted by exact length and source; lengths and counts of one source meet in one
     task, never its documents. The chosen number of each length goes to the documents with the
@@ -151,7 +158,7 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             n_words(F.col(text_col).cast("string")).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), F.md5(F.col(text_col).cast("string"))).alias("draw"),
+            draw_of(id_col, text_col, seed).alias("draw"),
         )
     )
     cells = keep(own.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -199,4 +206,5 @@ def _chosen(own: DataFrame, cells: DataFrame, plan: DataFrame, wanted: DataFrame
         "target",
         "copies",
         (F.col("copies") * F.col("size")).alias("taken"),
+        "draw",
     )

@@ -19,6 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm.store import keep, small
 from tabwright.llm.texts import groups_of, hash_group, text_bytes
 
 SAMPLE_ROWS = 20_000
@@ -176,13 +177,13 @@ def _view(x: np.ndarray, y: np.ndarray, known: np.ndarray, weight: np.ndarray) -
 
 
 def fit(sample: pd.DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> Model:
-    """Co-training on rows with text, metadata and a label or none.
+    """Co-training on rows with text features, metadata and a label or none.
 
     Each round the classifier of one view labels the share `confident` of the still unlabelled
     rows it is surest of, as many of each class as the labels have, for the other view only.
     """
     sample = sample.sort_values("doc_id", kind="stable").reset_index(drop=True)
-    text = text_features([(t or "").encode() for t in sample["text"]]).astype(np.float64)
+    text = np.array(sample["features"].tolist(), dtype=np.float64).reshape(len(sample), TEXT_FEATURES)
     page = page_features(sample).astype(np.float64)
     label = sample["label"].to_numpy(dtype=float)
     given = ~np.isnan(label)
@@ -216,63 +217,105 @@ def _learn(x: np.ndarray, y: np.ndarray, given: np.ndarray) -> View:
     return _view(x[rows], y[rows], given[rows], np.where(given[rows], 1.0, 0.5))
 
 
-def _scorer(shared: Broadcast):
+def _text_features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = text_features(text_bytes(batch.column("text")))
+        offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * TEXT_FEATURES)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("row"), pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))], names=["row", "features"]
+        )
+
+
+def _text_logits(shared: Broadcast):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            logits = model.text.logit(text_features(text_bytes(batch.column("text"))))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(logits.astype(np.float64))], names=["row", "text_logit"]
+            )
+
+    return run
+
+
+def _combined(shared: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         total = model.text.weight + model.page.weight
+        shares = [model.text.weight, model.page.weight] if total > 0 else [0.5, 0.5]
         for batch in batches:
-            frame = batch.select(list(META_COLUMNS)).to_pandas()
             logits = [
-                model.text.logit(text_features(text_bytes(batch.column("text")))),
-                model.page.logit(page_features(frame)),
+                batch.column("text_logit").to_numpy(),
+                model.page.logit(page_features(batch.select(list(META_COLUMNS)).to_pandas())),
             ]
-            shares = [model.text.weight, model.page.weight] if total > 0 else [0.5, 0.5]
             mixed = sum(w * x for w, x in zip(shares, logits, strict=True)) / sum(shares)
             odds = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (mixed, *logits)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *[pa.array(o.astype(np.float64)) for o in odds]],
-                names=["row", "score", "text_score", "page_score"],
+                [batch.column("doc_id"), *[pa.array(o.astype(np.float64)) for o in odds]],
+                names=["doc_id", "score", "text_score", "page_score"],
             )
 
     return run
 
 
-def with_metadata(docs: DataFrame, pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The columns both views read, by id; a document without a page has none of its parts."""
-    own = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-        F.col("source").cast("string").alias("source"),
-        F.col("lang").cast("string").alias("lang"),
-        F.length(F.col("text").cast("string")).cast("long").alias("n_chars"),
-    )
-    return own.join(page_metadata(pages).withColumnRenamed("doc_id", "_page"), F.col("doc_id") == F.col("_page"), "left").drop("_page")
+OWN_COLUMNS = {"doc_id": "long", "source": "string", "lang": "string", "n_chars": "long"}
 
 
-def sample_rows(joined: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = 16_384) -> pd.DataFrame:
-    """About `rows` documents with a label and as many without, picked by a hash, of at most `chars` characters."""
-    marked = (
-        joined.where(F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) <= chars))
-        .join(labels.select(F.col("doc_id").alias("_id"), F.col("label").cast("double").alias("label")), F.col("doc_id") == F.col("_id"), "left")
-        .drop("_id")
-    )
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
-    with_label = max(1, labels.count())
-    without = max(1, joined.count() - with_label)
-    limit = F.when(F.col("label").isNotNull(), min(1.0, rows / with_label) * 1_000_000).otherwise(
-        min(1.0, rows / without) * 1_000_000
+def _fields() -> str:
+    return ", ".join(f"{name}:{kind}" for name, kind in OWN_COLUMNS.items())
+
+
+def _own(docs: DataFrame) -> list:
+    text = F.col("text").cast("string")
+    return [
+        F.struct(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.col("source").cast("string").alias("source"),
+            F.col("lang").cast("string").alias("lang"),
+            F.length(text).cast("long").alias("n_chars"),
+        ).alias("row"),
+        text.alias("text"),
+    ]
+
+
+def _with_pages(own: DataFrame, pages: DataFrame) -> DataFrame:
+    """A document without a page has none of its parts."""
+    found = page_metadata(pages).withColumnRenamed("doc_id", "_page")
+    return own.join(found, F.col("doc_id") == F.col("_page"), "left").drop("_page")
+
+
+def sample_rows(docs: DataFrame, pages: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> pd.DataFrame:
+    """About `rows` documents with a label and as many without, picked by a hash of the id: features, not texts.
+
+    `labels` has doc_id and label; a document with several labels counts once, with the largest.
+    """
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    known = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("label").cast("double").alias("label"))
+    marked = keep(ids.join(known, "_id", "left"))
+    total, with_label = marked.agg(F.count("*"), F.count("label")).first()
+    limits = [min(1.0, rows / max(1, n)) * 1_000_000 for n in (with_label, total - with_label)]
+    draw = F.pmod(F.xxhash64("_id", F.lit(17)), F.lit(1_000_000))
+    picked = marked.where(draw < F.when(F.col("label").isNotNull(), limits[0]).otherwise(limits[1]))
+    texts = docs.join(small(picked), F.col("doc_id").cast("long") == F.col("_id"))
+    label = F.struct(*[F.col(f"row.{c}") for c in OWN_COLUMNS], "label").alias("row")
+    featured = (
+        texts.select(*_own(texts), "label")
+        .select(label, "text")
+        .mapInArrow(_text_features, f"row struct<{_fields()}, label:double>, features array<float>")
+        .select("row.*", "features")
     )
-    return marked.where(draw < limit).toPandas()
+    return _with_pages(featured, pages).toPandas()
 
 
-def score(joined: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1, higher: better), text_score, page_score of every row.
+def score(docs: DataFrame, pages: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score (0 to 1, higher: better), text_score, page_score of every row of `docs`.
 
-    Null and empty texts are scored as they are, without characters; missing metadata is a value
-    of its own.
+    Texts are read where they lie; only the text's log-odds are joined with the metadata. Null and
+    empty texts are scored as they are, without characters; missing metadata is a value of its own.
     """
-    shared = joined.sparkSession.sparkContext.broadcast(model)
-    packed = joined.select(F.struct("doc_id").alias("row"), "text", *META_COLUMNS)
-    kind = packed.schema["row"].dataType.simpleString()
-    found = packed.mapInArrow(_scorer(shared), f"row {kind}, score double, text_score double, page_score double")
-    return found.select("row.*", "score", "text_score", "page_score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    read = docs.select(*_own(docs)).mapInArrow(_text_logits(shared), f"row struct<{_fields()}>, text_logit double")
+    joined = _with_pages(read.select("row.*", "text_logit"), pages)
+    return joined.select("doc_id", "text_logit", *META_COLUMNS).mapInArrow(
+        _combined(shared), "doc_id long, score double, text_score double, page_score double"
+    )

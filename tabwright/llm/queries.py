@@ -142,11 +142,11 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op10_co_training")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    joined = co_training.with_metadata(table(spark, folder, "documents"), table(spark, folder, "pages"))
+    documents, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
     held_out = F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False))
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = co_training.fit(co_training.sample_rows(joined, labels.where(~held_out)))
-    return co_training.score(joined, model).select(
+    model = co_training.fit(co_training.sample_rows(documents, pages, labels.where(~held_out)))
+    return co_training.score(documents, pages, model).select(
         "doc_id",
         held_out.alias("held_out"),
         "score",

@@ -106,7 +106,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "text", F.coalesce(id_remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out")
     )
     labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(documents.where(~F.col("held_out")).join(labels, "doc_id").select("text", "label"))
+    # Labels grow with the documents: the same join by shuffle at every size.
+    taught = documents.where(~F.col("held_out")).join(labels.hint("merge"), "doc_id")
+    model = toxicity.fit(taught.select("text", "label"))
     scored = toxicity.score(documents, model, ("doc_id", "held_out"))
     return scored.select(
         "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "found", "n_words"

@@ -123,7 +123,7 @@ def page_metadata(pages: DataFrame, id_col: str = "doc_id", url_col: str = "url"
     A page tells its document's id as the number at the end of its URL's path.
     """
     parts = pages.select(
-        F.regexp_extract(url_col, r"/(\d+)/?(?:\.\w+)?(?:[?#].*)?$", 1).cast("long").alias(id_col), F.col(url_col).alias("_url")
+        F.regexp_extract(url_col, r"/(\d+)/?(?:\.\w+)?(?:[?#].*)?$", 1).try_cast("long").alias(id_col), F.col(url_col).alias("_url")
     ).where(F.col(id_col).isNotNull())
     one = parts.groupBy(id_col).agg(F.count("*").alias("n_pages"), F.min("_url").alias("_url"))
     host = F.regexp_extract("_url", r"://([^/]+)", 1)

@@ -137,7 +137,11 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
 
 
 def _phrases(model: Model, kinds: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and, per language, phrases of each text. Parsing starts anew every PIECE characters."""
+    """Characters and, per language, phrases of each text.
+
+    Parsing starts anew every PIECE characters. A character the samples lack is no part of any
+    phrase there; it counts as one together with the phrase after it.
+    """
     lengths = np.diff(np.r_[0, ends])
     pieces = -(-lengths // PIECE)
     owner = np.repeat(np.arange(len(ends)), pieces)

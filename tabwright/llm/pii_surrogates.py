@@ -58,15 +58,13 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("phone", re.compile(r"(?<![\w+])(?P<x>\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4})(?!\d)")),
     ("phone", re.compile(r"(?<![\w+.-])(?P<x>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\d-])")),
 )
-TITLED = re.compile(
-    "|".join(rf"(?P<{g}>\b(?:{words})\.?)" for g, words in TITLES.items()) + ""
-)
+TITLED = re.compile("|".join(rf"(?P<{g}>\b(?:{words})\b\.?)" for g, words in TITLES.items()))
 AFTER_TITLE = re.compile(rf"\s(?P<a>{NAME})(?:\s(?P<b>{NAME}))?")
 PAIR = re.compile(rf"(?<![\w])(?P<a>{NAME})\s(?P<b>{NAME})")
-# Java form of what any text with a mention must hold; the others pass by unread.
-MAYBE = (
-    r"[0-9@]|(?i:" + SECRET_WORDS + r")|\b(?:" + "|".join(TITLES.values()) + r")\b|\p{Lu}\p{Ll}+\s\p{Lu}\p{Ll}+"
-)
+# Java form of what any text with a mention must hold besides the words of a secret: a digit, an at
+# sign, a title's first letter and a capital after the word, or two capitalised words.
+MAYBE = r"[\p{Nd}@]|[DFHMPSГД]\p{L}{1,9}\.?[\s\h]\p{Lu}|\p{Lu}\p{Ll}+[\s\h]\p{Lu}"
+MAYBE_SECRET = ("key", "secret", "token", "passw", "bearer")
 KNOWN = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 
 
@@ -113,6 +111,12 @@ def _script(word: str) -> str:
     return unicodedata.name(word[0], "LATIN").split(" ")[0]
 
 
+def _surname(gender: str, word: str) -> str:
+    """Surnames show a gender only in scripts whose pool does, so one name stays one entity elsewhere."""
+    script = _script(word)
+    return f"surname-{gender if (gender, script) in SURNAMES else 'n'}-{script}"
+
+
 def _named(text: str) -> Iterator[tuple[int, int, str]]:
     """Spans of given names and surnames with the gender they show, as kinds."""
     for met in TITLED.finditer(text):
@@ -122,16 +126,16 @@ def _named(text: str) -> Iterator[tuple[int, int, str]]:
             continue
         if parts["b"] and parts["b"][0].isupper() and len(parts["b"]) > 1:
             yield *parts.span("a"), f"given-{gender}-{_script(parts['a'])}"
-            yield *parts.span("b"), f"surname-{gender}-{_script(parts['b'])}"
+            yield *parts.span("b"), _surname(gender, parts["b"])
         else:
-            yield *parts.span("a"), f"surname-{gender}-{_script(parts['a'])}"
+            yield *parts.span("a"), _surname(gender, parts["a"])
     at = 0
     while met := PAIR.search(text, at):
         at = met.start("b")
         gender = KNOWN.get(met["a"])
         if gender and met["b"][0].isupper() and len(met["b"]) > 1 and not met["b"].isupper():
             yield *met.span("a"), f"given-{gender}-{_script(met['a'])}"
-            yield *met.span("b"), f"surname-{gender}-{_script(met['b'])}"
+            yield *met.span("b"), _surname(gender, met["b"])
 
 
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
@@ -314,7 +318,11 @@ def pseudonymize(
     """
     text = F.col(text_col).cast("string")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
-    marked = packed.withColumn("maybe", F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)))
+    low = F.lower(F.col("text"))
+    maybe = F.col("text").rlike(MAYBE)
+    for word in MAYBE_SECRET:
+        maybe = maybe | low.contains(word)
+    marked = packed.withColumn("maybe", F.coalesce(maybe, F.lit(False)))
     id_hash = F.xxhash64(F.col("row")[id_col])
     read = marked.where("maybe").select(
         "row", "text", id_hash.alias("k1"), F.xxhash64("text").alias("k2")

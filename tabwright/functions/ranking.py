@@ -22,6 +22,9 @@ def _sortable(df: DataFrame, name: str, ascending: bool) -> Column:
         value = seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
     elif isinstance(kind, T.DateType):
         value = F.unix_date(value)
+    elif isinstance(kind, T.StringType):
+        # The first six bytes as a number follow the order of the strings; the rest orders inside a slice.
+        value = F.conv(F.rpad(F.substring(F.hex(value), 1, 12), 12, "0"), 16, 10)
     value = value.cast("double")
     return value if ascending else -value
 
@@ -38,7 +41,7 @@ def numbered(
     name: str = "row_number",
     slices: int = SLICES,
 ) -> DataFrame:
-    """`row_number()` over numeric or time columns, cut into slices so that no group is large.
+    """`row_number()` over numeric, time or text columns, cut into slices so that no group is large.
 
     `order` lists (column, ascending); the last one should make the order unique. Rows fall into
     slices that follow the first order column. A value so frequent that it fills a slice by itself

@@ -96,3 +96,15 @@ def test_samples_have_their_size(spark):
     assert pick(df, ["k"], 60).distinct().count() == 60
     assert evenly_spread(df.limit(2000), ["k"]).count() == 2000
     assert 600 < evenly_spread(df, ["k"]).count() <= 800
+
+
+def test_row_numbers_over_text_keys(spark):
+    from tabwright.functions.ranking import numbered
+
+    rows = [(1.0, f"model-{i:03d}") for i in range(60)] + [(2.0, "é"), (2.0, ""), (0.5, "z")]
+    frame = spark.createDataFrame(rows, "score double, model_id string")
+    found = numbered(frame, [("score", False), ("model_id", True)], slices=8).collect()
+    wanted = sorted(rows, key=lambda r: (-r[0], r[1]))
+    assert [(r.score, r.model_id) for r in sorted(found, key=lambda r: r.row_number)] == wanted
+    byname = numbered(frame, [("model_id", True)], slices=8).collect()
+    assert [r.model_id for r in sorted(byname, key=lambda r: r.row_number)] == sorted(r[1] for r in rows)

@@ -62,8 +62,10 @@ TITLED = re.compile("|".join(rf"(?P<{g}>\b(?:{words})\b\.?)" for g, words in TIT
 AFTER_TITLE = re.compile(rf"\s(?P<a>{NAME})(?:\s(?P<b>{NAME}))?")
 PAIR = re.compile(rf"(?<![\w])(?P<a>{NAME})\s(?P<b>{NAME})")
 # Java form of what any text with a mention must hold besides the words of a secret: a digit, an at
-# sign, a title's first letter and a capital after the word, or two capitalised words.
-MAYBE = r"[\p{Nd}@]|[DFHMPSГД]\p{L}{1,9}\.?[\s\h]\p{Lu}|\p{Lu}\p{Ll}+[\s\h]\p{Lu}"
+# sign, a title before a capital, or two capitalised words.
+MAYBE = (
+    r"[\p{Nd}@]|(?=[DFHMPSГД])(?:" + "|".join(TITLES.values()) + r")\.?[\s\h]\p{Lu}|\p{Lu}\p{Ll}+[\s\h]\p{Lu}"
+)
 MAYBE_SECRET = ("key", "secret", "token", "passw", "bearer")
 KNOWN = {name: gender for (gender, _), names in GIVEN.items() for name in names}
 
@@ -340,8 +342,9 @@ def pseudonymize(
         .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "drawn"))).alias("spans"))
     )
     kind = packed.schema["row"].dataType.simpleString()
+    # Spans grow with the documents: the same join by shuffle at every size.
     changed = (
-        read.join(spans, ["k1", "k2"], "left")
+        read.join(spans.hint("merge"), ["k1", "k2"], "left")
         .select("row", "text", "spans")
         .mapInArrow(_replace, f"row {kind}, text string, replaced long")
     )

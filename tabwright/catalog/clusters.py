@@ -173,7 +173,7 @@ def gaussian_mixture_orders(spark, folder):
 
 @query("find_k_embeddings", "UNS-2")
 def find_k_embeddings(spark, folder):
-    return K.find_k(vectors(spark, folder)[0], 5)[0]
+    return K.find_k(vectors(spark, folder)[0])[0]
 
 
 _part_points = """

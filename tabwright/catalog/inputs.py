@@ -181,12 +181,12 @@ def decoded_predictions(spark, folder):
 @query("explored_part", "UNS-12")
 def explored_part(spark, folder):
     """The complete unsupervised run: its algorithm leaderboard."""
-    found = explore(table(spark, folder, "part"), "p_partkey", ["p_size", "p_retailprice"], most_k=4)
+    found = explore(table(spark, folder, "part"), "p_partkey", ["p_size", "p_retailprice"])
     return found.leaderboard.select("algorithm", "status", "clusters", "noise", "silhouette")
 
 
 @query("explored_points", "UNS-12", "ANO-4")
 def explored_points(spark, folder):
     """Projected suppliers with cluster and anomaly mark."""
-    found = explore(table(spark, folder, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], most_k=3)
+    found = explore(table(spark, folder, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"])
     return found.points()

@@ -30,17 +30,21 @@ from tabwright.session import cut_lineage, ensure_checkpoint_dir, side_by_side
 
 NOISE = -1
 MAX_BROADCAST_CENTERS = 5_000
-# Beyond this many rows the quadratic silhouette gives way to the linear, squared-distance one.
-EXACT_SILHOUETTE_ROWS = 50_000
+# How well rows sit in their clusters, by name: Euclidean and exact (quadratic, in blocks), or on squared distances (linear).
+MEASURES = ("silhouette", "silhouette_squared")
 
 
 @dataclass
 class Clustering:
-    """A grouping of points: labels, and one center per cluster."""
+    """A grouping of points: labels, and one center per cluster.
+
+    Methods that are told the number of clusters list their centers; others, whose clusters grow
+    with the table, give them as rows (cluster, n, center).
+    """
 
     algorithm: str
     labels: DataFrame
-    centers: list[list[float]]
+    centers: list[list[float]] | DataFrame
     inertia: float | None = None
     weights: list[float] | None = None
 
@@ -196,31 +200,36 @@ def silhouette_squared(points: DataFrame, labels: DataFrame) -> float:
     return float(ClusteringEvaluator().evaluate(rows.withColumn("prediction", F.col("prediction").cast("int"))))
 
 
-def cluster_metrics(points: DataFrame, labels: DataFrame, rows: int | None = None) -> dict[str, float]:
-    """silhouette, Davies-Bouldin and Calinski-Harabasz of a grouping."""
-    rows = points.count() if rows is None else rows
-    exact = rows <= EXACT_SILHOUETTE_ROWS
+def cluster_metrics(points: DataFrame, labels: DataFrame, measure: str = "silhouette") -> dict[str, float]:
+    """The chosen one of `MEASURES` under its own name, Davies-Bouldin and Calinski-Harabasz of a grouping.
+
+    The measure never depends on the table's size: a caller with too many rows for the exact one
+    asks for `silhouette_squared` and gets it under that name.
+    """
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}")
+    exact = measure == "silhouette"
     score = silhouette(points, labels).first().silhouette if exact else silhouette_squared(points, labels)
     summaries = cluster_summaries(points, labels)
     return {
-        "silhouette": float(score),
+        measure: float(score),
         "davies_bouldin": float(davies_bouldin(summaries).first().davies_bouldin),
         "calinski_harabasz": float(calinski_harabasz(summaries).first().calinski_harabasz),
     }
 
 
-def find_k(points: DataFrame, most: int = 10) -> tuple[DataFrame, int]:
-    """(one row per k with its metrics, best k by silhouette) for K-Means with 2 to `most` clusters."""
+def find_k(points: DataFrame, most: int = 10, measure: str = "silhouette") -> tuple[DataFrame, int]:
+    """(one row per k with its metrics, best k by `measure`) for K-Means with 2 to `most` clusters."""
     n = points.count()
     ensure_checkpoint_dir(points.sparkSession)
 
     def measured(k):
         found = kmeans(points, k)
-        return {"k": k, "inertia": found.inertia, **cluster_metrics(points, cut_lineage(found.labels), n)}
+        return {"k": k, "inertia": found.inertia, **cluster_metrics(points, cut_lineage(found.labels), measure)}
 
     rows = side_by_side(measured, range(2, min(most, n - 1) + 1))
-    best = max(rows, key=lambda r: (r["silhouette"], -r["k"]))["k"] if rows else 2
-    schema = "k int, inertia double, silhouette double, davies_bouldin double, calinski_harabasz double"
+    best = max(rows, key=lambda r: (r[measure], -r["k"]))["k"] if rows else 2
+    schema = f"k int, inertia double, {measure} double, davies_bouldin double, calinski_harabasz double"
     return points.sparkSession.createDataFrame(rows, schema), best
 
 
@@ -388,8 +397,7 @@ def dbscan(points: DataFrame, min_pts: int, eps: float | None = None, block_rows
         .select("id", "cluster")
     )
     labels = cut_lineage(labels)
-    centers = centers_of(points, labels).orderBy("cluster").limit(MAX_BROADCAST_CENTERS).collect()
-    return Clustering("dbscan", labels, [list(r.center) for r in centers])
+    return Clustering("dbscan", labels, centers_of(points, labels))
 
 
 def cluster_means(df: DataFrame, labels: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

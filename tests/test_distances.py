@@ -175,3 +175,22 @@ def test_squares_for_one_cluster(spark, clouds):
     summaries = K.cluster_summaries(points, one)
     assert K.calinski_harabasz(summaries).first().calinski_harabasz == 0.0
     assert K.davies_bouldin(summaries).first().davies_bouldin == float("inf")
+
+
+def test_the_measure_is_the_callers_choice_and_keeps_its_name(spark):
+    rows = [(i, [float(i % 2) * 10 + 0.01 * i, 0.0]) for i in range(20)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>")
+    by_k, best = K.find_k(points, 3, measure="silhouette_squared")
+    assert best == 2 and "silhouette_squared" in by_k.columns and "silhouette" not in by_k.columns
+    labels = K.kmeans(points, 2).labels
+    assert K.cluster_metrics(points, labels)["silhouette"] < K.cluster_metrics(points, labels, "silhouette_squared")["silhouette_squared"]
+    with pytest.raises(ValueError):
+        K.cluster_metrics(points, labels, "other")
+
+
+def test_density_clusters_give_every_center_as_a_row(spark):
+    rows = [(i, [float(i // 4) * 100, float(i % 4)]) for i in range(40)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>")
+    found = K.dbscan(points, 2, eps=1.5)
+    centers = {r.center[0]: (r.n, r.center[1]) for r in found.centers.collect()}
+    assert centers == {float(g) * 100: (4, 1.5) for g in range(10)}

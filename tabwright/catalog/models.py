@@ -33,9 +33,9 @@ def priced(spark, folder):
 
 
 def judged(spark, folder):
-    """Labelled documents as weights of their forty most frequent terms and their length."""
+    """Labelled documents as weights of their most frequent terms and their length."""
     documents = spread_table(spark, folder, "documents").select("doc_id", "text", "n_chars")
-    weights = cut_lineage(T.tfidf(documents, "doc_id", "text", max_terms=40))
+    weights = cut_lineage(T.tfidf(documents, "doc_id", "text"))
     names = [r.term for r in weights.select("term").distinct().orderBy("term").collect()]
     matrix = T.text_matrix(weights, "doc_id", names)
     labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
@@ -168,7 +168,7 @@ def tuned_tree_price(spark, folder):
     train, test = train_test(priced(spark, folder), ["row_id"])
     first = M.fit("decision_tree", train, REGRESSORS, False, {"maxDepth": 2})
     original = E.regression_metrics(first.predict(test), "label", "prediction").first().r2
-    draws = M.random_parameters(M.TUNABLE["decision_tree"], 4)
+    draws = M.random_parameters(M.TUNABLE["decision_tree"], 20)
     tuning = M.tune("decision_tree", train, test, REGRESSORS, False, draws, original)
     better = M.apply_best("decision_tree", tuning, train, REGRESSORS, False) or first
     final = E.regression_metrics(better.predict(test), "label", "prediction")

@@ -37,5 +37,5 @@ def evenly_spread(df: DataFrame, keys: list[str], size: int = 800, above: int =
     rows = df.count()
     if rows <= above:
         return df
-    step = rows // size
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(step)) == 0).limit(size)
+    step = -(-rows // size)
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(step)) == 0)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.graph import components
 from tabwright.llm.store import keep
-from tabwright.llm.texts import run_starts, shingles, text_bytes, whole_runs, word_hashes
+from tabwright.llm.texts import portions, run_starts, shingles, text_bytes, whole_runs, word_hashes
 
 WINDOW_TOKENS = 4_000_000
 LOCAL_REPEATS = 2
@@ -61,8 +61,8 @@ class Similarity:
 def _repeated(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for hashes in word_hashes(text_bytes(batch.column("text"))):
+        for part in portions(batches):
+            for hashes in word_hashes(text_bytes(part.column("text"))):
                 found = shingles(hashes, width)
                 held.append(found)
                 size += len(found)
@@ -76,7 +76,9 @@ def _repeated(width: int):
 
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    tokens = np.sort(np.concatenate(held))
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
     starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.r_[starts, len(tokens)])
     often = counts >= LOCAL_REPEATS
@@ -145,36 +147,34 @@ def _signed(rule: Similarity, shared):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, seen = Order(*shared.value), set()
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            for at in range(0, len(ids), 1_000):
-                sizes, set_keys, group_keys, prefixes, chunks = [], [], [], [], []
-                for hashes in word_hashes(text_bytes(batch.column("text").slice(at, 1_000))):
-                    found = shingles(hashes, rule.words)
-                    prefix, held = order.prefix(found, rule.prefix(len(found)) if len(found) else 0)
-                    key = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(found))
-                    if key in seen:
-                        prefix, held = prefix[:0], held[:0]
-                    seen.add(key)
-                    sizes.append(len(found))
-                    set_keys.append(xxhash.xxh128_digest(found.tobytes()))
-                    group_keys.append(key)
-                    prefixes.append(prefix)
-                    chunks.append(held)
-                if len(seen) > SEEN_KEYS:
-                    seen.clear()
-                offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(ids[at : at + 1_000], pa.int64()),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(set_keys, pa.binary()),
-                        pa.array(np.array(group_keys, dtype=np.uint64).view(np.int64)),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chunks))),
-                    ],
-                    schema=schema,
-                )
+        for part in portions(batches):
+            sizes, set_keys, group_keys, prefixes, chunks = [], [], [], [], []
+            for hashes in word_hashes(text_bytes(part.column("text"))):
+                found = shingles(hashes, rule.words)
+                prefix, held = order.prefix(found, rule.prefix(len(found)) if len(found) else 0)
+                key = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(found))
+                if key in seen:
+                    prefix, held = prefix[:0], held[:0]
+                seen.add(key)
+                sizes.append(len(found))
+                set_keys.append(xxhash.xxh128_digest(found.tobytes()))
+                group_keys.append(key)
+                prefixes.append(prefix)
+                chunks.append(held)
+            if len(seen) > SEEN_KEYS:
+                seen.clear()
+            offsets = pa.array(np.cumsum([0, *map(len, prefixes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(set_keys, pa.binary()),
+                    pa.array(np.array(group_keys, dtype=np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes).view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(chunks))),
+                ],
+                schema=schema,
+            )
 
     return run
 

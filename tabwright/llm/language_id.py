@@ -17,13 +17,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.texts import portions
+
 UNDETERMINED = "und"
 SAMPLE_ROWS = 64
 SAMPLE_TEXT = 4_000
 SAMPLE_CHARS = 40_000
 STATE_BUDGET = 600_000
 PIECE = 256
-BATCH_CHARS = 4_000_000
+BATCH_BYTES = 2_000_000
 CUT = np.int32(1 << 30)
 
 
@@ -172,17 +174,8 @@ def _phrases(model: Model, kinds: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
 def _predictor(shared: Broadcast):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        for batch in batches:
-            rows = batch.column("row")
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            at = 0
-            while at < len(texts):
-                stop, chars = at, 0
-                while stop < len(texts) and (stop == at or chars + len(texts[stop]) <= BATCH_CHARS):
-                    chars += len(texts[stop])
-                    stop += 1
-                yield _judged(model, rows.slice(at, stop - at), texts[at:stop])
-                at = stop
+        for part in portions(batches, limit=BATCH_BYTES):
+            yield _judged(model, part.column("row"), [t or "" for t in part.column("text").to_pylist()])
 
     return run
 

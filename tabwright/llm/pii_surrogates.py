@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.store import keep
+from tabwright.llm.texts import portions
 
 DEFAULT_KEY = "change-me"
 
@@ -245,9 +246,9 @@ def dressed(kind: str, mention: str, drawn: str) -> str:
 
 def _detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["k1", "k2", "start", "stop", "kind", "value"]
-    for batch in batches:
+    for part in portions(batches):
         rows = []
-        for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
+        for k1, k2, text in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "text")), strict=True):
             rows += [(k1, k2, *met) for met in mentions(text)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 6
         types = [pa.int64()] * 4 + [pa.string()] * 2
@@ -255,9 +256,9 @@ def _detect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in portions(batches):
         texts, counts = [], []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+        for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
             pieces, at = [], 0
             for span in spans or []:
                 mention = text[span["start"] : span["stop"]]
@@ -266,7 +267,7 @@ def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append("".join([*pieces, text[at:]]))
             counts.append(len(spans or []))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
+            [part.column("row"), pa.array(texts, pa.string()), pa.array(counts, pa.int64())],
             names=["row", "text", "replaced"],
         )
 

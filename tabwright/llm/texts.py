@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
 IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 GROUP_BYTES = 1 << 20
+HASH_BYTES = 1 << 18
 
 
 def split_words(text: bytes) -> list[bytes]:
@@ -58,6 +60,22 @@ def hash_group(texts: Sequence[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, n
     return joined, begin, end, scramble(values), firsts
 
 
+def portions(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with at most `limit` bytes in `column`; a longer text goes alone, whole.
+
+    What a task makes out of a slice then stays small, however large a batch is.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def groups_of(texts: Iterable[bytes], limit: int) -> Iterator[list[bytes]]:
     """Consecutive texts of at most `limit` bytes together; a longer one goes alone, whole."""
     group: list[bytes] = []
@@ -77,7 +95,7 @@ def word_hashes(texts: Sequence[bytes]) -> Iterator[np.ndarray]:
 
     Words are what lies between ASCII white space (tab to carriage return, space).
     """
-    for group in groups_of(texts, GROUP_BYTES):
+    for group in groups_of(texts, HASH_BYTES):
         _, _, _, values, firsts = hash_group(group)
         yield from np.split(values, firsts[1:])
 

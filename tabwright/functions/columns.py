@@ -61,3 +61,15 @@ def sigmoid(z: Column) -> Column:
 def ratio(top: Column, bottom: Column, empty: float = 0.0) -> Column:
     """Division that gives `empty` where the divisor is zero or missing."""
     return F.coalesce(F.try_divide(top.cast("double"), bottom.cast("double")), F.lit(float(empty)))
+
+
+def long_key(df: DataFrame, key: str) -> Column:
+    """A key of any type as a long: whole numbers as they are, others by hash, checked to keep keys apart."""
+    value = F.col(quoted(key))
+    if df.select(value).schema[0].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return value.cast("long")
+    hashed = F.xxhash64(value)
+    keys, hashes = df.agg(F.count_distinct(value), F.count_distinct(F.when(value.isNotNull(), hashed))).first()
+    if keys != hashes:
+        raise ValueError(f"two values of {key} have the same hash: give the rows a numeric key")
+    return hashed

@@ -113,7 +113,7 @@ def grade(metric: Column, value: Column) -> Column:
 
     for below, table in ((True, GRADES), (False, GRADES_DOWN)):
         for name, bands in table.items():
-            test = (metric == name) & value.isNotNull() & ~F.isnan(value)
+            test = (metric == name) & value.isNotNull() & (F.abs(value) < float("inf"))
             rating = ladder_for(bands, below)
             ladder = F.when(test, rating) if ladder is None else ladder.when(test, rating)
     return ladder
@@ -154,7 +154,7 @@ def compare_models(models: DataFrame, classification: bool) -> DataFrame:
     """Weighted score of each model, which one wins, and the spread between best and worst.
 
     `models` has model_id and its metrics. The runner-up is chosen by its own rule: the weighted
-    score for classification, r2 for regression. Between equal scores the smaller numeric id wins.
+    score for classification, r2 for regression. Between equal scores the smaller id wins.
     """
 
     def metric(name):
@@ -173,23 +173,21 @@ def compare_models(models: DataFrame, classification: bool) -> DataFrame:
         )
         second, plain = metric("r2"), metric("r2")
     scored = models.select("model_id", score.alias("score"), second.alias("_second"), plain.alias("_plain"))
-    first = F.struct(F.col("score"), (-F.col("model_id")).alias("k")) if _is_number(models) else F.col("score")
+
+    def leader(value):
+        return F.min(F.struct((-F.col(value)).alias("down"), "model_id"))["model_id"]
+
     winner, best, worst, n = scored.agg(
-        F.max_by("model_id", first), F.max("_plain"), F.min("_plain"), F.count(F.lit(1))
+        leader("score"), F.max("_plain"), F.min("_plain"), F.count(F.lit(1))
     ).first()
     role = F.when(F.col("model_id") == F.lit(winner), "winner")
     if n > 2:
-        order = F.struct(F.col("_second"), (-F.col("model_id")).alias("k")) if _is_number(models) else F.col("_second")
-        runner_up = scored.where(F.col("model_id") != F.lit(winner)).agg(F.max_by("model_id", order)).first()[0]
+        runner_up = scored.where(F.col("model_id") != F.lit(winner)).agg(leader("_second")).first()[0]
         role = role.when(F.col("model_id") == F.lit(runner_up), "runner-up")
     spread = best - worst if n else None
     return scored.select("model_id", "score", role.otherwise("other").alias("role"), F.lit(spread).alias("spread"))
 
 
-def _is_number(models: DataFrame) -> bool:
-    return models.schema["model_id"].dataType.typeName() in ("long", "integer")
-
-
 def radar(models: DataFrame, metrics: Sequence[str], errors: Sequence[str] = ("mae", "rmse")) -> DataFrame:
     """Metrics on a common 0-1 scale; errors count against the worst model."""
     worst = models.agg(*[F.coalesce(F.max(m), F.lit(0.0)).alias(m) for m in metrics if m in errors]).first() if any(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -24,9 +25,10 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions.columns import long_key
 from tabwright.functions.sampling import SEED, unit_hash
 from tabwright.operators import learners
-from tabwright.operators.evaluate import classification_metrics, regression_metrics
+from tabwright.operators.evaluate import classification_metrics, regression_metrics, stratified_folds
 from tabwright.session import side_by_side
 
 # Tunable parameters as (lowest, highest, step, usual value).
@@ -167,7 +169,7 @@ def fit(
     params: Mapping[str, float] | None = None,
     key: str = "row_id",
 ) -> Fitted:
-    """Train one learner on columns `features` and `label`; nearest neighbours also need an integer key."""
+    """Train one learner on columns `features` and `label`; nearest neighbours also need a key, of any type."""
     p = dict(params or {})
     names = list(features)
     if algorithm == "baseline":
@@ -214,15 +216,17 @@ def _fit_knn(train: DataFrame, names: list[str], k: int, key: str) -> Fitted:
     from tabwright.operators.neighbors import as_vector, classify_by_neighbors, nearest
 
     scales = fit_scale(train, names)
+    train_id = long_key(train, key)
 
-    def points(df):
-        return as_vector(apply_scale(df, scales), names).withColumn("id", F.col(key).cast("long"))
+    def points(df, row_id):
+        return as_vector(apply_scale(df, scales), names).withColumn("id", row_id)
 
     def score(df):
-        found = nearest(points(df), points(train), k)
-        labels = train.select(F.col(key).cast("long").alias("neighbor"), "label")
-        votes = classify_by_neighbors(found, labels, k)
-        return df.join(votes.select(F.col("id").alias(key), F.col("label").alias("prediction")), key, "left")
+        row_id = long_key(df, key)
+        found = nearest(points(df, row_id), points(train, train_id), k)
+        labels = train.select(train_id.alias("neighbor"), "label")
+        votes = classify_by_neighbors(found, labels, k).select(F.col("id").alias("_id"), F.col("label").alias("prediction"))
+        return df.withColumn("_id", row_id).join(votes, "_id", "left").drop("_id")
 
     return Fitted("knn", names, score)
 
@@ -244,13 +248,15 @@ def rank_candidates(
     """(leaderboard, fitted learners by algorithm), best first.
 
     Learners are tried a few at a time, baseline included; one that fails keeps a row with its
-    error. With `folds` the rank follows the cross-validated score over all rows.
+    error. With `folds` the rank follows the cross-validated score over all rows; the board then
+    has the score of every fold, their mean and their deviation. Classes are spread over the folds.
     """
     spark = train.sparkSession
     wanted = list(dict.fromkeys([*(algorithms or CANDIDATES[classification]), "baseline"]))
     main = "accuracy" if classification else "r2"
     measure = classification_metrics if classification else regression_metrics
     train, test = train.persist(), test.persist()
+    folded = _folded(train.unionByName(test), classification, folds, key).persist() if folds else None
 
     def attempt(algorithm):
         started = time.time()
@@ -258,14 +264,15 @@ def rank_candidates(
             fitted = fit(algorithm, train, features, classification, key=key)
             measured = [measure(fitted.predict(part), "label", "prediction").first().asDict() for part in (train, test)]
         except Exception as error:  # a learner that cannot handle this table must not stop the others
-            return (algorithm, "error", str(error)[:200], None, None, None, None, None), None
+            return (algorithm, "error", str(error)[:200], *[None] * 7), None
         took = time.time() - started
-        cv = None
-        if folds and algorithm != "baseline":
-            cv = _cv_score(algorithm, train.unionByName(test), features, classification, folds, key)
+        each = mean = spread = None
+        if folded is not None and algorithm != "baseline":
+            each = _cv_scores(algorithm, folded, features, classification, key)
+            mean, spread = statistics.fmean(each), statistics.pstdev(each)
         clean = [{k: float(v) for k, v in m.items() if v is not None} for m in measured]
         importance = [{"feature": f, "importance": s} for f, s in fitted.importance]
-        return (algorithm, "ok", None, clean[1], clean[0], importance, took, cv), fitted
+        return (algorithm, "ok", None, clean[1], clean[0], importance, took, mean, spread, each), fitted
 
     try:
         for part in (train, test):
@@ -274,30 +281,39 @@ def rank_candidates(
     finally:
         train.unpersist()
         test.unpersist()
+        if folded is not None:
+            folded.unpersist()
     rows = [row for row, _ in outcomes]
     trained = {row[0]: fitted for row, fitted in outcomes if fitted is not None}
     board = spark.createDataFrame(
         rows,
         "algorithm string, status string, message string, test_metrics map<string,double>, "
         "train_metrics map<string,double>, feature_importance array<struct<feature:string,importance:double>>, "
-        "duration_sec double, cv_score double",
+        "duration_sec double, cv_score double, cv_std double, fold_scores array<double>",
     )
     score = F.col("cv_score") if folds else F.col("test_metrics")[main]
     return board.withColumn("score", score).orderBy(F.desc_nulls_last("score"), "algorithm"), trained
 
 
-def _cv_score(algorithm, df, features, classification, folds, key):
-    df = df.withColumn("_fold", F.floor(unit_hash(key) * folds))
+def _folded(df: DataFrame, classification: bool, folds: int, key: str) -> DataFrame:
+    """`_fold` per row: dealt out class by class, or by a hash of the key where there are no classes."""
+    dealt = stratified_folds(df, "label", key, folds) if classification else None
+    if dealt is not None:
+        return dealt.withColumnRenamed("fold", "_fold")
+    return df.withColumn("_fold", F.floor(unit_hash(key) * folds))
+
+
+def _cv_scores(algorithm, df, features, classification, key) -> list[float]:
     measure = classification_metrics if classification else regression_metrics
     scores = []
-    for number in range(folds):
+    for (number,) in df.select("_fold").distinct().orderBy("_fold").collect():
         try:
             fitted = fit(algorithm, df.where(F.col("_fold") != number), features, classification, key=key)
             held_out = fitted.predict(df.where(F.col("_fold") == number))
             scores.append(float(measure(held_out, "label", "prediction").first()["accuracy" if classification else "r2"]))
         except Exception:  # a fold that cannot be trained counts as 0
             scores.append(0.0)
-    return sum(scores) / len(scores)
+    return scores
 
 
 def range_values(low: float, high: float, step: float, about: int = 8) -> list[float]:

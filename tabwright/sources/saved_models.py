@@ -4,27 +4,34 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import asdict
 from typing import Any
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
+from tabwright.operators.clean import Scale
+from tabwright.operators.features import Encoder
 from tabwright.operators.learners import ConstantModel, LinearModel, NaiveBayesModel
 from tabwright.operators.models import Fitted
 
+CARD = "model_id string, algorithm string, features array<string>, model_data string, encoder string"
 KINDS = {"baseline": ConstantModel, "naive_bayes": NaiveBayesModel}
 
 
-def export(spark: SparkSession, fitted: Fitted, folder: str) -> str:
-    """Write a fitted learner: a one-row JSON table, and the Spark pipeline beside it if it is one."""
+def export(spark: SparkSession, fitted: Fitted, folder: str, encoder: Encoder | None = None) -> str:
+    """Write a fitted learner: a one-row JSON table, and the Spark pipeline beside it if it is one.
+
+    With its encoder (categories, scales, target labels) it can later score raw rows.
+    """
     model_id = uuid.uuid4().hex
     pipeline = isinstance(fitted.model, PipelineModel)
     if not pipeline and fitted.model is None:
         raise ValueError(f"{fitted.algorithm} keeps its training table and cannot be written as a model")
     data = None if pipeline else json.dumps(vars(fitted.model))
     row = spark.createDataFrame(
-        [(model_id, fitted.algorithm, fitted.features, data)],
-        "model_id string, algorithm string, features array<string>, model_data string",
+        [(model_id, fitted.algorithm, fitted.features, data, None if encoder is None else json.dumps(asdict(encoder)))],
+        CARD,
     )
     row.coalesce(1).write.mode("overwrite").json(f"{folder}/card")
     if pipeline:
@@ -34,8 +41,7 @@ def export(spark: SparkSession, fitted: Fitted, folder: str) -> str:
 
 def restore(spark: SparkSession, folder: str) -> tuple[str, Fitted]:
     """(new id, learner) of a written model; one without id, algorithm or content is refused."""
-    schema = "model_id string, algorithm string, features array<string>, model_data string"
-    card = spark.read.schema(schema).json(f"{folder}/card").first()
+    card = spark.read.schema(CARD).json(f"{folder}/card").first()
     if card is None or not card.model_id or not card.algorithm:
         raise ValueError("not a written model")
     new_id = uuid.uuid4().hex
@@ -48,3 +54,12 @@ def restore(spark: SparkSession, folder: str) -> tuple[str, Fitted]:
     return new_id, Fitted(
         card.algorithm, list(card.features), lambda df: df.withColumn("prediction", prediction), [], model
     )
+
+
+def restore_encoder(spark: SparkSession, folder: str) -> Encoder | None:
+    """The encoder written with a model, None if it was written without."""
+    card = spark.read.schema(CARD).json(f"{folder}/card").first()
+    if card is None or card.encoder is None:
+        return None
+    fields = json.loads(card.encoder)
+    return Encoder(**{**fields, "scales": {name: Scale(**scale) for name, scale in fields["scales"].items()}})

@@ -1,4 +1,4 @@
-"""Scoring rows as they arrive, with a log of the calls."""
+"""Scoring rows as they arrive."""
 
 from __future__ import annotations
 

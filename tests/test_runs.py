@@ -130,14 +130,38 @@ def test_supervised_run_needs_rows_and_features(spark):
 
 
 def test_unsupervised_run(loans):
-    found = explore(loans, "k", ["age", "income"], most_k=3)
+    found = explore(loans.withColumn("k", F.concat(F.lit("s"), "k")), "k", ["age", "income"], most_k=3)
     assert found.best in found.groupings
-    assert found.points().count() == 240
+    assert found.points().join(found.keys, "id").select("key").distinct().count() == 240
     assert sum(found.explained) == pytest.approx(1.0)
     assert found.isolation.where("anomaly").count() >= 24
     assert found.reading.select("cluster").distinct().count() == found.groupings[found.best].labels.where("cluster >= 0").select("cluster").distinct().count()
 
 
+def test_a_restored_model_and_encoder_score_raw_rows(spark, loans, tmp_path):
+    ready = prepare(loans, "income", "k", {"scaling": "standard"})
+    fitted = M.fit("ridge_regression", ready.table, ready.encoder.feature_names, False)
+    saved_models.export(spark, fitted, str(tmp_path / "m"), ready.encoder)
+    encoder = saved_models.restore_encoder(spark, str(tmp_path / "m"))
+    assert encoder == ready.encoder
+    raw = loans.where("income is not null")
+    before = fitted.predict(ready.encoder.encode(raw, ["k"])).orderBy("k").collect()
+    after = saved_models.restore(spark, str(tmp_path / "m"))[1].predict(encoder.encode(raw, ["k"])).orderBy("k").collect()
+    assert [r.prediction for r in after] == pytest.approx([r.prediction for r in before])
+
+
+def test_neighbours_and_folds_take_a_text_key(spark):
+    rows = [(i, float(i % 10 + 100 * (i % 2)), float(i % 2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "n long, a double, label double")
+    texts = df.withColumn("row_id", F.concat(F.lit("s"), "n")).drop("n")
+    part = F.crc32("row_id") % 4 == 0
+    board, learners = M.rank_candidates(texts.where(~part), texts.where(part), ["a"], True, ["knn"], folds=3)
+    top = board.where("algorithm = 'knn'").first()
+    assert top.status == "ok" and top.test_metrics["accuracy"] == 1.0
+    assert top.fold_scores == [1.0] * 3 and top.cv_score == 1.0 and top.cv_std == 0.0
+    assert set(learners["knn"].predict(texts.where(part)).columns) == {"row_id", "a", "label", "prediction"}
+
+
 def test_arriving_rows_are_scored_once(spark, tmp_path):
     source, output, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     rows = spark.range(10).select("id", F.col("id").cast("double").alias("a"))

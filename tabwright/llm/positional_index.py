@@ -96,7 +96,10 @@ def _plans(words: DataFrame, counts: DataFrame, window: int) -> DataFrame:
 
 
 def diagonals(docs: DataFrame, words: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(k1, k2, item, delta): rows where the rarest terms of one of the item's windows lie right."""
+    """(k1, k2, item, delta): rows where the rarest terms of one of the item's windows lie right.
+
+    delta is where the item's first word would lie; below 0 if the row begins inside the item.
+    """
     rows = _rows(docs, id_col, text_col)
     terms = small(keep(words.select("word", "term").distinct()))
     counts = keep(_postings(rows, terms).groupBy("term").agg(F.count("*").alias("held")))
@@ -106,7 +109,6 @@ def diagonals(docs: DataFrame, words: DataFrame, window: int, id_col: str, text_
     found = (
         index.join(small(plans.withColumnRenamed("term1", "term")), "term")
         .withColumn("delta", F.col("pos") - F.col("ipos1"))
-        .where("delta >= 0")
         .select(*ROW, "item", "delta", "ipos2", "term2", "ipos3", "term3")
         .distinct()
     )

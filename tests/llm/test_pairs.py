@@ -120,6 +120,14 @@ def test_contamination_edges(spark):
     )
 
 
+def test_documents_that_begin_inside_an_item(spark):
+    words = [f"w{i}" for i in range(46)]
+    parts = {1: words[20:41], 2: ["a", "b", "c", "d", "e", *words[30:46]], 3: words[-10:], 4: words[-9:], 5: words[:12]}
+    docs = spark.createDataFrame([(k, " ".join(w), None, "c") for k, w in parts.items()], DOCS)
+    found = contamination(docs, spark.createDataFrame([("a", " ".join(words))], "item_id string, text string"))
+    assert {r.doc_id: r.n_hit for r in found.collect()} == {1: 21, 2: 16, 3: 10, 4: 0, 5: 12}
+
+
 def test_proximity(spark):
     docs = [(1, "red x x blue green"), (2, "green blue x red"), (3, "red x x x blue x green"), (4, None)]
     items = [("i", "blue green red")]

@@ -132,7 +132,8 @@ class Order:
 def _signed(rule: Similarity, shared):
     """Per row: set size, key of the set, key of (prefix, size), and the prefix with the chunks of each token.
 
-    A task that has just seen the same prefix leaves it out, so copies do not fill the index.
+    A task that has just seen the same prefix leaves it out, so copies do not fill the index. Rows
+    without an id never enter the index, so they leave theirs out and do not count as seen.
     """
     schema = pa.schema(
         [
@@ -149,13 +150,15 @@ def _signed(rule: Similarity, shared):
         order, seen = Order(*shared.value), set()
         for part in portions(batches):
             sizes, set_keys, group_keys, prefixes, chunks = [], [], [], [], []
-            for hashes in word_hashes(text_bytes(part.column("text"))):
+            named = part.column("doc_id").is_valid().to_pylist()
+            for hashes, has_id in zip(word_hashes(text_bytes(part.column("text"))), named, strict=True):
                 found = shingles(hashes, rule.words)
                 prefix, held = order.prefix(found, rule.prefix(len(found)) if len(found) else 0)
                 key = xxhash.xxh64_intdigest(prefix.tobytes(), seed=len(found))
-                if key in seen:
+                if key in seen or not has_id:
                     prefix, held = prefix[:0], held[:0]
-                seen.add(key)
+                if has_id:
+                    seen.add(key)
                 sizes.append(len(found))
                 set_keys.append(xxhash.xxh128_digest(found.tobytes()))
                 group_keys.append(key)

@@ -84,6 +84,14 @@ def test_large_near_copy_group_is_split(spark):
     assert {(r.component_id, r.n_links) for r in found} == {(0, 699)}
 
 
+def test_row_without_id_ahead_of_its_copy(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near = " ".join(words), " ".join([*words, "more"])
+    rows = [(None, text, None, "c"), (2, text, None, "c"), (1, near, None, "c")]
+    found = jaccard_join(spark.createDataFrame(rows, DOCS).coalesce(1), Similarity(5, 80)).collect()
+    assert {(r.doc_id, r.component_id, r.n_links) for r in found} == {(None, None, 0), (2, 1, 1), (1, 1, 1)}
+
+
 def test_contamination_matches_sql(spark, sf):
     name = "op8_positional_index"
     assert difference(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLE[name]) is None

@@ -29,16 +29,24 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each component of 5-word shingle sets with a similarity of 0.8 stays.
 
-    Rows without an id stay; of rows that share an id one stays.
+    A document is an id with a text: rows that share an id but differ in text are decided each for
+    itself, of rows alike in both one stays (the smallest in the other columns). Rows without an id stay.
     """
-    found = jaccard_join(docs, Similarity(words=5, percent=80))
-    others = keep(found.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct())
-    repeated = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    repeated = keep(repeated.where("_rows > 1").select("doc_id"))
-    left = docs.join(others, "doc_id", "left_anti").select(docs.columns)
-    once = left.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    first = left.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(first)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.col("text").cast("string")))
+    keyed = docs.withColumn("_key", key)
+    found = jaccard_join(keyed, Similarity(words=5, percent=80), id_col="_key").where("n_links > 0")
+    linked = keep(found.select(F.col("doc_id").alias("_key"), "component_id").distinct())
+    members = keep(keyed.select("doc_id", "_key").distinct().join(linked, "_key"))
+    first = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+    others = keep(
+        members.join(first, "component_id").where(F.col("_key") != F.col("first._key")).select("_key").distinct()
+    )
+    repeated = keyed.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.count("*").alias("_rows"))
+    repeated = keep(repeated.where("_rows > 1").select("_key"))
+    left = keyed.join(others, "_key", "left_anti")
+    once = left.join(repeated, "_key", "left_anti").select(docs.columns)
+    again = left.join(repeated, "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

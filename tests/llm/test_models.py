@@ -98,6 +98,16 @@ def test_co_training(spark):
     assert co_training.score(docs, pages, model).count() == 2
 
 
+def test_near_duplicates_decides_by_id_and_text(spark):
+    words = [f"w{i}" for i in range(60)]
+    copy, other, third = " ".join(words), " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    near = f"{copy} more"
+    rows = [(3, copy), (5, near), (5, other), (5, other), (7, third), (None, copy)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([(3, copy), (5, other), (7, third), (None, copy)])
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

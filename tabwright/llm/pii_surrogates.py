@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
@@ -25,8 +26,7 @@ from tabwright.llm.texts import portions
 
 DEFAULT_KEY = "change-me"
 
-# Given names by gender and script, and surnames: the pools surrogates are drawn from, and the
-# given names known without a title.
+# Given names by gender and script, and surnames: the pools surrogates are drawn from.
 GIVEN = {
     ("m", "LATIN"): "James Robert Michael William David Thomas Daniel Matthew Anthony Steven Kenneth Kevin Brian George Edward Ronald Jeffrey Gregory Patrick Dennis Walter Peter Harold Douglas Henry Carl Arthur Klaus Stefan Juergen Pierre Philippe Carlos Fernando Alejandro".split(),
     ("f", "LATIN"): "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Margaret Sandra Ashley Kimberly Emily Michelle Carol Amanda Melissa Deborah Stephanie Rebecca Laura Sharon Cynthia Kathleen Monika Sabine Brigitte Isabelle Veronique Carmen Lucia Valentina".split(),
@@ -40,6 +40,14 @@ SURNAMES = {
     ("m", "CYRILLIC"): "Иванов Смирнов Кузнецов Попов Соколов Лебедев Новиков Морозов Волков Зайцев".split(),
     ("f", "CYRILLIC"): "Иванова Смирнова Кузнецова Попова Соколова Лебедева Новикова Морозова Волкова Зайцева".split(),
 }
+# Given names known without a title, besides those of the pools.
+OTHER_GIVEN = {
+    "m": "John Paul Charles Joseph Christopher Mark Donald Andrew Joshua Timothy Jason Ryan Jacob Gary Nicholas Eric Jonathan Stephen Larry Justin Scott Brandon Benjamin Samuel Raymond Frank Alexander Jack Jerry Tyler Aaron Jose Adam Nathan Zachary Kyle Noah Ethan Jeremy Christian Keith Roger Terry Austin Sean Gerald Dylan Bryan Bruce Lawrence Gabriel Joe Logan Alan Juan Wayne Roy Ralph Randy Eugene Vincent Russell Louis Philip Bobby Johnny Bradley Ian Simon Martin Neil Graham Stuart Colin Nigel Trevor Oliver Liam Lucas Mason Elijah Owen Isaac Luke Connor Evan Adrian Julian Leo Max Felix Oscar Hugo Victor Edgar Alfred Ernest Fred Howard Leonard Norman Stanley Theodore Tom Tim Jim Bob Mike Dave Steve Dan Matt Tony Ken Greg Jeff Hans Peter Wolfgang Juergen Jürgen Dieter Manfred Uwe Heinz Helmut Werner Gerhard Horst Günter Andreas Michael Thomas Markus Matthias Sebastian Tobias Florian Lukas Jonas Jan Jens Kai Lars Sven Rainer Bernd Ralf Jörg Karl Otto Fritz Ludwig Johannes Jean Jacques Michel Alain Bernard François Christophe Nicolas Laurent Olivier Julien Antoine Guillaume Henri Marcel René Luc Thierry Pascal Yves Luis Antonio Manuel Francisco Miguel Pedro Pablo Javier Jorge Diego Rafael Sergio Alberto Ricardo Andrés Mario Marco Giovanni Giuseppe Luigi Paolo Andrea Matteo Luca Stefano Francesco Roberto Ahmed Mohamed Mohammed Muhammad Ali Omar Hassan Ibrahim Raj Rahul Amit Sanjay Arjun Vijay Wei Hiroshi Kenji Takashi Ivan Dmitri Sergei Vladimir Igor Boris Piotr Tomasz Krzysztof Marek Erik Anders Nils Olaf Henrik".split(),
+    "f": "Maria Anna Ann Anne Betty Dorothy Lisa Donna Ruth Helen Angela Sophia Emma Olivia Ava Isabella Mia Charlotte Amelia Harper Evelyn Abigail Ella Chloe Samantha Anita Julie Joyce Victoria Kelly Christina Christine Joan Lauren Judith Olga Martha Cheryl Megan Andrea Hannah Jacqueline Gloria Teresa Theresa Sara Janice Marie Julia Kathryn Katherine Catherine Frances Jean Alice Judy Beverly Denise Marilyn Amber Danielle Brittany Diana Natalie Jane Sophie Lucy Emily Zoe Claire Fiona Gemma Hazel Irene Josephine Kate Katie Anna Lily Louise Marion Nora Pamela Paula Rachel Rosa Ellen Elena Eva Eleanor Edith Esther Florence Gertrude Heidi Ingrid Ursula Renate Petra Claudia Susanne Andrea Birgit Gabriele Martina Heike Angelika Silke Katrin Kathrin Anja Tanja Nicole Melanie Sandra Julia Lena Lea Johanna Katharina Greta Hilde Helga Ilse Erika Gisela Karin Marlene Nathalie Sylvie Françoise Catherine Martine Chantal Céline Camille Hélène Élise Amélie Aurélie Juliette Manon Margaux Simone Yvonne Ana Isabel Pilar Dolores Teresa Cristina Marta Paula Raquel Rocío Sofia Sofía Gabriela Daniela Alejandra Adriana Mariana Guadalupe Juana Giulia Chiara Francesca Federica Elisa Paola Silvia Fatima Aisha Layla Leila Yasmin Zainab Priya Anjali Deepa Lakshmi Sunita Mei Yuki Sakura Keiko Natasha Svetlana Tatiana Irina Ekaterina Agnieszka Katarzyna Magdalena Astrid Freya Kirsten Sigrid".split(),
+    "n": "Chris Pat Sam Kim Lee Jo Lou Charlie Frankie Drew Blake Cameron Dakota Devon Jackie Jody Kai Kendall Reese Skyler Toni".split(),
+    "m ": "Иван Владимир Борис Игорь Юрий Анатолий Константин Евгений Максим Денис Антон Роман Артём Илья Кирилл Василий Григорий Пётр Фёдор Вадим Станислав Виталий Леонид Семён Георгий Тимофей Никита Егор".split(),
+    "f ": "Надежда Вера Любовь Людмила Галина Валентина Нина Тамара Лариса Оксана Алина Дарья Виктория Ксения Полина Александра Софья Вероника Маргарита Евгения Алла Инна Лидия Раиса Зоя Анастасия Алиса Кристина".split(),
+}
 TITLES = {
     "m": "Mr|Mister|Herr|Monsieur|Señor|Sr|Господин",
     "f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Sra|Госпожа",
@@ -52,23 +60,26 @@ PATTERNS: tuple[tuple[str, re.Pattern], ...] = (
     ("secret", re.compile(rf"(?i)(?<![\w])(?:{SECRET_WORDS})[\"']?\s*(?:[:=]|\sis\s)\s*[\"']?(?P<x>[\w+/=.\-]{{16,}})")),
     ("email", re.compile(r"(?<![\w.+%-])(?P<x>\w[\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")),
     ("iban", re.compile(r"(?<![\w])(?P<x>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w])")),
-    ("ip6", re.compile(r"(?<![\w:])(?P<x>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4})(?![\w:])")),
+    ("ip6", re.compile(r"(?<![\w:])(?P<x>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:]|\.\d)")),
     ("ip4", re.compile(r"(?<![\d.])(?P<x>\d{1,3}(?:\.\d{1,3}){3})(?!\d|\.\d)")),
     ("card", re.compile(r"(?<![\d.])(?P<x>\d(?:[ -]?\d){12,18})(?![\d])")),
     ("ssn", re.compile(r"(?<![\d-])(?P<x>(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4})(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(?P<x>\+\d{1,3}(?:[ .-]?\(\d{1,4}\)|[ .-]?\d{1,4})(?:[ .-]?\d{2,4}){1,4})(?!\d)")),
+    ("phone", re.compile(r"(?<![\w+./-])(?P<x>(?:1[ ./-]?(?:\(\d{3}\)[ ./-]?|\d{3}[ ./-])|\([2-9]\d{2}\)[ ./-]?|[2-9]\d{2}[ ./-])\d{3}[ ./-]\d{4})(?!\d|[./-]\d)")),
+    ("phone", re.compile(r"(?<![\w+./-])(?P<x>0\d{2,5}[ /-]\d{5,8}|0\d{2,4}(?:[ ./-]\d{2,4}){2,4}|0\d(?:[ ./-]\d{2}){4}|\(0\d{1,5}\) ?\d{3,8}(?:[ -]\d{2,5}){0,2})(?!\d|[.:/-]\d)")),
     ("phone", re.compile(r"(?<![\w+.-])(?P<x>(?:\(\d{3}\) ?|\d{3}[-.])\d{3}[-.]\d{4})(?![\d-])")),
 )
 TITLED = re.compile("|".join(rf"(?P<{g}>\b(?:{words})\b\.?)" for g, words in TITLES.items()))
 AFTER_TITLE = re.compile(rf"\s(?P<a>{NAME})(?:\s(?P<b>{NAME}))?")
 PAIR = re.compile(rf"(?<![\w])(?P<a>{NAME})\s(?P<b>{NAME})")
-# Java form of what any text with a mention must hold besides the words of a secret: a digit, an at
-# sign, a title before a capital, or two capitalised words.
+# Java form of what any text with a mention must hold besides the words of a secret: a digit (phones
+# and IP addresses have one), an at sign, a title before a capital, or two capitalised words.
 MAYBE = (
     r"[\p{Nd}@]|(?=[DFHMPSГД])(?:" + "|".join(TITLES.values()) + r")\.?[\s\h]\p{Lu}|\p{Lu}\p{Ll}+[\s\h]\p{Lu}"
 )
 MAYBE_SECRET = ("key", "secret", "token", "passw", "bearer")
-KNOWN = {name: gender for (gender, _), names in GIVEN.items() for name in names}
+KNOWN = {name: gender.strip() for gender, names in OTHER_GIVEN.items() for name in names}
+KNOWN |= {name: gender for (gender, _), names in GIVEN.items() for name in names}
 
 
 def luhn(digits: str) -> bool:
@@ -91,6 +102,12 @@ def _iban_check(body: str) -> int:
 def _valid(kind: str, value: str) -> bool:
     if kind == "ip4":
         return all(int(p) <= 255 and (p == "0" or p[0] != "0") for p in value.split("."))
+    if kind == "ip6":
+        try:
+            ipaddress.IPv6Address(value)
+        except ValueError:
+            return False
+        return any(c.isdigit() for c in value)
     if kind == "card":
         return _is_card(re.sub(r"\D", "", value))
     if kind == "iban":
@@ -214,6 +231,8 @@ def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
         first = int(value.split(".")[0])
         lead = first if first in (10, 127) else draws.pick([n for n in range(11, 224) if n != 127])
         return ".".join(map(str, [lead, draws.below(256), draws.below(256), 1 + draws.below(254)]))
+    if kind == "ip6" and attempt > 8:  # short forms have few others of their shape
+        return ":".join(f"{draws.below(65_536):x}" for _ in range(8))
     if kind in ("ip6", "secret"):
         return _like(draws, value, hexadecimal=kind == "ip6" or bool(re.fullmatch(r"[0-9a-f-]+", value)))
     if kind == "card":

@@ -102,6 +102,27 @@ def test_surrogates(spark):
     assert pii_surrogates.pseudonymize(frame.where("false")).count() == 0
 
 
+def test_surrogates_cover_common_forms(spark):
+    private = {
+        "ip6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "1:2:3:4:5:6:7:8"],
+        "phone": ["1-800-555-1212", "555 123 4567", "(555) 123 4567", "0171 2345678", "089/1234567", "06 12 34 56 78"],
+        "given": ["John Smith", "Maria Lopez", "Paul Meyer", "Иван Петров"],
+    }
+    for kind, values in private.items():
+        for value in values:
+            found = pii_surrogates.mentions(f"see {value}, please.")
+            text = f"see {value}, please."
+            assert found and found[0][2].startswith(kind) and text[found[0][0] : found[-1][1]] == value, value
+    for clean in ("on 01.02.2023 or 2023-01-02", "std::vector a::b ratio 1:2:3", "at 04:05:06", "1.2.3 and 12 345 678"):
+        assert not pii_surrogates.mentions(clean), clean
+    rows = [(i, f"see {v}, please.") for i, v in enumerate(v for vs in private.values() for v in vs)]
+    rows += [(100 + i, f"at ::{i} now") for i in range(10)]
+    found = pii_surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k", count_col="n")
+    old, new = dict(rows), {r.doc_id: r for r in found.collect()}
+    assert [i for i in old if new[i].n == 0 or new[i].text == old[i]] == []
+    assert len({r.text for r in new.values() if r.doc_id >= 100}) == 10
+
+
 def test_surrogates_stay_distinct(spark):
     names = [("given-m-LATIN", f"name{i}") for i in range(300)]
     frame = spark.createDataFrame(names, "kind string, value string")

@@ -25,8 +25,8 @@ class Layout:
 
     `turns` is the path of a list of messages with `role` and `text` fields; or None, and `fixed`
     lists (role, paths) whose texts, joined by a blank line, are one turn each; or the record is
-    itself one turn with `role` and `text` fields and its place in `order`. `paths` must all be
-    present, any of `optional` may be. `names` translates role names.
+    itself one turn with `role` and `text` fields and its place in `order` (null if it has none,
+    which comes first). `paths` must all be present, any of `optional` may be. `names` translates role names.
     """
 
     name: str
@@ -46,7 +46,11 @@ LAYOUTS = (
     Layout("turn_without_text", ("role", "turn"), text="text", order="turn"),
     Layout("turn_without_role", ("text", "turn"), text="text", order="turn"),
     Layout("turn_bare", ("turn",), text="text", order="turn"),
-    Layout("messages", ("messages[].role", "messages[].content"), ("system",), turns="messages"),
+    Layout("turn_without_place", ("role", "text"), text="text", order="turn"),
+    Layout("turn_text_alone", ("text",), text="text", order="turn"),
+    Layout("turn_role_alone", ("role",), text="text", order="turn"),
+    Layout("turn_empty", (), text="text", order="turn"),
+    Layout("messages", ("messages[].role", "messages[].content"), ("system", "id", "messages[].name"), turns="messages"),
     Layout("conversations", ("conversations[].from", "conversations[].value"), ("system", "id"), turns="conversations", role="from", text="value", names=NAMES),
     Layout("instruction", ("instruction", "output"), ("input", "system"), fixed=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",)))),
     Layout("prompt", ("prompt", "response"), ("system",), fixed=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -78,10 +82,11 @@ def registry(layouts: Sequence[Layout] = LAYOUTS) -> dict[str, Layout]:
     return out
 
 
-def _turns(layout: Layout, record: dict) -> list[tuple[int, str, str]]:
+def _turns(layout: Layout, record: dict) -> list[tuple[int | None, str, str]]:
     """(place, role, text) of a record; a null text or role is empty."""
     if layout.order is not None:
-        return [(int(record[layout.order]), record.get(layout.role) or "", record.get(layout.text) or "")]
+        place = record.get(layout.order)
+        return [(place if place is None else int(place), record.get(layout.role) or "", record.get(layout.text) or "")]
     if layout.turns is None:
         texts = [(role, "\n\n".join(str(record[p]) for p in paths if record.get(p))) for role, paths in layout.fixed]
         return list(enumerate_turns((role, text) for role, text in texts if text or role != "system"))
@@ -163,6 +168,8 @@ def canonical_turns(
                     record = None
                 mark = fingerprint(field_paths(record)) if isinstance(record, dict) else "none"
                 layout = known.get(mark)
+                if layout is not None and not layout.paths and not {layout.role, layout.text, layout.order} >= set(record):
+                    layout = None
                 if layout is None:
                     rows.append((conv_id, 0, f"unknown:{mark}", None, None))
                 else:
@@ -182,13 +189,14 @@ def formatted_turns(turns: DataFrame, template: Template = Template(), learn: tu
     """Canonical turns with `formatted` and the loss mask in it (mask_begin, mask_end; null where nothing is learned).
 
     A conversation is its turns' strings one after the other, by place, then role, then text; it
-    stays a row per turn, so no conversation has to fit into one row. Unknown records drop out.
+    stays a row per turn, so no conversation has to fit into one row. Unknown records stay as rows
+    with null role, content and formatted.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [
-                template.write(role, text)
+                template.write(role, text) if role is not None else (None, None, None)
                 for role, text in zip(batch.column("role").to_pylist(), batch.column("content").to_pylist(), strict=True)
             ]
             masked = [role in learn for role in batch.column("role").to_pylist()]
@@ -203,8 +211,7 @@ def formatted_turns(turns: DataFrame, template: Template = Template(), learn: tu
                 names=["conv_id", "place", "role", "content", "formatted", "mask_begin", "mask_end"],
             )
 
-    known = turns.where(F.col("role").isNotNull()).select("conv_id", "place", "role", "content")
-    return known.mapInArrow(
+    return turns.select("conv_id", "place", "role", "content").mapInArrow(
         run,
         "conv_id long, place long, role string, content string, formatted string, mask_begin long, mask_end long",
     )
@@ -214,16 +221,16 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
     """Digests of what the formatted conversations say, read from `formatted` and the mask alone.
 
     One row per conversation: conv_id, n_turns, turns_sha256 (role, line end, text, line end of each
-    turn), loss_chars and loss_sha256 (unescaped text under the mask), formatted_chars. Turns pass
-    in order through running hashes, so a conversation of any length takes the memory of a batch.
+    turn), loss_chars and loss_sha256 (unescaped text under the mask), formatted_chars, n_unknown
+    (records in no layout, which are in none of the others). Turns pass in order through running hashes, so a conversation of any length takes the memory of a batch.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
 
         def done(finished: list) -> tuple:
-            conv_id, count, turns, loss_chars, loss, chars = finished
-            return conv_id, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars
+            conv_id, count, turns, loss_chars, loss, chars, unknown = finished
+            return conv_id, count, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, unknown
 
         for batch in batches:
             rows = []
@@ -232,7 +239,10 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
                 if state is None or state[0] != conv_id:
                     if state is not None:
                         rows.append(done(state))
-                    state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    state = [conv_id, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                if text is None:
+                    state[6] += 1
+                    continue
                 for role, said in template.read(text):
                     state[1] += 1
                     state[2].update(f"{role}\n{said}\n".encode())
@@ -246,9 +256,9 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
             yield _digests([done(state)])
 
     def _digests(rows: list[tuple]) -> pa.RecordBatch:
-        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_unknown"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     return (
@@ -257,6 +267,6 @@ def read_back(formatted: DataFrame, template: Template = Template()) -> DataFram
         .select("conv_id", "formatted", "mask_begin", "mask_end")
         .mapInArrow(
             run,
-            "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long",
+            "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_unknown long",
         )
     )

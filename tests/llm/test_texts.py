@@ -192,6 +192,24 @@ def test_chat_layouts_and_round_trip(spark):
     assert back[2].loss_chars == len(hard) and back[2].loss_sha256 == hashlib.sha256(hard.encode()).hexdigest()
 
 
+def test_chat_nulls_and_extra_fields(spark):
+    records = [
+        (1, json.dumps({"turn": 0, "role": "user", "text": "a"})),
+        (1, json.dumps({"role": "assistant", "text": "b"})),
+        (2, json.dumps({"text": "c"})),
+        (3, json.dumps({"role": "user"})),
+        (4, "{}"),
+        (5, json.dumps({"id": 9, "messages": [{"role": "user", "content": "d", "name": "x"}]})),
+        (6, json.dumps({"messages": [{"role": "user", "content": "e", "tool": "x"}]})),
+        (7, json.dumps({"messages": []})),
+    ]
+    turns = chat_format.canonical_turns(spark.createDataFrame(records, "conv_id long, record string"))
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted_turns(turns)).collect()}
+    said = {1: "assistant\nb\nuser\na\n", 2: "\nc\n", 3: "user\n\n", 4: "\n\n", 5: "user\nd\n", 6: "", 7: ""}
+    assert {k: r.turns_sha256 for k, r in back.items()} == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in said.items()}
+    assert [(back[k].n_turns, back[k].n_unknown) for k in range(1, 8)] == [(2, 0), *[(1, 0)] * 4, (0, 1), (0, 1)]
+
+
 def test_chat_query(spark, sf):
     rows = spark.read.parquet(f"{sf}/conversations.parquet").orderBy("conv_id", "turn").collect()
     wanted = {}

@@ -17,6 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabwright.llm.store import keep, small
 from tabwright.llm.texts import portions
 
 UNDETERMINED = "und"
@@ -110,7 +111,7 @@ def _automaton(sample: np.ndarray, width: int) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     """A model from rows with text and language.
 
-    Bounded sample: the SAMPLE_ROWS texts with the smallest hash per language among those of at
+    Bounded sample: the SAMPLE_ROWS distinct texts with the smallest hash per language among those of at
     most SAMPLE_TEXT characters, whole; their letters count up to SAMPLE_CHARS, less if there are
     so many languages that the tables would pass STATE_BUDGET states. Rows without text or
     language teach nothing. A language whose texts are all longer is learned from its shortest one.
@@ -118,11 +119,17 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
-    place = Window.partitionBy("lang").orderBy(
-        F.when(F.length("text") > SAMPLE_TEXT, F.length("text")).otherwise(0), F.xxhash64("text", F.lit(11)), "text"
+    hashed = rows.select(
+        "lang",
+        F.when(F.length("text") > SAMPLE_TEXT, F.length("text")).otherwise(0).alias("over"),
+        F.xxhash64("text", F.lit(11)).alias("hash"),
+        "text",
     )
-    ranked = rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= SAMPLE_ROWS)
-    picked = ranked.where((F.length("text") <= SAMPLE_TEXT) | (F.col("rank") == 1)).orderBy("lang", "rank").collect()
+    place = Window.partitionBy("lang").orderBy("over", "hash")
+    ranked = hashed.select("lang", "over", "hash").distinct().withColumn("rank", F.row_number().over(place))
+    chosen = small(keep(ranked.where((F.col("rank") <= SAMPLE_ROWS) & ((F.col("over") == 0) | (F.col("rank") == 1)))))
+    texts = hashed.join(chosen, ["lang", "over", "hash"]).groupBy("lang", "rank").agg(F.min("text").alias("text"))
+    picked = texts.orderBy("lang", "rank").collect()
     languages = tuple(sorted({row["lang"] for row in picked}))
     base = _base_classes()
     limit = min(SAMPLE_CHARS, STATE_BUDGET // (2 * max(1, len(languages))))

@@ -45,6 +45,15 @@ def test_language_id(spark, sf):
     assert {r.lang_pred for r in language_id.predict(odd, empty).collect()} == {"und"}
 
 
+def test_language_sample_is_of_distinct_texts(spark):
+    draw = random.Random(7)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(60)]
+    texts = [(" ".join(draw.choices(words, k=8)), "xx") for _ in range(10)]
+    once, copies = (spark.createDataFrame(texts * n, "text string, lang string") for n in (1, 100))
+    tables = [language_id.fit(f, "text", "lang").tables[0] for f in (once, copies)]
+    assert np.array_equal(*tables)
+
+
 def test_segments_are_maximal():
     draw = random.Random(2)
     for _ in range(200):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tabwright.llm import chat_format, co_training, context_mixing, language_id, syncmers, toxicity
 from tabwright.llm.budget_mix import mix
+from tabwright.llm.filter_audit import filter_audit
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
 from tabwright.llm.pii_surrogates import pseudonymize
 from tabwright.llm.positional_index import contamination
@@ -156,3 +157,51 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "text_score",
         "page_score",
     )
+
+
+FILTER_AUDIT_SQL = r"""
+WITH RECURSIVE
+texts AS (
+  SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS t,
+         regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS w,
+         coalesce(l.quality = 1, FALSE) AS good, coalesce(l.toxic = 1, FALSE) AS toxic
+  FROM documents d LEFT JOIN labels l USING (doc_id)),
+masks AS (
+  SELECT part, good, toxic,
+         (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT
+         + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE)::INT AS mask
+  FROM texts),
+cells AS (
+  SELECT part, mask, count(*) AS docs, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic
+  FROM masks GROUP BY part, mask),
+filters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+steps AS (
+  SELECT letter AS prefix, letter, 1 AS step, bit, 0 AS before, bit AS applied FROM filters
+  UNION ALL
+  SELECT s.prefix || f.letter, f.letter, s.step + 1, f.bit, s.applied, s.applied | f.bit
+  FROM steps s JOIN filters f ON s.applied & f.bit = 0),
+counted AS (
+  SELECT part, prefix, letter, step,
+         sum(CASE WHEN mask & applied = 0 THEN docs ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN docs ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN docs ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN docs ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY ALL),
+ordered AS (
+  SELECT c.*, o.prefix AS filter_order
+  FROM counted c JOIN (SELECT DISTINCT prefix FROM steps WHERE step = 5) o ON c.prefix = left(o.prefix, c.step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM ordered
+"""
+
+
+@query("op13_filter_audit", FILTER_AUDIT_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))

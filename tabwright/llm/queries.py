@@ -5,10 +5,20 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabwright.llm import chat_format, co_training, context_mixing, language_id, syncmers, toxicity
+from tabwright.llm import (
+    chat_format,
+    co_training,
+    context_mixing,
+    language_id,
+    piece_merges,
+    piece_model,
+    syncmers,
+    toxicity,
+)
 from tabwright.llm.budget_mix import mix
 from tabwright.llm.filter_audit import filter_audit
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
@@ -159,6 +169,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_piece_merges")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    model = piece_model.load(public_tokenizers.path("piece_bpe_32k.model"))
+    encoded = piece_merges.encode(table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
+    return piece_merges.decode(encoded, model).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 FILTER_AUDIT_SQL = r"""
 WITH RECURSIVE
 texts AS (

@@ -46,6 +46,11 @@ class _Powers:
 _powers = _Powers()
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd 64-bit base and of its inverse, for hashes of stretches by differences of sums."""
+    return _powers.upto(n)
+
+
 def hash_group(texts: Sequence[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The texts joined and lower-cased; begin, end and hash of each word in them; words of each text before its first."""
     joined = b" ".join([b"", *texts, b""]).translate(LOWER_ASCII)

@@ -22,6 +22,7 @@ from tabwright.llm import (
 from tabwright.llm.budget_mix import mix
 from tabwright.llm.filter_audit import filter_audit
 from tabwright.llm.jaccard_join import Similarity, jaccard_join
+from tabwright.llm.phrase_mining import collocations
 from tabwright.llm.pii_surrogates import pseudonymize
 from tabwright.llm.positional_index import contamination
 from tabwright.llm.texts import id_remainder
@@ -181,6 +182,50 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS k FROM words),
+occurring AS (
+  SELECT lang, k, list_slice(w, s, s + k - 1) AS p
+  FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS s FROM sized WHERE len(w) >= k)),
+counts AS (SELECT lang, k, p, CAST(count(*) AS HUGEINT) AS f FROM occurring GROUP BY lang, k, p),
+totals AS (SELECT lang, sum(f) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, p, f AS a FROM counts WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, p, a, unnest(generate_series(1, k - 1)) AS c FROM candidates),
+cut_scores AS (
+  SELECT u.lang, u.p, u.k, u.a, u.c, x.f AS l, y.f AS r, (2000000 * u.a) // (x.f + y.f) AS score
+  FROM cuts u
+  JOIN counts x ON x.lang = u.lang AND x.p = list_slice(u.p, 1, u.c)
+  JOIN counts y ON y.lang = u.lang AND y.p = list_slice(u.p, u.c + 1, u.k)),
+lowest AS (
+  SELECT * FROM cut_scores QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1),
+inside AS (
+  SELECT lang, a, list_slice(p, s, s + m - 1) AS p
+  FROM (SELECT lang, p, a, m, unnest(generate_series(1, k - m + 1)) AS s
+        FROM (SELECT lang, p, a, k, unnest(generate_series(2, k - 1)) AS m FROM candidates WHERE k > 2))),
+around AS (SELECT lang, p, max(a) AS f FROM inside GROUP BY lang, p),
+ranked AS (
+  SELECT l.lang, array_to_string(l.p, ' ') AS phrase, l.a, l.l, l.r, l.score,
+         row_number() OVER (PARTITION BY l.lang ORDER BY l.score DESC, l.a DESC, encode(array_to_string(l.p, ' '))) AS rank
+  FROM lowest l LEFT JOIN around o ON o.lang = l.lang AND o.p = l.p
+  WHERE o.f IS NULL OR 100 * o.f < 80 * l.a)
+SELECT r.lang, CAST(r.rank AS BIGINT) AS rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(r.l AS BIGINT) AS l,
+       CAST(r.r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, CAST(r.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", COLLOCATION_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
 FILTER_AUDIT_SQL = r"""
 WITH RECURSIVE
 texts AS (

@@ -26,7 +26,7 @@ DEPTH = 4
 UNKNOWN_LANGUAGE = "und"
 BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", dtype=np.uint8))
 GAPS = BREAKS | np.isin(np.arange(256), [0x20, 0x09])
-FLUSH_BYTES = 1 << 23
+FLUSH_BYTES = 1 << 22
 ROUTE_BYTES = 1 << 25
 SAMPLE_BYTES = 1 << 14
 HOT_SHARE = 4
@@ -49,15 +49,16 @@ class Suffixes:
         begin = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
         end = np.flatnonzero(~gap[:-1] & gap[1:]) + 1
         offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int64)
-        buffers = [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(chars[~gap].tobytes())]
+        buffers = [None, pa.py_buffer(offsets), pa.py_buffer(chars[~gap])]
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), buffers).dictionary_encode()
         self.words = coded.dictionary
-        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        piece = np.cumsum(BREAKS[chars])[begin]
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1)
+        piece = np.cumsum(BREAKS[chars], dtype=np.int32)[begin]
         text_of = np.searchsorted(np.cumsum([1, *[1 + len(t) for t in texts]]), begin, side="right") - 1
-        lang = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text_of] if len(begin) else text_of
+        lang = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32)[text_of] if len(begin) else text_of
+        del coded, buffers, offsets, chars, gap, begin, end, text_of
 
-        ids = np.zeros((DEPTH, len(word)), dtype=np.int64)
+        ids = np.zeros((DEPTH, len(word)), dtype=np.int32)
         ids[0] = word
         for k in range(1, DEPTH):
             same = piece[k:] == piece[:-k] if k < len(word) else np.zeros(0, dtype=bool)
@@ -69,16 +70,16 @@ class Suffixes:
 
     def _singles(self, word: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         width = len(self.words) + 1
-        key, count = np.unique(lang * width + word, return_counts=True)
-        return key % width, key // width, count
+        key, count = np.unique(lang.astype(np.int64) * width + word, return_counts=True)
+        return (key % width).astype(np.int32), (key // width).astype(np.int32), count
 
     def _distinct(self, ids: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Equal suffixes merged: pairs of words are numbered first, so that a suffix is two numbers."""
         width = len(self.words) + 1
-        front = (lang * width + ids[0]) * width + ids[1]
+        front = (lang.astype(np.int64) * width + ids[0]) * width + ids[1]
         if not len(front):
             return ids, lang, front
-        back = ids[2] * width + ids[3]
+        back = ids[2].astype(np.int64) * width + ids[3]
         order = np.lexsort((back, front))
         front, back = front[order], back[order]
         first = np.flatnonzero(np.concatenate([[True], (front[1:] != front[:-1]) | (back[1:] != back[:-1])]))
@@ -159,7 +160,7 @@ def _routes(found: Suffixes, routes: int, hot: Sequence[np.ndarray]) -> tuple[np
 def _packed(found: Suffixes, routes: int, hot: Sequence[np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Rows of at most PACKED suffixes of one (route, language, whole), with the words they use."""
     route, whole = _routes(found, routes, hot)
-    one = np.zeros((DEPTH, len(found.single)), dtype=np.int64)
+    one = np.zeros((DEPTH, len(found.single)), dtype=np.int32)
     one[0] = found.single
     ids = np.concatenate([one, found.ids], axis=1)
     lang = np.concatenate([found.single_lang, found.lang])
@@ -173,13 +174,13 @@ def _packed(found: Suffixes, routes: int, hot: Sequence[np.ndarray]) -> Iterator
         return
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     stops = np.concatenate([starts[1:], [len(group)]])
-    scratch = np.zeros(len(found.words) + 1, dtype=np.int64)
+    scratch = np.zeros(len(found.words) + 1, dtype=np.int32)
     words, offsets, rows = [], [0], []
     for start, stop in zip(starts.tolist(), stops.tolist(), strict=True):
         for low in range(start, stop, PACKED):
             at = order[low : min(stop, low + PACKED)]
             own = ids[:, at].ravel()
-            places = np.arange(len(own))
+            places = np.arange(len(own), dtype=np.int32)
             scratch[own] = places
             distinct = own[scratch[own] == places]
             distinct = distinct[distinct > 0]
@@ -321,7 +322,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     a phrase lies within a piece between `.,;:!?` and line breaks; a null language counts as `und`, a
     null text as empty. Copies add up. Other columns are ignored; no documents give no rows.
 
-    Memory: a sender holds the suffixes of 8 MB of text, a receiver those of one route, about 32 MB
+    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 32 MB
     of text in all; routes grow with the corpus and are at least as many as shuffle partitions.
     """
     spark = docs.sparkSession

@@ -27,7 +27,7 @@ UNKNOWN_LANGUAGE = "und"
 BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", dtype=np.uint8))
 GAPS = BREAKS | np.isin(np.arange(256), [0x20, 0x09])
 FLUSH_BYTES = 1 << 22
-ROUTE_BYTES = 1 << 25
+ROUTE_BYTES = 1 << 23
 SAMPLE_BYTES = 1 << 14
 HOT_SHARE = 4
 PACKED = 16_000
@@ -216,7 +216,7 @@ def _packed(found: Suffixes, routes: int, hot: Sequence[np.ndarray]) -> Iterator
 def equal_parts(
     ids: np.ndarray, weight: np.ndarray, least: int, whole: int, top: int = DEPTH
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(pointer to an example, words, weight) of the phrases of 1 to `top` words that suffixes begin with.
+    """(pointer to an example, depth, weight) of the phrases of 1 to `top` entries that suffixes begin with.
 
     Multikey three-way quicksort of pointers: a stretch of suffixes that agree in their first words is
     split by the next one around a pivot; only the equal part goes on to the word after. Parts lighter
@@ -258,37 +258,50 @@ def equal_parts(
 
 
 def _group_counts(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Phrases of one (route, language, whole) with their counts; and the words in all, of single words."""
+    """Phrases of one (route, whole) with their counts; and the words of each language, of single words.
+
+    The language stands before the first word, so that one sort serves all languages.
+    """
     listed = pc.split_pattern(group["words"].combine_chunks(), b" ")
     flat = listed.flatten().dictionary_encode()
-    numbers = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32) + 1
+    numbers = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1)
     offsets = listed.offsets.to_numpy() - listed.offsets[0].as_py()
-    parts, weights = [], []
-    for i, (suffixes, counts) in enumerate(zip(group["suffixes"].to_pylist(), group["counts"].to_pylist(), strict=True)):
+    tongue = group["lang"].combine_chunks().dictionary_encode()
+    counts = group["counts"].combine_chunks()
+    weight = np.concatenate([np.frombuffer(c.as_buffer(), dtype="<u4") for c in counts]).astype(np.float64)
+    ids = np.empty((DEPTH + 1, len(weight)), dtype=np.int32)
+    at = 0
+    for i, (packed, lang) in enumerate(zip(group["suffixes"].combine_chunks(), tongue.indices.to_pylist(), strict=True)):
         table = np.concatenate([np.zeros(1, np.int32), numbers[offsets[i] : offsets[i + 1]]])
-        parts.append(table[np.frombuffer(suffixes, dtype="<u2").reshape(DEPTH, -1)])
-        weights.append(np.frombuffer(counts, dtype="<u4"))
-    ids, weight = np.concatenate(parts, axis=1), np.concatenate(weights).astype(np.float64)
-    whole, lang = group["whole"][0].as_py(), group["lang"][0].as_py()
-    single = whole == 1
-    if single:
-        yield _counted(lang, [None], [0], [int(weight.sum())])
-    for example, words, total in equal_parts(ids, weight, least, whole, 1 if single else DEPTH):
-        wanted = words >= (1 if single else 2)
-        example, words, total = example[wanted], words[wanted], total[wanted]
+        part = table[np.frombuffer(packed.as_buffer(), dtype="<u2").reshape(DEPTH, -1)]
+        ids[0, at : at + part.shape[1]] = lang + 1
+        ids[1:, at : at + part.shape[1]] = part
+        at += part.shape[1]
+    languages = tongue.dictionary.to_pylist()
+    whole = group["whole"][0].as_py()
+    if whole == 1:
+        held = np.bincount(ids[0], weights=weight, minlength=len(languages) + 1)[1:].astype(np.int64)
+        yield _counted(languages, [None] * len(held), np.zeros(len(held)), held)
+        ids = ids[:2]
+    # Where all pairs are whole, nothing light can hold a phrase: single words are counted elsewhere.
+    bound = 1 if whole <= 2 else whole + 1
+    shortest = min(whole, 2)
+    for example, depth, total in equal_parts(ids, weight, least, bound, len(ids)):
+        wanted = depth > shortest
+        example, words, total = example[wanted], depth[wanted] - 1, total[wanted]
         if not len(words):
             continue
-        used = np.arange(DEPTH)[None, :] < words[:, None]
-        spelled = flat.dictionary.take(pa.array(ids[:, example].T[used] - 1))
+        used = np.arange(len(ids) - 1)[None, :] < words[:, None]
+        spelled = flat.dictionary.take(pa.array(ids[1:, example].T[used] - 1))
         begins = pa.array(np.concatenate([[0], np.cumsum(words)]), pa.int32())
         phrases = pc.binary_join(pa.ListArray.from_arrays(begins, spelled), b" ").cast(pa.string())
-        yield _counted(lang, phrases, words, total)
+        yield _counted([languages[i] for i in (ids[0, example] - 1).tolist()], phrases, words, total)
 
 
-def _counted(lang: str, phrases, words, counts) -> pa.RecordBatch:
+def _counted(languages: Sequence[str], phrases, words, counts) -> pa.RecordBatch:
     return pa.record_batch(
         {
-            "lang": pa.array([lang] * len(words), pa.string()),
+            "lang": pa.array(languages, pa.string()),
             "phrase": pa.array(phrases, pa.string()),
             "words": pa.array(words, pa.int32()),
             "count": pa.array(counts, pa.int64()),
@@ -297,11 +310,11 @@ def _counted(lang: str, phrases, words, counts) -> pa.RecordBatch:
 
 
 def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables of equal (route, lang, whole), from rows sorted by them."""
+    """Tables of equal (route, whole), from rows sorted by them."""
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:
-        keys = list(zip(*[batch.column(c).to_pylist() for c in ("route", "lang", "whole")], strict=True))
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("route", "whole")], strict=True))
         start = 0
         for i, key in enumerate([*keys, None]):
             if i == len(keys) or (i > start and key != keys[start]):
@@ -322,7 +335,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     a phrase lies within a piece between `.,;:!?` and line breaks; a null language counts as `und`, a
     null text as empty. Copies add up. Other columns are ignored; no documents give no rows.
 
-    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 32 MB
+    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 8 MB
     of text in all; routes grow with the corpus and are at least as many as shuffle partitions.
     """
     spark = docs.sparkSession
@@ -343,7 +356,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
             yield from _group_counts(group, least)
 
     sent = texts.mapInArrow(send, PACKED_TYPE).repartition(routes, "route")
-    found = sent.sortWithinPartitions("route", "lang", "whole").mapInArrow(
+    found = sent.sortWithinPartitions("route", "whole").mapInArrow(
         receive, "lang string, phrase string, words int, count long"
     )
     added = found.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))

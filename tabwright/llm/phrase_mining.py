@@ -355,7 +355,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
         for group in _groups(batches):
             yield from _group_counts(group, least)
 
-    sent = texts.mapInArrow(send, PACKED_TYPE).repartition(routes, "route")
+    sent = texts.mapInArrow(send, PACKED_TYPE).repartitionById(routes, F.col("route").cast("int"))
     found = sent.sortWithinPartitions("route", "whole").mapInArrow(
         receive, "lang string, phrase string, words int, count long"
     )

@@ -23,6 +23,7 @@ MODULES = (
     "clusters",
     "explanations",
     "models",
+    "trees",
     "inputs",
 )
 

@@ -22,8 +22,8 @@ from pyspark.sql.types import BinaryType, DataType, LongType, StringType, Struct
 from tabwright.llm.piece_model import CONTROL, NEVER, NORMAL, SPACE, PieceModel
 from tabwright.llm.texts import portions, powers, scramble, text_bytes
 
-SLICE_BYTES = 1 << 21
-SLICE_POINTS = 1 << 20
+SLICE_BYTES = 1 << 20
+SLICE_POINTS = 1 << 19
 LONG_TIE = 128
 
 
@@ -332,7 +332,7 @@ def encode(
     """Columns of `df` plus the ids of the whole text, packed as little-endian unsigned 32-bit integers, and their count.
 
     Begin and end ids are included, so a null or empty text has these two. Every text is encoded,
-    of any length: a task holds a slice of at most 2 MB or one text, and works on parts of a million
+    of any length: a task holds a slice of at most 1 MB or one text, and works on parts of half a million
     characters of a longer one. Bytes that are no UTF-8 count as U+FFFD each. Equal texts have equal
     ids; repeated rows stay. A column that already has the name of a new one is replaced. Empty
     tables give none.

@@ -27,7 +27,7 @@ UNKNOWN_LANGUAGE = "und"
 BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", dtype=np.uint8))
 GAPS = BREAKS | np.isin(np.arange(256), [0x20, 0x09])
 FLUSH_BYTES = 1 << 22
-ROUTE_BYTES = 1 << 23
+ROUTE_BYTES = 1 << 22
 SAMPLE_BYTES = 1 << 14
 HOT_SHARE = 4
 PACKED = 16_000
@@ -223,17 +223,17 @@ def equal_parts(
     than `least` are abandoned; phrases of fewer than `whole` words may have weight elsewhere, so these
     come whatever they weigh.
     """
-    pointer = np.flatnonzero(ids[0] > 0)
+    pointer = np.flatnonzero(ids[0] > 0).astype(np.int32)
     size = np.array([len(pointer)])
     depth = np.zeros(1, dtype=np.int64)
     while len(pointer):
-        stretch = np.repeat(np.arange(len(size)), size)
+        stretch = np.repeat(np.arange(len(size), dtype=np.int32), size)
         key = ids[depth[stretch], pointer]
         starts = np.cumsum(size) - size
         trial = key[starts[:, None] + (size[:, None] * np.arange(1, 6)) // 6]
         pivot = np.sort(trial, axis=1)[:, 2][stretch]
-        side = (key >= pivot).astype(np.int64) + (key > pivot)
-        part = stretch * 3 + side
+        side = (key >= pivot).astype(np.int8) + (key > pivot)
+        part = stretch * np.int32(3) + side
         sizes = np.bincount(part, minlength=3 * len(size)).reshape(-1, 3)
         weights = np.bincount(part, weights=weight[pointer], minlength=3 * len(size)).astype(np.int64).reshape(-1, 3)
         # A suffix that ends before this word begins with no phrase that long.
@@ -279,6 +279,7 @@ def _group_counts(group: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
         at += part.shape[1]
     languages = tongue.dictionary.to_pylist()
     whole = group["whole"][0].as_py()
+    del group, listed, counts, numbers
     if whole == 1:
         held = np.bincount(ids[0], weights=weight, minlength=len(languages) + 1)[1:].astype(np.int64)
         yield _counted(languages, [None] * len(held), np.zeros(len(held)), held)
@@ -335,7 +336,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     a phrase lies within a piece between `.,;:!?` and line breaks; a null language counts as `und`, a
     null text as empty. Copies add up. Other columns are ignored; no documents give no rows.
 
-    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 8 MB
+    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 4 MB
     of text in all; routes grow with the corpus and are at least as many as shuffle partitions.
     """
     spark = docs.sparkSession

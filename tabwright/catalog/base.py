@@ -24,6 +24,7 @@ MODULES = (
     "explanations",
     "models",
     "trees",
+    "first_order",
     "inputs",
 )
 

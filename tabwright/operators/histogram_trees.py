@@ -98,6 +98,23 @@ class Nodes:
         ]
         return spark.createDataFrame(rows, NODE_SCHEMA)
 
+    @classmethod
+    def read(cls, table: DataFrame, features: Sequence[str]) -> Nodes:
+        """Nodes from the rows that `table` wrote."""
+        nodes = cls(list(features))
+        place: dict[tuple[int, int], int] = {}
+        for r in sorted(table.collect(), key=lambda r: (r.tree, r.node)):
+            at = place[r.tree, r.node] = nodes.add(r.tree, r.node, r.n, r.value)
+            nodes.gain[at] = r.gain
+            if r.feature is not None:
+                nodes.feature[at], nodes.threshold[at] = nodes.features.index(r.feature), r.threshold
+            if r.node == 1:
+                nodes.roots.append(at)
+        for (tree, number), at in place.items():
+            if nodes.feature[at] >= 0:
+                nodes.left[at] = place[tree, 2 * number]
+        return nodes
+
     def importance(self, top: int = 10) -> list[tuple[str, float]]:
         """Share of the rows that the splits on a feature saw, largest first, without zeros."""
         seen = [0.0] * len(self.features)
@@ -259,40 +276,62 @@ def _rows(df: DataFrame, features: Sequence[str], label: str, key: str | None) -
     return df.select(x.alias("x"), F.col(quoted(label)).cast("double").alias("y"), hashed.alias("key")).where("y IS NOT NULL")
 
 
-def _predictor(nodes: Nodes, combine: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
-    """A `prediction` column from the trees' values per row."""
-    walk, roots, values = nodes.walker(), list(nodes.roots), np.array(nodes.value)
+@dataclass
+class TreeModel:
+    """Trees as data: their nodes and how the trees' values make a prediction.
 
-    @F.pandas_udf("double")
-    def predicted(x: pd.Series) -> pd.Series:
-        matrix = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
-        return pd.Series(combine(np.stack([values[walk(matrix, r)] for r in roots], axis=1)))
+    `rule`: "mean" of the trees, "votes" for one of `classes`, or "boosted": `start` plus `rate` times
+    the trees' sums, one number per class. `losses` are those of boosting, before the first round and
+    after every one.
+    """
 
-    columns = F.array(*[F.col(quoted(f)).cast("double") for f in nodes.features])
-    return lambda df: df.withColumn("prediction", predicted(columns))
+    nodes: Nodes
+    rule: str
+    classes: list[float] = field(default_factory=list)
+    start: list[float] = field(default_factory=lambda: [0.0])
+    rate: float = 1.0
+    losses: list[float] = field(default_factory=list)
 
+    def _totals(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Rows of features to their numbers: one per class where classes are voted or boosted, else one."""
+        walk, roots, values = self.nodes.walker(), list(self.nodes.roots), np.array(self.nodes.value)
+        rule, classes, start, rate = self.rule, np.array(self.classes), np.array(self.start), self.rate
 
-def _scorer(nodes: Nodes, combine: Callable[[np.ndarray], np.ndarray]) -> Callable[[DataFrame], DataFrame]:
-    """A `scores` column: an array with one number per class."""
-    walk, roots, values = nodes.walker(), list(nodes.roots), np.array(nodes.value)
+        def totals(x: np.ndarray) -> np.ndarray:
+            if not roots:
+                return np.tile(start, (len(x), 1))
+            own = np.stack([values[walk(x, r)] for r in roots], axis=1)
+            if rule == "votes":
+                return np.stack([(own == c).sum(axis=1) for c in classes], axis=1).astype(float)
+            if rule == "mean":
+                return own.mean(axis=1, keepdims=True)
+            return own.reshape(len(x), -1, len(start)).sum(axis=1) * rate + start
 
-    @F.pandas_udf("array<double>")
-    def scored(x: pd.Series) -> pd.Series:
-        matrix = np.array(x.tolist(), dtype=float).reshape(len(x), -1)
-        return pd.Series(list(combine(np.array([values[walk(matrix, r)] for r in roots]).T.reshape(len(x), len(roots)))))
+        return totals
 
-    columns = F.array(*[F.col(quoted(f)).cast("double") for f in nodes.features])
-    return lambda df: df.withColumn("scores", scored(columns))
+    def _columns(self) -> Column:
+        return F.array(*[F.col(quoted(f)).cast("double") for f in self.nodes.features])
 
+    def predict(self, df: DataFrame) -> DataFrame:
+        """`df` with `prediction`: a value, or the class with the highest number, of equal ones the smallest."""
+        totals, classes = self._totals(), np.array(self.classes)
 
-@dataclass
-class TreeModel:
-    """Trees with how they score a table and the table of their nodes; boosted classes also have `scores`."""
+        @F.pandas_udf("double")
+        def predicted(x: pd.Series) -> pd.Series:
+            found = totals(np.array(x.tolist(), dtype=float).reshape(len(x), -1))
+            return pd.Series(classes[found.argmax(axis=1)] if len(classes) else found[:, 0])
 
-    nodes: Nodes
-    predict: Callable[[DataFrame], DataFrame]
-    losses: list[float] = field(default_factory=list)
-    scores: Callable[[DataFrame], DataFrame] | None = None
+        return df.withColumn("prediction", predicted(self._columns()))
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        """`df` with `scores`: votes or boosted scores per class, or the value alone."""
+        totals = self._totals()
+
+        @F.pandas_udf("array<double>")
+        def scored(x: pd.Series) -> pd.Series:
+            return pd.Series(list(totals(np.array(x.tolist(), dtype=float).reshape(len(x), -1))))
+
+        return df.withColumn("scores", scored(self._columns()))
 
     def importance(self) -> list[tuple[str, float]]:
         return self.nodes.importance()
@@ -336,9 +375,6 @@ def fit_forest(
         def value(total):
             return float(classes[int(np.argmax(total[1:]))])
 
-        def combine(votes):
-            counts = np.stack([(votes == c).sum(axis=1) for c in classes], axis=1)
-            return classes[counts.argmax(axis=1)]
     else:
 
         def targets(frame, tree):
@@ -347,12 +383,9 @@ def fit_forest(
         def value(total):
             return float(total[1] / total[0]) if total[0] else 0.0
 
-        def combine(values):
-            return values.mean(axis=1)
-
     sums = len(classes) if classification else 1
     nodes = grow(rows, features, edges, trees, sums, targets, value, sums, max_depth, min_samples, trees > 1, seed)
-    return TreeModel(nodes, _predictor(nodes, combine))
+    return TreeModel(nodes, "votes" if classification else "mean", classes.tolist() if classification else [])
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
@@ -448,13 +481,4 @@ def fit_boosting(
         for name in ("tree", "number", "feature", "threshold", "n", "value", "gain"):
             getattr(everything, name).extend(getattr(made, name))
 
-    def stacked(values):
-        return values.reshape(len(values), -1, kinds).sum(axis=1) * learning_rate + np.array(start)
-
-    def combine(values):
-        return classes[stacked(values).argmax(axis=1)] if classification else stacked(values)[:, 0]
-
-    if not everything.roots:
-        constant = float(classes[int(np.argmax(start))]) if classification else float(start[0])
-        return TreeModel(everything, lambda table: table.withColumn("prediction", F.lit(constant)), losses)
-    return TreeModel(everything, _predictor(everything, combine), losses, _scorer(everything, stacked))
+    return TreeModel(everything, "boosted", classes.tolist() if classification else [], [float(v) for v in start], learning_rate, losses)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import long_key
 from tabwright.functions.sampling import SEED, unit_hash
-from tabwright.operators import learners
+from tabwright.operators import descent, histogram_trees, learners
 from tabwright.operators.evaluate import classification_metrics, regression_metrics, stratified_folds
 from tabwright.session import side_by_side
 
@@ -116,13 +116,17 @@ def depth_for(rows: int, deepest: int) -> int:
     return min(deepest, max(3, max(rows, 1).bit_length() - 1))
 
 
+# Learners by this library's own histograms: nodes as a table, importance by node counts.
+HISTOGRAM = ("histogram_tree", "histogram_forest", "histogram_boosting")
+
+
 def estimator(
     algorithm: str, classification: bool, rows: int, classes: int = 2, params: Mapping[str, float] | None = None
 ):
     """Spark's learner for an algorithm with the usual settings, or the given ones.
 
-    Differences to a gradient-descent build of the same learners: Spark's optimiser has no
-    learning rate for logistic and support-vector models, and trees split on binned values.
+    Spark's optimiser has no learning rate for logistic and support-vector models; `fit` takes
+    gradient steps instead where one is given.
     """
     p = dict(params or {})
     columns = {"featuresCol": "features", "labelCol": "label"}
@@ -146,9 +150,7 @@ def estimator(
             **columns, "maxIter": int(p.get("nTrees", 30)), "stepSize": p.get("learningRate", 0.1),
             "maxDepth": int(p.get("maxDepth", 4)), "seed": SEED,
         }
-        if not classification:
-            return GBTRegressor(**boost)
-        return GBTClassifier(**boost) if classes <= 2 else OneVsRest(classifier=GBTClassifier(**boost), parallelism=4, **columns)
+        return (GBTClassifier if classification else GBTRegressor)(**boost)
     if algorithm == "svm":
         margin = LinearSVC(**columns, maxIter=int(p.get("epochs", 100)), regParam=1.0 / (p.get("C", 1.0) * max(rows, 1)))
         return margin if classes <= 2 else OneVsRest(classifier=margin, parallelism=4, **columns)
@@ -183,6 +185,10 @@ def fit(
     if algorithm == "naive_bayes":
         model = learners.fit_naive_bayes(train, names, "label", p.get("smoothing", 1e-9))
         return Fitted(algorithm, names, _with_expression(model.predict()), [], model)
+    if algorithm in ("logistic_regression", "svm") and "learningRate" in p:
+        return _fit_steps(algorithm, train, names, p)
+    if algorithm in HISTOGRAM:
+        return _fit_histogram(algorithm, train, names, classification, p, key)
     if algorithm == "knn":
         return _fit_knn(train, names, min(int(p.get("k", 5)), max(1, train.count() // 2)), key)
     held = train.is_cached
@@ -198,6 +204,8 @@ def _fit_spark(algorithm: str, train: DataFrame, names: list[str], classificatio
     """Train one of Spark's learners on rows that are kept at hand for its many passes."""
     rows = train.count()
     classes = int(train.agg(F.countDistinct("label")).first()[0]) if classification else 0
+    if algorithm == "gradient_boosting" and classes > 2:
+        return _fit_histogram(algorithm, train, names, classification, p, "")
     steps: list = [VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")]
     if algorithm == "svm":
         steps = [
@@ -210,6 +218,37 @@ def _fit_spark(algorithm: str, train: DataFrame, names: list[str], classificatio
     return Fitted(algorithm, names, fitted.transform, importance, fitted)
 
 
+def _fit_steps(algorithm: str, train: DataFrame, names: list[str], p: Mapping[str, float]) -> Fitted:
+    """Logistic or support-vector model by as many gradient steps as `epochs`, of the size `learningRate`."""
+    steps, size = int(p.get("epochs", 200)), float(p["learningRate"])
+    if algorithm == "logistic_regression":
+        model = descent.fit_logistic(train, names, "label", size, steps, p.get("lambda", 0.01))
+    else:
+        model = descent.fit_svm(train, names, "label", p.get("C", 1.0), size, steps)
+    return Fitted(algorithm, names, _with_expression(model.predict()), model.importance(), model)
+
+
+def _fit_histogram(
+    algorithm: str, train: DataFrame, names: list[str], classification: bool, p: Mapping[str, float], key: str
+) -> Fitted:
+    """A tree, a forest of drawn rows, or boosting; more than two boosted classes share a softmax."""
+    smallest = int(p.get("minSamples", 2))
+    if algorithm == "histogram_tree":
+        model = histogram_trees.fit_forest(
+            train, names, "label", classification, 1, int(p.get("maxDepth", depth_for(train.count(), 15))), smallest
+        )
+    elif algorithm == "histogram_forest":
+        model = histogram_trees.fit_forest(
+            train, names, "label", classification, int(p.get("nTrees", 10)), int(p.get("maxDepth", 8)), smallest, key
+        )
+    else:
+        model = histogram_trees.fit_boosting(
+            train, names, "label", classification, int(p.get("nTrees", 30)), p.get("learningRate", 0.1),
+            int(p.get("maxDepth", 4)), smallest,
+        )
+    return Fitted(algorithm, names, model.predict, model.importance(), model)
+
+
 def _fit_knn(train: DataFrame, names: list[str], k: int, key: str) -> Fitted:
     """Standardised features; every training row stays a possible neighbour."""
     from tabwright.operators.clean import apply_scale, fit_scale

@@ -12,6 +12,8 @@ from pyspark.sql import SparkSession
 
 from tabwright.operators.clean import Scale
 from tabwright.operators.features import Encoder
+from tabwright.operators.descent import DescentModel
+from tabwright.operators.histogram_trees import Nodes, TreeModel
 from tabwright.operators.learners import ConstantModel, LinearModel, NaiveBayesModel
 from tabwright.operators.models import Fitted
 
@@ -20,7 +22,7 @@ KINDS = {"baseline": ConstantModel, "naive_bayes": NaiveBayesModel}
 
 
 def export(spark: SparkSession, fitted: Fitted, folder: str, encoder: Encoder | None = None) -> str:
-    """Write a fitted learner: a one-row JSON table, and the Spark pipeline beside it if it is one.
+    """Write a fitted learner: a one-row JSON table, and beside it the Spark pipeline or the nodes of its trees.
 
     With its encoder (categories, scales, target labels) it can later score raw rows.
     """
@@ -28,7 +30,7 @@ def export(spark: SparkSession, fitted: Fitted, folder: str, encoder: Encoder |
     pipeline = isinstance(fitted.model, PipelineModel)
     if not pipeline and fitted.model is None:
         raise ValueError(f"{fitted.algorithm} keeps its training table and cannot be written as a model")
-    data = None if pipeline else json.dumps(vars(fitted.model))
+    data = None if pipeline else json.dumps({k: v for k, v in vars(fitted.model).items() if k != "nodes"})
     row = spark.createDataFrame(
         [(model_id, fitted.algorithm, fitted.features, data, None if encoder is None else json.dumps(asdict(encoder)))],
         CARD,
@@ -36,6 +38,8 @@ def export(spark: SparkSession, fitted: Fitted, folder: str, encoder: Encoder |
     row.coalesce(1).write.mode("overwrite").json(f"{folder}/card")
     if pipeline:
         fitted.model.write().overwrite().save(f"{folder}/pipeline")
+    if isinstance(fitted.model, TreeModel):
+        fitted.model.nodes.table(spark).write.mode("overwrite").parquet(f"{folder}/nodes")
     return model_id
 
 
@@ -49,7 +53,10 @@ def restore(spark: SparkSession, folder: str) -> tuple[str, Fitted]:
         pipeline = PipelineModel.load(f"{folder}/pipeline")
         return new_id, Fitted(card.algorithm, list(card.features), pipeline.transform, [], pipeline)
     fields: dict[str, Any] = json.loads(card.model_data)
-    model = KINDS.get(card.algorithm, LinearModel)(**fields)
+    if "rule" in fields:
+        trees = TreeModel(Nodes.read(spark.read.parquet(f"{folder}/nodes"), card.features), **fields)
+        return new_id, Fitted(card.algorithm, list(card.features), trees.predict, trees.importance(), trees)
+    model = (DescentModel if fields.get("kind") == "descent" else KINDS.get(card.algorithm, LinearModel))(**fields)
     prediction = model.predict(list(card.features))
     return new_id, Fitted(
         card.algorithm, list(card.features), lambda df: df.withColumn("prediction", prediction), [], model

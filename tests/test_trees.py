@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators import histogram_trees as T
+from tabwright.operators import models
+from tabwright.sources import saved_models
 
 DRAW = np.random.default_rng(9)
 
@@ -83,3 +85,13 @@ def test_odd_tables(spark, table):
             assert {r.prediction for r in empty.predict(table).collect()} == {0.0}
     same = T.fit_boosting(table.withColumn("kind", F.lit(2.0)), ["a"], "kind", True, rounds=2)
     assert {r.prediction for r in same.predict(table).collect()} == {2.0}
+
+
+def test_saved_trees_score_alike(spark, table, tmp_path):
+    train = table.withColumnsRenamed({"kind": "label", "key": "row_id"})
+    for algorithm in ("histogram_tree", "histogram_forest", "histogram_boosting", "gradient_boosting"):
+        fitted = models.fit(algorithm, train, ["a", "b", "c"], True, {"nTrees": 3, "maxDepth": 3})
+        saved_models.export(spark, fitted, f"{tmp_path}/{algorithm}")
+        _, again = saved_models.restore(spark, f"{tmp_path}/{algorithm}")
+        one, two = ({r.row_id: r.prediction for r in m.predict(train).collect()} for m in (fitted, again))
+        assert one == two and fitted.importance == again.importance

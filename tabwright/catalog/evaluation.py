@@ -8,6 +8,7 @@ from tabwright.catalog.base import query, table
 from tabwright.catalog.learning import sql_line
 from tabwright.catalog.profiling import rounded
 from tabwright.operators import evaluate as E
+from tabwright.operators import fold_products
 from tabwright.operators import learners as L
 
 _fit_line = sql_line("lineitem WHERE l_linestatus = 'F'", "l_quantity", "l_extendedprice", "0.001", "0.001")
@@ -93,21 +94,55 @@ _fold_sql = " UNION ALL ".join(
 )
 
 
-def _fold_scores(spark, folder):
-    from tabwright.operators.models import cross_validate
-
+def _dealt(spark, folder):
     df = table(spark, folder, "lineitem").select("l_orderkey", "l_quantity", F.col("l_extendedprice").alias("label"))
-    df = df.withColumn("fold", E.fold_number(F.col("l_orderkey"), 5))
-    return cross_validate(
-        df, "fold", 5, lambda train: L.fit_linear(train, ["l_quantity"], "label").predict(), classification=False
-    )
+    return df.withColumn("fold", E.fold_number(F.col("l_orderkey"), 5))
+
+
+def _fold_scores(spark, folder):
+    """All folds from one scan."""
+    found = fold_products.fold_scores(_dealt(spark, folder), ["l_quantity"], "label", "fold", [0.001], ridge=False)
+    return spark.createDataFrame([(fold, score) for _, fold, score in found], "fold int, score double")
 
 
-@query("kfold_linear", "EVL-3", "UDF-2", sql=_fold_sql)
+@query("kfold_linear", "EVL-3", sql=_fold_sql)
 def kfold_linear(spark, folder):
     return rounded(_fold_scores(spark, folder), "score")
 
 
+@query("kfold_by_function", "EVL-3", "UDF-2", sql=_fold_sql)
+def kfold_by_function(spark, folder):
+    """The same folds with a fit that the caller brings."""
+    from tabwright.operators.models import cross_validate
+
+    fit = lambda train: L.fit_linear(train, ["l_quantity"], "label").predict()
+    return rounded(cross_validate(_dealt(spark, folder), "fold", 5, fit, classification=False), "score")
+
+
+_ridge_sql = """
+    WITH r AS (SELECT l_orderkey % 5 AS f, l_quantity::DOUBLE AS x, l_tax::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem),
+    p(penalty) AS (VALUES (0.1::DOUBLE), (10.0), (1000.0)),
+    s AS (SELECT penalty, g.f AS fold, count(*) + 0.001 AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) + penalty AS xx,
+      sum(x * z) AS xz, sum(z * z) + penalty AS zz, sum(x * y) AS xy, sum(z * y) AS zy
+      FROM p, (SELECT DISTINCT f FROM r) g JOIN r ON r.f <> g.f GROUP BY penalty, g.f),
+    e AS (SELECT *, n * (xx * zz - xz * xz) - x * (x * zz - xz * z) + z * (x * xz - xx * z) AS d FROM s),
+    b AS (SELECT penalty, fold,
+      (y * (xx * zz - xz * xz) - x * (xy * zz - xz * zy) + z * (xy * xz - xx * zy)) / d AS b0,
+      (n * (xy * zz - xz * zy) - y * (x * zz - xz * z) + z * (x * zy - xy * z)) / d AS b1,
+      (n * (xx * zy - xy * xz) - x * (x * zy - xy * z) + y * (x * xz - xx * z)) / d AS b2 FROM e)
+    SELECT penalty, fold::INTEGER AS fold, round(1 - sum((r.y - b0 - b1 * r.x - b2 * r.z) ** 2) / (var_pop(r.y) * count(*)), 6) AS score
+    FROM b JOIN r ON r.f = b.fold GROUP BY penalty, fold
+"""
+
+
+@query("kfold_ridge_penalties", "EVL-3", "TUN-4", sql=_ridge_sql)
+def kfold_ridge_penalties(spark, folder):
+    """Three penalties times five folds, one scan in all."""
+    df = table(spark, folder, "lineitem").withColumn("fold", E.fold_number(F.col("l_orderkey"), 5))
+    found = fold_products.fold_scores(df, ["l_quantity", "l_tax"], "l_extendedprice", "fold", [0.1, 10.0, 1000.0], ridge=True)
+    return rounded(spark.createDataFrame(found, "penalty double, fold int, score double"), "score")
+
+
 @query(
     "cv_summary", "EVL-6",
     sql=f"SELECT round(avg(score), 5) AS cv_mean, round(stddev_pop(score), 5) AS cv_std FROM ({_fold_sql})",

@@ -109,7 +109,7 @@ def _partial_products(size: int):
     return products
 
 
-def _solve(gram: np.ndarray, moment: np.ndarray) -> list[float]:
+def solve(gram: np.ndarray, moment: np.ndarray) -> list[float]:
     try:
         return [float(v) for v in np.linalg.solve(gram, moment)]
     except np.linalg.LinAlgError:
@@ -119,14 +119,14 @@ def _solve(gram: np.ndarray, moment: np.ndarray) -> list[float]:
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, penalty: float = 0.001) -> LinearModel:
     """Normal equations with the same small penalty on every diagonal entry."""
     gram, moment = cross_products(df, features, label)
-    return LinearModel(list(features), _solve(gram + penalty * np.eye(len(moment)), moment))
+    return LinearModel(list(features), solve(gram + penalty * np.eye(len(moment)), moment))
 
 
 def fit_ridge(df: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0) -> LinearModel:
     """Normal equations with the penalty on the slopes and 0.001 on the intercept."""
     gram, moment = cross_products(df, features, label)
     diagonal = np.diag([0.001, *[penalty] * len(features)])
-    return LinearModel(list(features), _solve(gram + diagonal, moment), "ridge_regression")
+    return LinearModel(list(features), solve(gram + diagonal, moment), "ridge_regression")
 
 
 @dataclass

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions.columns import long_key
 from tabwright.functions.sampling import SEED, unit_hash
-from tabwright.operators import descent, histogram_trees, learners
+from tabwright.operators import descent, fold_products, histogram_trees, learners
 from tabwright.operators.evaluate import classification_metrics, regression_metrics, stratified_folds
 from tabwright.session import side_by_side
 
@@ -97,6 +97,10 @@ def _top_importance(names: Sequence[str], weights: Sequence[float], top: int = 1
     return sorted(shares, key=lambda item: (-item[1], item[0]))[:top]
 
 
+# Learners whose folds and penalties follow from sums of products, with their usual penalty.
+CLOSED = {"linear_regression": 0.001, "ridge_regression": 1.0}
+
+
 def _weights(model: Any, size: int) -> list[float]:
     """Impurity importance of trees, absolute weights of linear models, summed over classes."""
     if hasattr(model, "models"):
@@ -343,6 +347,9 @@ def _folded(df: DataFrame, classification: bool, folds: int, key: str) -> DataFr
 
 
 def _cv_scores(algorithm, df, features, classification, key) -> list[float]:
+    if algorithm in CLOSED and not classification:
+        found = fold_products.fold_scores(df, features, "label", "_fold", [CLOSED[algorithm]], algorithm == "ridge_regression")
+        return [score for _, _, score in found]
     measure = classification_metrics if classification else regression_metrics
     scores = []
     for (number,) in df.select("_fold").distinct().orderBy("_fold").collect():
@@ -427,7 +434,10 @@ def tune(
     original_score: float = 0.0,
     key: str = "row_id",
 ) -> Tuning:
-    """Fit every combination, score it on the held-out part; a trial that fails ranks last."""
+    """Fit every combination, score it on the held-out part; a trial that fails ranks last.
+
+    Penalties of linear and ridge regression are all tried on the sums of one scan.
+    """
     spark = train.sparkSession
     measure = classification_metrics if classification else regression_metrics
     main = "accuracy" if classification else "r2"
@@ -443,9 +453,17 @@ def tune(
         return number, {k: float(v) for k, v in params.items()}, score
 
     try:
-        for part in (train, test):
-            part.count()
-        rows = side_by_side(trial, enumerate(combinations))
+        if algorithm in CLOSED and not classification:
+            penalties = [float(c.get("lambda", CLOSED[algorithm])) for c in combinations]
+            scores = fold_products.held_out_scores(train, test, features, "label", penalties, algorithm == "ridge_regression")
+            rows = [
+                (number, {k: float(v) for k, v in params.items()}, score)
+                for number, (params, score) in enumerate(zip(combinations, scores, strict=True))
+            ]
+        else:
+            for part in (train, test):
+                part.count()
+            rows = side_by_side(trial, enumerate(combinations))
     finally:
         train.unpersist()
         test.unpersist()

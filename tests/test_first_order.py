@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators import descent, mixture, models
+from tabwright.operators import descent, fold_products, learners, mixture, models
+from tabwright.operators.evaluate import regression_metrics
 from tabwright.sources import saved_models
 
 DRAW = np.random.default_rng(21)
@@ -80,3 +81,22 @@ def test_mixture_finds_two_clouds(spark):
     assert far.weights[1] < 1e-6 or far.centers[1] == [1e6, 1e6]
     empty = mixture.diagonal_mixture(points.where("id < 0"), [[0.0, 0.0]], 3)
     assert empty.labels.count() == 0 and empty.log_likelihoods == []
+
+
+def test_one_scan_folds_equal_separate_fits(spark, monkeypatch):
+    x = DRAW.normal(size=(200, 3))
+    rows = [(i, *map(float, r), float(r @ [1.0, -2.0, 0.5] + 3), i % 4) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, (999, None, 1.0, 1.0, 1.0, 0)], "row_id long, a double, b double, c double, label double, fold int")
+    names = ["a", "b", "c"]
+    whole = df.where("a IS NOT NULL")
+    for ridge in (False, True):
+        found = fold_products.fold_scores(df, names, "label", "fold", [0.5, 20.0], ridge)
+        monkeypatch.setattr(fold_products, "NARROW", 1)
+        assert np.allclose(found, fold_products.fold_scores(df, names, "label", "fold", [0.5, 20.0], ridge))
+        monkeypatch.undo()
+        for penalty, number, score in found:
+            fit = learners.fit_ridge if ridge else learners.fit_linear
+            model = fit(whole.where(F.col("fold") != number), names, "label", penalty)
+            held = whole.where(F.col("fold") == number).withColumn("prediction", model.predict())
+            assert abs(regression_metrics(held, "label", "prediction").first().r2 - score) < 1e-9
+    assert fold_products.fold_scores(df.where("row_id < 0"), names, "label", "fold", [1.0], True) == []

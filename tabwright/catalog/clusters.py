@@ -9,6 +9,9 @@ from tabwright.catalog.base import query, spread_table, sql_order_stat, table
 from tabwright.catalog.learning import SQL_DISTANCE, embedded
 from tabwright.catalog.profiling import rounded
 from tabwright.operators import cluster as K
+from tabwright.operators.projection import pca, pca_sparse
+from tabwright.operators.text import tfidf
+from tabwright.session import cut_lineage
 
 ORDER_COLUMNS = ["o_totalprice", "day"]
 
@@ -151,7 +154,40 @@ def covariance_orders(spark, folder):
 
 @query("pca_embeddings", "UNS-6")
 def pca_embeddings(spark, folder):
-    scores, shares = K.pca(vectors(spark, folder)[0])
+    scores, shares = pca(vectors(spark, folder)[0])
+    return scores.withColumns({f"share_{i + 1}": F.lit(v) for i, v in enumerate(shares)})
+
+
+@query(
+    "pca_orders", "UNS-6",
+    sql="""
+    WITH m AS (SELECT avg(o_totalprice) AS a1, stddev_pop(o_totalprice) AS s1, avg(datediff('day', DATE '1970-01-01', o_orderdate)) AS a2,
+        stddev_pop(datediff('day', DATE '1970-01-01', o_orderdate)) AS s2 FROM orders),
+    z AS (SELECT o_orderkey, (o_totalprice - a1) / s1 AS x, (datediff('day', DATE '1970-01-01', o_orderdate) - a2) / s2 AS y FROM orders, m),
+    r AS (SELECT sum(x * y) / count(*) AS r, CASE WHEN sum(x * y) > 0 THEN 1.0 ELSE -1.0 END AS side FROM z)
+    SELECT o_orderkey AS id, round((x + side * y) / sqrt(2), 6) AS pc1, round((x - side * y) / sqrt(2), 6) AS pc2,
+      round((1 + abs(r)) / 2, 9) AS share_1, round((1 - abs(r)) / 2, 9) AS share_2 FROM z, r
+    """,
+)
+def pca_orders(spark, folder):
+    """Two standardised columns: the components are their sum and their difference."""
+    scores, shares = pca(order_points(spark, folder))
+    out = scores.withColumns({f"share_{i + 1}": F.round(F.lit(v), 9) for i, v in enumerate(shares)})
+    return rounded(out, "pc1", "pc2")
+
+
+@query("pca_terms", "UNS-6")
+def pca_terms(spark, folder):
+    """Documents by 5,000 term weights, projected to two components."""
+    documents = spread_table(spark, folder, "documents").select("doc_id", "text")
+    weights = cut_lineage(tfidf(documents, "doc_id", "text", max_terms=5_000))
+    terms = sorted(r.term for r in weights.select("term").distinct().collect())
+    places = spark.createDataFrame(list(enumerate(terms)), "place int, term string")
+    entries = weights.join(F.broadcast(places), "term")
+    rows = entries.groupBy(F.col("doc_id").alias("id")).agg(
+        F.collect_list("place").alias("indices"), F.collect_list("weight").alias("values")
+    )
+    scores, shares = pca_sparse(cut_lineage(rows), len(terms))
     return scores.withColumns({f"share_{i + 1}": F.lit(v) for i, v in enumerate(shares)})
 
 

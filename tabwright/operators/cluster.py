@@ -14,7 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -233,20 +232,6 @@ def find_k(points: DataFrame, most: int = 10, measure: str = "silhouette") -> tu
     return points.sparkSession.createDataFrame(rows, schema), best
 
 
-def pca(points: DataFrame, components: int = 2):
-    """(id and pc columns, share of the kept components explained by each).
-
-    Spark reports shares of the whole variance; they are scaled to the components kept.
-    """
-    features = _features(points)
-    width = len(points.first().vec)
-    model = PCA(k=min(components, width), inputCol="features", outputCol="pcs").fit(features)
-    kept = model.explainedVariance.toArray()
-    scores = model.transform(features).select("id", vector_to_array("pcs").alias("pcs"))
-    columns = [F.col("pcs")[i].alias(f"pc{i + 1}") for i in range(len(kept))]
-    return scores.select("id", *columns), [float(v) for v in kept / (kept.sum() or 1.0)]
-
-
 def covariance(points: DataFrame) -> DataFrame:
     """Long matrix (i, j, value) of X'X / (n - 1) for points that are already centred."""
     width = len(points.first().vec)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabwright.operators import anomaly as A
 from tabwright.operators import cluster as K
+from tabwright.operators.projection import pca
 from tabwright.operators.neighbors import nearest
 
 
@@ -147,7 +148,7 @@ def test_zscore_of_a_constant_finds_nothing(spark):
 
 
 def test_explained_shares_sum_to_one(spark, clouds):
-    scores, shares = K.pca(frame(spark, clouds))
+    scores, shares = pca(frame(spark, clouds))
     assert sum(shares) == pytest.approx(1.0)
     assert scores.count() == len(clouds)
 

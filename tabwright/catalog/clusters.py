@@ -237,6 +237,21 @@ def part_points(spark, folder):
     return standard_points(table(spark, folder, "part"), "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query("dbscan_part", "UNS-4")
+@query(
+    "dbscan_part", "UNS-4",
+    sql=_part_points.replace("WITH m AS", "WITH RECURSIVE m AS")
+    + f""", e AS (SELECT {sql_order_stat('far', 0.85)} AS eps FROM k),
+    near AS (SELECT d.id, d.other FROM d, e WHERE distance <= eps),
+    core AS (SELECT id FROM near GROUP BY id HAVING count(*) + 1 >= 3),
+    links AS (SELECT n.id, n.other FROM near n JOIN core a ON a.id = n.id JOIN core b ON b.id = n.other),
+    parts(id, root) USING KEY (id) AS (
+      SELECT id, id FROM core
+      UNION
+      SELECT l.id, min(p.root) FROM parts p JOIN links l ON l.other = p.id JOIN recurring.parts r ON r.id = l.id
+      WHERE p.root < r.root GROUP BY l.id),
+    numbers AS (SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM parts),
+    border AS (SELECT n.id, min(c.cluster) AS cluster FROM near n JOIN numbers c ON c.id = n.other WHERE n.id NOT IN (SELECT id FROM core) GROUP BY n.id)
+    SELECT z.id, coalesce(c.cluster, b.cluster, -1)::INTEGER AS cluster FROM z LEFT JOIN numbers c ON c.id = z.id LEFT JOIN border b ON b.id = z.id""",
+)
 def dbscan_part(spark, folder):
     return K.dbscan(part_points(spark, folder), K.min_points(2)).labels

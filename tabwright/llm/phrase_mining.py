@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.store import keep
-from tabwright.llm.texts import LOWER_ASCII, MULTIPLIER, portions, powers, scramble, text_bytes
+from tabwright.llm.texts import LOWER_ASCII, MULTIPLIER, portions, powers, released, scramble, text_bytes
 
 DEPTH = 4
 UNKNOWN_LANGUAGE = "und"
@@ -356,9 +356,9 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
         for group in _groups(batches):
             yield from _group_counts(group, least)
 
-    sent = texts.mapInArrow(send, PACKED_TYPE).repartitionById(routes, F.col("route").cast("int"))
+    sent = texts.mapInArrow(released(send), PACKED_TYPE).repartitionById(routes, F.col("route").cast("int"))
     found = sent.sortWithinPartitions("route", "whole").mapInArrow(
-        receive, "lang string, phrase string, words int, count long"
+        released(receive), "lang string, phrase string, words int, count long"
     )
     added = found.groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
     return added.where((F.col("words") == 0) | (F.col("count") >= least))
@@ -387,7 +387,7 @@ def _crowded(texts: DataFrame, routes: int, size: int) -> list[np.ndarray]:
                 )
 
     counts = keep(
-        sample.mapInArrow(run, "depth int, key long, count long")
+        sample.mapInArrow(released(run), "depth int, key long, count long")
         .groupBy("depth", "key")
         .agg(F.sum("count").alias("count"))
     )

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -129,6 +130,25 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     return folded[np.r_[True, folded[1:] != folded[:-1]]]
 
 
+def released(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """`run`, after which the worker gives freed memory back to the system.
+
+    Python workers wait for later tasks, and what their allocators keep counts against the executor.
+    """
+
+    def outer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps what it keeps
+                pass
+
+    return outer
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8; a null text is empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]

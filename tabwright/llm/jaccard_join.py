@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.graph import components
 from tabwright.llm.store import keep
-from tabwright.llm.texts import portions, run_starts, shingles, text_bytes, whole_runs, word_hashes
+from tabwright.llm.texts import portions, released, run_starts, shingles, text_bytes, whole_runs, word_hashes
 
-WINDOW_TOKENS = 4_000_000
+WINDOW_TOKENS = 2_000_000
 LOCAL_REPEATS = 2
 ORDERED_TOKENS = 1 << 20
 FILTER_BITS = 24
@@ -72,7 +72,7 @@ def _repeated(width: int):
         if held:
             yield _counted(held)
 
-    return run
+    return released(run)
 
 
 def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -179,7 +179,7 @@ def _signed(rule: Similarity, shared):
                 schema=schema,
             )
 
-    return run
+    return released(run)
 
 
 def _run_pairs(
@@ -244,7 +244,7 @@ def _candidates(rule: Similarity):
                 rows = rows.append_column("leader", pa.array(leader[kept], mask=~passed[kept]))
                 yield from rows.combine_chunks().to_batches()
 
-    return run
+    return released(run)
 
 
 def _marked_tiles(rule: Similarity):
@@ -271,7 +271,7 @@ def _marked_tiles(rule: Similarity):
                     {"left": np.array([a for a, _ in fresh]), "right": np.array([b for _, b in fresh])}
                 )
 
-    return run
+    return released(run)
 
 
 def _promising(rule: Similarity):
@@ -301,7 +301,7 @@ def _promising(rule: Similarity):
                 if good.any():
                     yield from rows.select([*UNIT, "tile", "gkey"]).filter(pa.array(good)).to_batches()
 
-    return run
+    return released(run)
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -380,7 +380,7 @@ def _verified(rule: Similarity):
             root = least
         return pa.RecordBatch.from_pydict({"rep": ids, "links": linked @ weight, "root": root})
 
-    return run
+    return released(run)
 
 
 def jaccard_join(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +44,34 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op6_jaccard_join")
+JACCARD_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i : w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id),
+linked AS (SELECT x, y, c = n AND c = m AS same FROM shared WHERE 100 * c >= 90 * (n + m - c)),
+links AS (SELECT x AS a, y AS b, same FROM linked UNION ALL SELECT y, x, same FROM linked),
+parts(id, root) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM sets
+  UNION
+  SELECT l.a, min(p.root) FROM parts p JOIN links l ON l.b = p.id JOIN recurring.parts r ON r.id = l.a
+  WHERE p.root < r.root GROUP BY l.a),
+counted AS (SELECT a, count(*) AS n, min(CASE WHEN same THEN b END) AS twin FROM links GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, p.root AS component_id,
+       CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(s.doc_id, coalesce(c.twin, s.doc_id)) AS class_id
+FROM sets s JOIN parts p ON p.id = s.doc_id LEFT JOIN counted c ON c.a = s.doc_id
+"""
+
+
+@query("op6_jaccard_join", JACCARD_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join(table(spark, folder, "documents"), Similarity(words=3, percent=90))
 
@@ -172,6 +198,8 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op11_piece_merges")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabulary files
+
     model = piece_model.load(public_tokenizers.path("piece_bpe_32k.model"))
     encoded = piece_merges.encode(table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
     return piece_merges.decode(encoded, model).select(

@@ -143,3 +143,8 @@ def test_proximity(spark):
     found = proximity_matches(*frames, span=5)
     assert sorted(r.start for r in found.collect()) == [0, 0]
     assert found.select("k1").distinct().count() == 2
+
+
+def test_jaccard_query_matches_sql(spark, sf):
+    name = "op6_jaccard_join"
+    assert difference(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLE[name]) is None

@@ -79,9 +79,23 @@ def silhouette_per_row(spark, folder):
     return rounded(K.silhouette_rows(*vectors(spark, folder)), "silhouette")
 
 
-@query("silhouette_squared_embeddings", "UNS-7")
+@query(
+    "silhouette_squared_embeddings", "UNS-7",
+    sql="""
+    WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    q AS (SELECT vec_id, label, sum(v * v) AS q FROM e GROUP BY 1, 2),
+    c AS (SELECT label AS other, i, avg(v) AS m FROM e GROUP BY 1, 2),
+    k AS (SELECT label AS other, count(*) AS n, avg(q) AS p FROM q GROUP BY 1),
+    d AS (SELECT vec_id, label, other, sum(v * m) AS d FROM e JOIN c USING (i) GROUP BY 1, 2, 3),
+    g AS (SELECT vec_id, label, other, n, q.q + p - 2 * d AS gap FROM d JOIN q USING (vec_id, label) JOIN k USING (other)),
+    s AS (SELECT vec_id, max(CASE WHEN label = other THEN n END) AS n, max(CASE WHEN label = other THEN gap * n / nullif(n - 1, 0) END) AS a,
+      min(CASE WHEN label <> other THEN gap END) AS b FROM g GROUP BY 1)
+    SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 6) AS silhouette_squared FROM s
+    """,
+)
 def silhouette_squared_embeddings(spark, folder):
-    return spark.createDataFrame([(K.silhouette_squared(*vectors(spark, folder)),)], "silhouette_squared double")
+    found = spark.createDataFrame([(K.silhouette_squared(*vectors(spark, folder)),)], "silhouette_squared double")
+    return rounded(found, "silhouette_squared")
 
 
 @query(

@@ -26,7 +26,7 @@ DEPTH = 4
 UNKNOWN_LANGUAGE = "und"
 BREAKS = np.isin(np.arange(256), np.frombuffer(b".,;:!?\x0a\x0b\x0c\x0d", dtype=np.uint8))
 GAPS = BREAKS | np.isin(np.arange(256), [0x20, 0x09])
-FLUSH_BYTES = 1 << 22
+FLUSH_BYTES = 1 << 21
 ROUTE_BYTES = 1 << 22
 SAMPLE_BYTES = 1 << 14
 HOT_SHARE = 4
@@ -336,7 +336,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, text_col: str = "text", lang
     a phrase lies within a piece between `.,;:!?` and line breaks; a null language counts as `und`, a
     null text as empty. Copies add up. Other columns are ignored; no documents give no rows.
 
-    Memory: a sender holds the suffixes of 4 MB of text, a receiver those of one route, about 4 MB
+    Memory: a sender holds the suffixes of 2 MB of text, a receiver those of one route, about 4 MB
     of text in all; routes grow with the corpus and are at least as many as shuffle partitions.
     """
     spark = docs.sparkSession

@@ -2,8 +2,11 @@
 
 Texts that may hold an entity are read for mentions; distinct entities get surrogates drawn with a
 keyed hash. A surrogate that two entities draw, that an entity already has, or that is itself an
-entity of the corpus, is drawn again by all but one, round by round. The chosen surrogates go back
-to the mentions, which keep their own spacing, punctuation and case.
+entity of the corpus, is drawn again by all but one, round by round; after WIDEN rounds the space of
+every kind grows with each round, so the rounds end however few surrogates of an entity's own shape
+there are. Domains of e-mail addresses are entities of their own. A name is one entity whatever
+gender its mentions show: the only gender they show, else none. The chosen surrogates go back to the
+mentions, which keep their own spacing, punctuation and case.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from tabwright.llm.store import keep
 from tabwright.llm.texts import portions
 
 DEFAULT_KEY = "change-me"
+WIDEN = 6  # rounds in an entity's own shape
 
 # Given names by gender and script, and surnames: the pools surrogates are drawn from.
 GIVEN = {
@@ -210,50 +214,58 @@ def _like(draws: Draws, value: str, hexadecimal: bool = False) -> str:
     )
 
 
-def _pooled(draws: Draws, kind: str, value: str, attempt: int) -> str:
+def _pooled(draws: Draws, kind: str, value: str, attempt: int, more: str) -> str:
     """A name of the same gender and script; more parts, then free letters, as attempts go on."""
     part, gender, script = kind.split("-", 2)
     pools = GIVEN if part == "given" else SURNAMES
     pool = pools.get((gender, script)) or pools.get(("n", script))
-    if pool is None or attempt > 8:
-        return _like(draws, value.lower() + ("" if attempt <= 8 else "abcdefgh"[: 1 + attempt % 8]))
+    if pool is None or more:
+        return _like(draws, value.lower() + more)
     return "-".join(draws.pick(pool) for _ in range(1 if attempt < 2 else 2 if attempt < 5 else 3)).lower()
 
 
-def surrogate(key: str, kind: str, value: str, attempt: int) -> str:
-    """The normal form drawn for an entity at the given attempt; valid wherever the kind has a check digit."""
+def surrogate(key: str, kind: str, value: str, attempt: int, domain: str | None = None) -> str:
+    """The normal form drawn for an entity at the given attempt; valid wherever the kind has a check digit.
+
+    `domain` is the one that takes the place of an e-mail address's own. From attempt WIDEN on less of
+    the value is kept and more is added: letters to words, digits to phones and social security
+    numbers, any first number to IPv4 addresses and then all of IPv6.
+    """
     draws = Draws(key, kind, value, attempt)
+    wide = max(0, attempt - WIDEN + 1)
+    more = "a" * wide
     if kind == "email":
-        local, domain = value.rsplit("@", 1)
-        name, top = domain.rsplit(".", 1)
-        return f"{_like(draws, local)}@{_like(Draws(key, 'domain', domain), name)}.{top}"
+        return f"{_like(draws, value.rsplit('@', 1)[0] + more)}@{domain}"
+    if kind == "domain":
+        name, top = value.rsplit(".", 1)
+        return f"{_like(draws, name + more)}.{top}"
+    if kind == "ip6" and wide or kind == "ip4" and wide > WIDEN:  # short forms have few others of their shape
+        return ":".join(f"{draws.below(65_536):x}" for _ in range(8))
     if kind == "ip4":
         first = int(value.split(".")[0])
-        lead = first if first in (10, 127) else draws.pick([n for n in range(11, 224) if n != 127])
+        lead = first if first in (10, 127) and not wide else draws.pick([n for n in range(11, 224) if n != 127])
         return ".".join(map(str, [lead, draws.below(256), draws.below(256), 1 + draws.below(254)]))
-    if kind == "ip6" and attempt > 8:  # short forms have few others of their shape
-        return ":".join(f"{draws.below(65_536):x}" for _ in range(8))
     if kind in ("ip6", "secret"):
-        return _like(draws, value, hexadecimal=kind == "ip6" or bool(re.fullmatch(r"[0-9a-f-]+", value)))
+        return _like(draws, value + more, hexadecimal=kind == "ip6" or bool(re.fullmatch(r"[0-9a-f-]+", value)))
     if kind == "card":
-        body = value[:1] + draws.digits(len(value) - 2) if value[0] == "4" else value[:4] + draws.digits(len(value) - 5)
+        body = value[:1] + draws.digits(len(value) - 2) if value[0] == "4" or wide else value[:4] + draws.digits(len(value) - 5)
         return next(body + d for d in "0123456789" if luhn(body + d))
     if kind == "ssn":
-        return f"{100 + draws.below(500):03d}{1 + draws.below(99):02d}{1 + draws.below(9999):04d}"
+        return f"{100 + draws.below(500):03d}{1 + draws.below(99):02d}{1 + draws.below(9999):04d}{draws.digits(wide)}"
     if kind == "phone":
-        kept = 1 if value[0] in "17" else 2
-        return value[:kept] + draws.digits(len(value) - kept)
+        kept = 0 if wide else 1 if value[0] in "17" else 2
+        return value[:kept] + draws.digits(len(value) - kept + wide)
     if kind == "iban":
         body = "".join(str(draws.below(10)) if c.isdigit() else draws.pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for c in value[4:])
         return f"{value[:2]}{98 - _iban_check(body + value[:2] + '00'):02d}{body}"
-    return _pooled(draws, kind, value, attempt)
+    return _pooled(draws, kind, value, attempt, more)
 
 
 def dressed(kind: str, mention: str, drawn: str) -> str:
     """The drawn normal form with the spacing, punctuation and case of the mention."""
     if kind in ("card", "ssn", "phone", "iban"):
         rest = iter(drawn)
-        return "".join(next(rest) if c.isalnum() else c for c in mention)
+        return "".join(next(rest) if c.isalnum() else c for c in mention) + "".join(rest)
     if mention.isupper():
         return drawn.upper()
     if kind.startswith(("given", "surname")):
@@ -293,39 +305,54 @@ def _replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _drawing(key: str) -> Callable:
     @F.pandas_udf("string")
-    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, *x) for x in zip(kind, value, attempt.tolist(), strict=True)], dtype=object)
+    def draw(kind: pd.Series, value: pd.Series, attempt: pd.Series, domain: pd.Series) -> pd.Series:
+        rows = zip(kind, value, attempt.tolist(), domain, strict=True)
+        return pd.Series([surrogate(key, *x) for x in rows], dtype=object)
 
     return draw
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, drawn) for distinct (kind, value): no two share one, and none is itself in the corpus.
-
-    Names of one part and script share a space, whatever gender they were read with.
-    """
-    space = F.regexp_replace("kind", "-[mfn]-", "-")
+def _settled(pending: DataFrame, key: str) -> DataFrame:
+    """(space, value, drawn) for distinct (space, value) with a kind and a domain: rounds until all have one."""
     draw = _drawing(key)
-    pending = keep(entities.select("kind", "value", space.alias("space")).distinct())
-    real = pending.select("space", F.col("value").alias("drawn")).distinct()
+    real = pending.select("space", F.col("value").alias("drawn"))
     settled: DataFrame | None = None
     attempt = 0
     while pending.limit(1).count():
-        drawn = pending.withColumn("drawn", draw("kind", "value", F.lit(attempt)))
+        drawn = pending.withColumn("drawn", draw("kind", "value", F.lit(attempt), "domain"))
         free = drawn.join(real, ["space", "drawn"], "left_anti")
         if settled is not None:
             free = free.join(settled.select("space", "drawn"), ["space", "drawn"], "left_anti")
-        won = keep(
-            free.groupBy("space", "drawn")
-            .agg(F.min(F.struct("kind", "value")).alias("first"))
-            .select("space", "drawn", "first.kind", "first.value")
-        )
+        won = keep(free.groupBy("space", "drawn").agg(F.min("value").alias("value")))
         settled = won if settled is None else settled.unionByName(won)
-        pending = keep(pending.join(won.select("kind", "value"), ["kind", "value"], "left_anti"))
+        pending = keep(pending.join(won.select("space", "value"), ["space", "value"], "left_anti"))
         attempt += 1
     if settled is None:
-        return pending.select("kind", "value", F.lit("").alias("drawn"))
-    return settled.select("kind", "value", "drawn")
+        return pending.select("space", "value", F.lit("").alias("drawn"))
+    return settled.select("space", "value", "drawn")
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """(kind, value, drawn) for distinct (kind, value): no two values share one, and none is itself in the corpus.
+
+    Names of one part and script share a space, whatever gender they were read with, and a value has
+    one surrogate in it: of the gender its kinds show, of none if they show two or none. Addresses of
+    one domain keep sharing one, of two domains never.
+    """
+    space = F.regexp_replace("kind", "-[mfn]-", "-")
+    met = keep(entities.select("kind", "value", space.alias("space")).distinct())
+    shown = [F.max(F.col("kind").contains(f"-{g}-")) for g in "mf"]
+    gender = F.when(shown[0] & ~shown[1], "-m-").when(shown[1] & ~shown[0], "-f-").otherwise("-n-")
+    values = met.groupBy("space", "value").agg(F.regexp_replace(F.min("kind"), F.lit("-[mfn]-"), gender).alias("kind"))
+    domain = F.when(F.col("space") == "email", F.substring_index("value", "@", -1))
+    values = keep(values.withColumn("own", domain))
+    domains = values.where("own is not null").select(F.col("own").alias("value")).distinct()
+    named = keep(domains.select("value", *[F.lit("domain").alias(c) for c in ("kind", "space")], F.lit(None).cast("string").alias("domain")))
+    other = _settled(named, key).select(F.col("value").alias("own"), F.col("drawn").alias("domain"))
+    # a domain can hold a third of all addresses: those of other kinds stay out of the join, which AQE may split
+    mailed = values.where("own is not null").join(other, "own").select("kind", "value", "space", "domain")
+    rest = values.where("own is null").select("kind", "value", "space", F.lit(None).cast("string").alias("domain"))
+    return met.join(_settled(keep(mailed.unionByName(rest)), key), ["space", "value"]).select("kind", "value", "drawn")
 
 
 def pseudonymize(

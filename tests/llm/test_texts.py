@@ -139,6 +139,36 @@ def test_surrogates_stay_distinct(spark):
     assert len(drawn) == 300 == len(set(drawn)) and not set(drawn) & {v for _, v in names}
 
 
+def test_surrogates_end_in_small_spaces(spark):
+    mails = [("email", f"{i}@{d}.com") for d in "kqsw" for i in range(10)]
+    secrets = [("secret", "-" * 16 + str(i)) for i in range(10)]
+    frame = spark.createDataFrame(mails + secrets, "kind string, value string")
+    drawn = {(r.kind, r.value): r.drawn for r in pii_surrogates.surrogates(frame, "op2-production-key").collect()}
+    assert set(drawn) == {*mails, *secrets} and len(set(drawn.values())) == 50
+    assert not set(drawn.values()) & {v for _, v in mails + secrets}
+    domains = {d: {drawn[k, v].split("@")[1] for k, v in mails if v[2] == d} for d in "kqsw"}
+    assert [len(x) for x in domains.values()] == [1] * 4 and len(set.union(*domains.values())) == 4
+    for kind, value in (("ip4", "10.0.0.1"), ("ssn", "123456789"), ("phone", "10000000"), ("card", "4111111111111111")):
+        tries = {pii_surrogates.surrogate("k", kind, value, a) for a in range(pii_surrogates.WIDEN, 40)}
+        assert len(tries) == 40 - pii_surrogates.WIDEN, kind
+        assert kind != "ip4" or not any(t.startswith("10.") for t in tries)
+
+
+def test_surrogates_are_one_per_name(spark):
+    rows = [
+        (1, "Mrs Taylor Brown met Taylor Brown."),
+        (2, "Dr James Smith, James Smith"),
+        (3, "Mr Jordan Hill and Mrs Jordan Hill"),
+        (4, "Taylor Brown"),
+    ]
+    found = pii_surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k")
+    got = {r.doc_id: r.text.replace(".", "").replace(",", "").split() for r in found.collect()}
+    assert got[1][1:3] == got[1][4:6] == got[4] != ["Taylor", "Brown"]
+    assert got[2][1:3] == got[2][3:5] and got[3][1:3] == got[3][5:7]
+    assert got[1][1] in pii_surrogates.GIVEN["f", "LATIN"] and got[2][1] in pii_surrogates.GIVEN["m", "LATIN"]
+    assert got[3][1] in pii_surrogates.GIVEN["n", "LATIN"]
+
+
 def slow_anchors(text):
     h = lambda s: int(syncmers._polynomial(np.array([ord(c) + 1 for c in s], dtype=np.uint64), np.array([0]), len(s))[0])
     out = []

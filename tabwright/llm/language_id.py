@@ -28,11 +28,12 @@ STATE_BUDGET = 600_000
 PIECE = 256
 BATCH_BYTES = 2_000_000
 CUT = np.int32(1 << 30)
+POINTS = 0x40000  # no letter lies beyond
 
 
 @dataclass(frozen=True)
 class Model:
-    """languages; character classes of the code points below 65,536; one table of next states each.
+    """languages; character classes of the code points below POINTS; one table of next states each.
 
     An entry is the state after the character; CUT is added where no phrase goes on with it, and
     the state is then the one after the character alone.
@@ -45,11 +46,11 @@ class Model:
 
 def _base_classes() -> np.ndarray:
     """Letters by lower case (0: no letter). The first one of a lower-casing that gives several counts."""
-    out = np.zeros(65_536, dtype=np.uint16)
-    for point in range(65_536):
+    out = np.zeros(POINTS, dtype=np.uint32)
+    for point in range(POINTS):
         char = chr(point)
         if char.isalpha():
-            out[point] = ord(char.lower()[0]) if ord(char.lower()[0]) < 65_536 else point
+            out[point] = ord(char.lower()[0])
     return out
 
 
@@ -58,9 +59,7 @@ def _letters(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndar
     points = [np.frombuffer(t.encode("utf-32-le", "replace"), dtype=np.uint32) for t in texts]
     flat = np.concatenate(points) if points else np.zeros(0, dtype=np.uint32)
     ends = np.cumsum([len(p) for p in points])
-    kind = classes[np.minimum(flat, 65_535)]
-    for point in np.unique(flat[flat >= 65_536]).tolist():
-        kind[flat == point] = chr(point).isalpha()
+    kind = classes[np.minimum(flat, POINTS - 1)]
     starts = np.zeros(len(flat), dtype=bool)
     begin = np.r_[0, ends[:-1]]
     starts[begin[begin < len(flat)]] = True
@@ -112,9 +111,10 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     """A model from rows with text and language.
 
     Bounded sample: the SAMPLE_ROWS distinct texts with the smallest hash per language among those of at
-    most SAMPLE_TEXT characters, whole; their letters count up to SAMPLE_CHARS, less if there are
-    so many languages that the tables would pass STATE_BUDGET states. Rows without text or
-    language teach nothing. A language whose texts are all longer is learned from its shortest one.
+    most SAMPLE_TEXT characters; as many of them, whole, as have SAMPLE_CHARS letters together (less
+    if there are so many languages that the tables would pass STATE_BUDGET states). Rows without text
+    or language teach nothing. A language whose texts are all longer is learned from the first
+    SAMPLE_CHARS letters of its shortest one.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
@@ -135,12 +135,13 @@ def fit(labelled: DataFrame, text_col: str, lang_col: str) -> Model:
     limit = min(SAMPLE_CHARS, STATE_BUDGET // (2 * max(1, len(languages))))
     samples = []
     for language in languages:
-        found, _ = _letters([row["text"] for row in picked if row["lang"] == language], base)
-        samples.append(found[:limit])
-    symbols = np.unique(np.concatenate([*samples, np.zeros(1, dtype=np.uint16)]))
-    code = np.full(65_536, len(symbols), dtype=np.uint16)
+        found, ends = _letters([row["text"] for row in picked if row["lang"] == language], base)
+        fitting = ends[ends <= limit]
+        samples.append(found[: fitting[-1] if len(fitting) else limit])
+    symbols = np.unique(np.concatenate([*samples, np.zeros(1, dtype=np.uint32)]))
+    code = np.full(POINTS, len(symbols), dtype=np.uint32)
     code[symbols] = np.arange(len(symbols))
-    classes = np.where(base > 0, np.maximum(code[base], 1), 0).astype(np.uint16)
+    classes = np.where(base > 0, np.maximum(code[base], 1), 0).astype(np.uint32)
     tables = tuple(_automaton(code[sample], len(symbols) + 1) for sample in samples)
     return Model(languages, classes, tables)
 

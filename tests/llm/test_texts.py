@@ -81,6 +81,17 @@ def test_toxicity(spark):
     assert [(r.first, r.last) for r in toxicity.passages(odd, model).collect()] == [(1, 2), (1, 2)]
 
 
+def test_language_id_letters_beyond_the_first_plane(spark):
+    gothic, english = "".join(map(chr, range(0x10330, 0x1034A))), "the cat sat on the mat and a rat ran at a hat"
+    rows = [(1, english, "en"), (2, f"{gothic} {gothic[::2]} {gothic[1::2]}", "got"), (3, "ein Hund und noch ein Hund", "de")]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang")
+    asked = [(1, gothic[::2] + " " + gothic), (2, "a cat ran at the hat"), (3, "\U0001F600 12"), (4, "\U00020000\U00020001")]
+    frame = spark.createDataFrame(asked, "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(frame, model).collect()}
+    assert got[1][0] == "got" and got[2][0] == "en" and got[3] == ("und", 0.0)
+    assert got[4][0] == "de" and abs(got[4][1] - 1 / 3) < 1e-9  # a letter nobody has seen speaks for none
+
+
 def test_surrogates(spark):
     text = "Mail a.b.12@mail3.example.com, call +1 (555) 555-0123, ip 10.1.2.3, card 4111 1111 1111 1111."
     rows = [

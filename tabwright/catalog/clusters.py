@@ -79,6 +79,34 @@ def silhouette_per_row(spark, folder):
     return rounded(K.silhouette_rows(*vectors(spark, folder)), "silhouette")
 
 
+@query(
+    "silhouette_sampled_embeddings", "UNS-7", "FEA-9",
+    sql=f"""
+    WITH p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) AS place FROM embeddings),
+    e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+    c AS (SELECT label, i, avg(v) AS m, count(*) AS n FROM e GROUP BY 1, 2),
+    q AS (SELECT vec_id, label, n, sqrt(sum((v - m) ** 2)) AS d FROM e JOIN c USING (label, i) GROUP BY 1, 2, 3),
+    z AS (SELECT label AS other, n, max(d) AS radius, count(*) OVER () AS k FROM q GROUP BY 1, 2),
+    s AS (SELECT a.vec_id AS id, a.label = b.label AS mine, b.label AS other, count(*) - count_if(a.vec_id = b.vec_id) AS taken,
+        sum({SQL_DISTANCE}) AS s
+      FROM embeddings a JOIN (SELECT * FROM p WHERE place <= 24) b ON true GROUP BY 1, 2, 3),
+    g AS (SELECT id, mine, taken, k, radius, s / taken AS mean, n - mine::INT AS size FROM s JOIN z USING (other) WHERE taken > 0),
+    t AS (SELECT *, CASE WHEN taken >= size THEN 0
+        ELSE 2 * radius * sqrt((1 - (taken - 1) / size) * ln(2 * k / 0.001) / (2 * taken)) END AS margin FROM g),
+    r AS (SELECT id, max(CASE WHEN mine THEN mean END) AS a0, max(CASE WHEN mine THEN greatest(mean - margin, 0) END) AS a1,
+        max(CASE WHEN mine THEN mean + margin END) AS a2, min(CASE WHEN NOT mine THEN mean END) AS b0,
+        min(CASE WHEN NOT mine THEN greatest(mean - margin, 0) END) AS b1, min(CASE WHEN NOT mine THEN mean + margin END) AS b2
+      FROM t GROUP BY 1)
+    SELECT id, round(CASE WHEN b0 > a0 THEN (b0 - a0) / b0 ELSE 0 END, 6) AS silhouette,
+      round(CASE WHEN b1 > a2 THEN (b1 - a2) / b1 ELSE 0 END, 6) AS low,
+      round(CASE WHEN b2 > a1 THEN (b2 - a1) / b2 ELSE 0 END, 6) AS high
+    FROM r WHERE a0 IS NOT NULL AND b0 IS NOT NULL
+    """,
+)
+def silhouette_sampled_embeddings(spark, folder):
+    return rounded(K.silhouette_sampled_rows(*vectors(spark, folder), per_cluster=24), "silhouette", "low", "high")
+
+
 @query(
     "silhouette_squared_embeddings", "UNS-7",
     sql="""

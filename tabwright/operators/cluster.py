@@ -29,8 +29,10 @@ from tabwright.session import cut_lineage, ensure_checkpoint_dir, side_by_side,
 
 NOISE = -1
 MAX_BROADCAST_CENTERS = 5_000
-# How well rows sit in their clusters, by name: Euclidean and exact (quadratic, in blocks), or on squared distances (linear).
-MEASURES = ("silhouette", "silhouette_squared")
+SAMPLE_PER_CLUSTER = 512
+# How well rows sit in their clusters, by name: Euclidean and exact (quadratic, in blocks), on squared distances
+# (linear), or Euclidean against a sample of each cluster (linear).
+MEASURES = ("silhouette", "silhouette_squared", "silhouette_sampled")
 
 
 @dataclass
@@ -164,7 +166,7 @@ def silhouette_rows(points: DataFrame, labels: DataFrame, block_rows: int = BLOC
     """(id, silhouette) of every clustered row that is not alone, with negatives set to 0.
 
     Each pair of row blocks is one small group that hands on sums per cluster, never pairs. The
-    arithmetic is still quadratic: use `silhouette_squared` on large tables.
+    arithmetic is still quadratic: use `silhouette_sampled` or `silhouette_squared` on large tables.
     """
     rows = points.join(labels.where("cluster >= 0"), "id").select(
         "id", "vec", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell")
@@ -191,6 +193,76 @@ def silhouette(points: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def _closeness(a, b):
+    """The silhouette of mean distances to the own and to the nearest other cluster, negatives set to 0."""
+    return F.when(b > a, (b - a) / b).otherwise(0.0)
+
+
+def silhouette_sampled_rows(
+    points: DataFrame,
+    labels: DataFrame,
+    per_cluster: int = SAMPLE_PER_CLUSTER,
+    miss: float = 0.001,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(id, silhouette, low, high) of every clustered row that is not alone, in time linear in the rows.
+
+    Mean distances are taken to `per_cluster` (2 or more) rows of each cluster, those with the smallest
+    md5 of the id; all rows are judged. `low` and `high` hold the exact value but for a share `miss` of
+    such samples: no distance to a cluster differs from another by more than twice its radius, which
+    bounds how far the mean of a sample without replacement strays (Hoeffding's bound with Serfling's
+    factor, shared out over the clusters). Clusters of at most `per_cluster` rows are exact.
+    """
+    rows = points.join(labels.where("cluster >= 0"), "id").select(
+        "id", "vec", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell")
+    )
+    draw = F.struct(F.md5(F.col("id").cast("string")).alias("draw"), F.col("id").alias("id"))
+    # the rank limit also holds within each task before the shuffle, so a large cluster sends few rows
+    first = Window.partitionBy("cluster").orderBy("drawn")
+    picked = rows.withColumn("drawn", draw).withColumn("place", F.row_number().over(first))
+    sample = written(picked.where(F.col("place") <= per_cluster).drop("place"))
+    squared = array_squared_distance(F.col("vec"), F.col("center"))
+    placed = _with_centers(points, labels, cut_lineage(centers_of(points, labels)))
+    radii = placed.groupBy(F.col("cluster").cast("int").alias("other")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.sqrt(squared)).alias("radius")
+    )
+    ends = sample.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("m"), F.max("drawn").alias("last"))
+    sizes = written(radii.join(ends, "other"))
+    k = max(1, sizes.count())
+    blocks = (blocks_for(rows.count(), block_rows), blocks_for(sample.count(), block_rows))
+    parts = block_pairs(rows, sample.drop("drawn"), blocks, _distance_sums, "id long, own int, other int, s double")
+    sums = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
+    mine = F.col("own") == F.col("other")
+    size = F.col("n") - mine.cast("long")
+    taken = F.col("m") - (mine & (draw <= F.col("last"))).cast("long")
+    left_out = 1 - (F.col("taken") - 1) / F.col("size")
+    margin = 2 * F.col("radius") * F.sqrt(left_out * math.log(2 * k / miss) / (2 * F.col("taken")))
+    means = (
+        sums.withColumns({"size": size, "taken": taken, "mine": mine})
+        .where("size > 0 AND taken > 0")
+        .withColumn("mean", F.col("s") / F.col("taken"))
+        .withColumn("margin", F.when(F.col("taken") >= F.col("size"), 0.0).otherwise(margin))
+    )
+    near, far = F.greatest(F.col("mean") - F.col("margin"), F.lit(0.0)), F.col("mean") + F.col("margin")
+    own = [F.max(F.when(F.col("mine"), x)).alias(f"a{i}") for i, x in enumerate((F.col("mean"), near, far))]
+    other = [F.min(F.when(~F.col("mine"), x)).alias(f"b{i}") for i, x in enumerate((F.col("mean"), near, far))]
+    found = means.groupBy("id").agg(*own, *other).where("a0 IS NOT NULL AND b0 IS NOT NULL")
+    return found.select(
+        "id",
+        _closeness(F.col("a0"), F.col("b0")).alias("silhouette"),
+        _closeness(F.col("a2"), F.col("b1")).alias("low"),
+        _closeness(F.col("a1"), F.col("b2")).alias("high"),
+    )
+
+
+def silhouette_sampled(points: DataFrame, labels: DataFrame, per_cluster: int = SAMPLE_PER_CLUSTER) -> DataFrame:
+    """One row (n, silhouette_sampled, low, high): means of `silhouette_sampled_rows`, 0 when there are none."""
+    means = [("silhouette", "silhouette_sampled"), ("low", "low"), ("high", "high")]
+    return silhouette_sampled_rows(points, labels, per_cluster).agg(
+        F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(name) for c, name in means]
+    )
+
+
 def silhouette_squared(points: DataFrame, labels: DataFrame) -> float:
     """Silhouette on squared distances, one linear scan; not the same number as `silhouette`."""
     rows = _features(points).join(labels.where("cluster >= 0").withColumnRenamed("cluster", "prediction"), "id")
@@ -203,12 +275,14 @@ def cluster_metrics(points: DataFrame, labels: DataFrame, measure: str = "silhou
     """The chosen one of `MEASURES` under its own name, Davies-Bouldin and Calinski-Harabasz of a grouping.
 
     The measure never depends on the table's size: a caller with too many rows for the exact one
-    asks for `silhouette_squared` and gets it under that name.
+    asks for another one and gets it under its name.
     """
     if measure not in MEASURES:
         raise ValueError(f"unknown measure {measure!r}")
-    exact = measure == "silhouette"
-    score = silhouette(points, labels).first().silhouette if exact else silhouette_squared(points, labels)
+    if measure == "silhouette_squared":
+        score = silhouette_squared(points, labels)
+    else:
+        score = (silhouette if measure == "silhouette" else silhouette_sampled)(points, labels).first()[measure]
     summaries = cluster_summaries(points, labels)
     return {
         measure: float(score),

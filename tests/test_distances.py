@@ -58,6 +58,29 @@ def test_nearest_asks_for_more_than_there_is(spark):
     assert found.groupBy("id").count().where("count = 2").count() == 3
 
 
+def test_sampled_silhouette_holds_its_bounds(spark):
+    draws = np.random.default_rng(5)
+    centers = draws.normal(size=(4, 3)) * 4
+    groups = [0] * 900 + [1] * 250 + [2] * 40 + [3]  # most rows in one cluster, one row alone
+    rows = [(i, [float(v) for v in centers[c] + draws.normal(size=3)]) for i, c in enumerate(groups)]
+    points = spark.createDataFrame(rows, "id long, vec array<double>")
+    labels = spark.createDataFrame(list(enumerate(groups)), "id long, cluster int")
+    exact = {r.id: r.silhouette for r in K.silhouette_rows(points, labels).collect()}
+    got = {r.id: r for r in K.silhouette_sampled_rows(points, labels, 128, block_rows=100).collect()}
+    assert got.keys() == exact.keys() and len(got) == 1190
+    every = [i for i in exact if i % 50 == 0]
+    assert all(got[i].low - 1e-9 <= exact[i] <= got[i].high + 1e-9 for i in every)
+    assert all(r.low <= r.silhouette <= r.high for r in got.values())
+    assert np.mean([abs(got[i].silhouette - exact[i]) for i in exact]) < 0.02
+    assert any(got[i].low < got[i].high for i in every)
+    whole = {r.id: r for r in K.silhouette_sampled_rows(points, labels, 900).collect()}
+    assert all(abs(whole[i].silhouette - s) < 1e-9 and whole[i].low == whole[i].high for i, s in exact.items())
+    summary = K.silhouette_sampled(points, labels, 128).first()
+    assert summary.n == 1190 and summary.low < np.mean(list(exact.values())) < summary.high
+    assert K.cluster_metrics(points, labels, "silhouette_sampled").keys() >= {"silhouette_sampled"}
+    assert K.silhouette_sampled(points.where("false"), labels).first().n == 0
+
+
 def test_silhouette_matches_brute_force_in_small_blocks(spark, clouds):
     labels = np.array([0] * 60 + [1] * 60 + [2] * 60 + [3] * 90 + [-1])
     d = distances(clouds)

@@ -10,6 +10,8 @@ from itertools import product
 from random import Random
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -279,6 +281,18 @@ def save_model(model: Model, path: str) -> None:
     model.write().overwrite().save(path)
 
 
+def refused(error: Exception) -> bool:
+    """Whether a learner turned its data down, as opposed to a lost executor or a broken plan."""
+    if isinstance(error, (ValueError, ArithmeticError, IllegalArgumentException, ArithmeticException)):
+        return True
+    cause = error.java_exception if isinstance(error, Py4JJavaError) else None
+    while cause is not None:
+        if cause.getClass().getName() in ("java.lang.IllegalArgumentException", "java.lang.ArithmeticException"):
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def rank_candidates(
     train: DataFrame,
     test: DataFrame,
@@ -290,8 +304,8 @@ def rank_candidates(
 ):
     """(leaderboard, fitted learners by algorithm), best first.
 
-    Learners are tried a few at a time, baseline included; one that fails keeps a row with its
-    error. With `folds` the rank follows the cross-validated score over all rows; the board then
+    Learners are tried a few at a time, baseline included; one that refuses the table keeps a row with
+    its error, any other failure ends the run. With `folds` the rank follows the cross-validated score over all rows; the board then
     has the score of every fold, their mean and their deviation. Classes are spread over the folds.
     """
     spark = train.sparkSession
@@ -307,6 +321,8 @@ def rank_candidates(
             fitted = fit(algorithm, train, features, classification, key=key)
             measured = [measure(fitted.predict(part), "label", "prediction").first().asDict() for part in (train, test)]
         except Exception as error:  # a learner that cannot handle this table must not stop the others
+            if not refused(error):
+                raise
             return (algorithm, "error", str(error)[:200], *[None] * 7), None
         took = time.time() - started
         each = mean = spread = None
@@ -356,8 +372,11 @@ def _cv_scores(algorithm, df, features, classification, key) -> list[float]:
         try:
             fitted = fit(algorithm, df.where(F.col("_fold") != number), features, classification, key=key)
             held_out = fitted.predict(df.where(F.col("_fold") == number))
-            scores.append(float(measure(held_out, "label", "prediction").first()["accuracy" if classification else "r2"]))
-        except Exception:  # a fold that cannot be trained counts as 0
+            score = measure(held_out, "label", "prediction").first()["accuracy" if classification else "r2"]
+            scores.append(0.0 if score is None else float(score))
+        except Exception as error:  # a fold that cannot be trained counts as 0
+            if not refused(error):
+                raise
             scores.append(0.0)
     return scores
 
@@ -434,7 +453,7 @@ def tune(
     original_score: float = 0.0,
     key: str = "row_id",
 ) -> Tuning:
-    """Fit every combination, score it on the held-out part; a trial that fails ranks last.
+    """Fit every combination, score it on the held-out part; a trial the learner refuses ranks last.
 
     Penalties of linear and ridge regression are all tried on the sums of one scan.
     """
@@ -447,8 +466,11 @@ def tune(
         number, params = numbered
         try:
             fitted = fit(algorithm, train, features, classification, params, key)
-            score = float(measure(fitted.predict(test), "label", "prediction").first()[main])
-        except Exception:  # a combination the learner refuses is a lost trial
+            score = measure(fitted.predict(test), "label", "prediction").first()[main]
+            score = float("-inf") if score is None else float(score)
+        except Exception as error:  # a combination the learner refuses is a lost trial
+            if not refused(error):
+                raise
             score = float("-inf")
         return number, {k: float(v) for k, v in params.items()}, score
 

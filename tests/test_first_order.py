@@ -100,3 +100,34 @@ def test_one_scan_folds_equal_separate_fits(spark, monkeypatch):
             held = whole.where(F.col("fold") == number).withColumn("prediction", model.predict())
             assert abs(regression_metrics(held, "label", "prediction").first().r2 - score) < 1e-9
     assert fold_products.fold_scores(df.where("row_id < 0"), names, "label", "fold", [1.0], True) == []
+
+
+def test_only_refusals_of_a_learner_are_scores(table, monkeypatch):
+    train, test = table.where("row_id % 5 > 0"), table.where("row_id % 5 = 0")
+    rank = lambda: models.rank_candidates(train, test, ["a", "b"], True, ["naive_bayes"])[0].collect()
+    tuned = lambda: models.tune("decision_tree", train, test, ["a", "b"], True, [{"maxDepth": 2}])
+    folds = lambda: models._cv_scores("decision_tree", table.withColumn("_fold", F.col("row_id") % 2), ["a", "b"], True, "row_id")
+    original = models.fit
+
+    def failing(error):
+        def fit(algorithm, *rest, **named):
+            if algorithm == "baseline":
+                return original(algorithm, *rest, **named)
+            raise error
+
+        monkeypatch.setattr(models, "fit", fit)
+
+    failing(ValueError("one class only"))
+    assert {(r.algorithm, r.status) for r in rank()} == {("naive_bayes", "error"), ("baseline", "ok")}
+    assert tuned().best_score == float("-inf") and folds() == [0.0, 0.0]
+    failing(RuntimeError("executor lost"))
+    for run in (rank, tuned, folds):
+        with pytest.raises(RuntimeError, match="executor lost"):
+            run()
+
+
+def test_a_learner_that_fails_in_a_task_is_told_from_a_broken_plan(table):
+    checked = table.select(F.assert_true(F.col("a") > 100).alias("x"))
+    with pytest.raises(Exception) as broken:
+        checked.collect()
+    assert not models.refused(broken.value) and models.refused(np.linalg.LinAlgError("singular"))

@@ -161,7 +161,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fit(labelled: DataFrame) -> Model:
     """A model from rows (text, label 0/1); rows without a label or text teach nothing.
 
-    Word counts cover all rows. The Gumbel law and the logistic curve are fitted on a hash sample
+    Word counts cover all rows; the MAX_TERMS strongest of the significant words are kept, as the
+    model is broadcast. The Gumbel law and the logistic curve are fitted on a hash sample
     of about CALIBRATION_ROWS of them.
     """
     rows = keep(

@@ -85,6 +85,19 @@ def test_context_mixing_edges(spark):
     assert len(none) == 5 and all(r.n_known == 0 for r in none)
 
 
+def test_context_mixing_learns_from_every_text(spark):
+    """Each training text has a word of its own, one is long: all are known better than words never seen."""
+    rng = np.random.default_rng(5)
+    own = ["".join(rng.choice(list("abcdefghijklmnop"), 12)) for _ in range(1_300)]
+    seen, unseen = own[:1_200], own[1_200:]
+    thrice = [" ".join([w] * 3) for w in seen]
+    thrice[-1] += " xxxxx" * 12_000
+    train = spark.createDataFrame([*enumerate(thrice)], "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(seen), *((5_000 + i, w) for i, w in enumerate(unseen))], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in context_mixing.score(docs, train).collect()}
+    assert min(found[i] for i in range(1_200)) > max(found[5_000 + i] for i in range(100))
+
+
 def test_co_training(spark):
     folder = "/root/testdata/sf0.01"
     found = queries.QUERIES["op10_co_training"](spark, folder)

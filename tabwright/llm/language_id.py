@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.store import keep, small
-from tabwright.llm.texts import portions
+from tabwright.llm.texts import portions, released
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 64
@@ -26,7 +26,7 @@ SAMPLE_TEXT = 4_000
 SAMPLE_CHARS = 40_000
 STATE_BUDGET = 600_000
 PIECE = 256
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 CUT = np.int32(1 << 30)
 POINTS = 0x40000  # no letter lies beyond
 
@@ -217,5 +217,5 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep_cols: tu
     shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.struct(*keep_cols).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["row"].dataType.simpleString()
-    found = narrow.mapInArrow(_predictor(shared), f"row {kind}, lang_pred string, score double")
+    found = narrow.mapInArrow(released(_predictor(shared)), f"row {kind}, lang_pred string, score double")
     return found.select("row.*", "lang_pred", "score")

@@ -23,13 +23,17 @@ from tabwright.functions.columns import quoted, ratio
 from tabwright.functions.ranking import numbered
 from tabwright.functions.sampling import SEED
 from tabwright.functions.statistics import order_stats
-from tabwright.functions.vectors import array_squared_distance, pairwise, unpack
+from tabwright.functions.vectors import array_squared_distance, block_distances, pairwise, unpack
 from tabwright.operators.neighbors import BLOCK_ROWS, block_pairs, block_sizes, blocks_for, nearest
 from tabwright.session import cut_lineage, ensure_checkpoint_dir, side_by_side, written
 
 NOISE = -1
 MAX_BROADCAST_CENTERS = 5_000
 SAMPLE_PER_CLUSTER = 512
+# Rows a side of the blocks that give sums of distances, least number of such blocks of BLOCK_ROWS, distances held at once.
+SUM_ROWS = 8_000
+SUM_BLOCKS = 6
+SUM_CELLS = 1 << 18
 # How well rows sit in their clusters, by name: Euclidean and exact (quadratic, in blocks), on squared distances
 # (linear), or Euclidean against a sample of each cluster (linear).
 MEASURES = ("silhouette", "silhouette_squared", "silhouette_sampled")
@@ -149,9 +153,11 @@ def calinski_harabasz(summaries: DataFrame) -> DataFrame:
 
 def _distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     """Per left row and right cluster the sum of the distances."""
-    gaps = pairwise(unpack(a["vec"]), unpack(b["vec"]))
+    x, y = unpack(a["vec"]), unpack(b["vec"])
     clusters, place = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-    sums = gaps @ np.eye(len(clusters))[place]
+    member = np.eye(len(clusters))[place]
+    step = max(1, SUM_CELLS // len(b))
+    sums = np.concatenate([block_distances(x[at : at + step], y) @ member for at in range(0, len(a), step)])
     return pd.DataFrame(
         {
             "id": np.repeat(a["id"].to_numpy(), len(clusters)),
@@ -162,17 +168,19 @@ def _distance_sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def silhouette_rows(points: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette_rows(points: DataFrame, labels: DataFrame, block_rows: int = SUM_ROWS) -> DataFrame:
     """(id, silhouette) of every clustered row that is not alone, with negatives set to 0.
 
-    Each pair of row blocks is one small group that hands on sums per cluster, never pairs. The
+    Each pair of row blocks is one group that hands on sums per cluster, never pairs; a row is sent once
+    per block, so blocks are larger where rows are many. The
     arithmetic is still quadratic: use `silhouette_sampled` or `silhouette_squared` on large tables.
     """
     rows = points.join(labels.where("cluster >= 0"), "id").select(
         "id", "vec", F.col("cluster").cast("int").alias("cluster"), F.lit(0).alias("cell")
     )
     sizes = rows.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    blocks = blocks_for(rows.count(), block_rows)
+    n = rows.count()
+    blocks = max(blocks_for(n, block_rows), min(SUM_BLOCKS, blocks_for(n)))
     parts = block_pairs(rows, rows, (blocks, blocks), _distance_sums, "id long, own int, other int, s double")
     sums = parts.groupBy("id", "own", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
     mine = F.col("own") == F.col("other")

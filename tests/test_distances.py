@@ -1,9 +1,11 @@
 """Neighbours, clusters and anomalies against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabwright.functions.vectors import block_distances, pairwise
 from tabwright.operators import anomaly as A
 from tabwright.operators import cluster as K
 from tabwright.operators.projection import pca
@@ -218,3 +220,28 @@ def test_density_clusters_give_every_center_as_a_row(spark):
     found = K.dbscan(points, 2, eps=1.5)
     centers = {r.center[0]: (r.n, r.center[1]) for r in found.centers.collect()}
     assert centers == {float(g) * 100: (4, 1.5) for g in range(10)}
+
+
+def test_block_distances_are_those_gap_by_gap():
+    draw = np.random.default_rng(3)
+    a, b = draw.normal(1e4, 1, (40, 24)), draw.normal(1e4, 1, (50, 24))
+    b[:10] = a[:10]
+    b[10:20] = a[10:20] + 1e-6
+    found, wanted = block_distances(a, b), pairwise(a, b)
+    assert (np.abs(found - wanted) <= 1e-11 * wanted).all()
+    a[0, 0], b[0, 1] = np.inf, 1e200
+    with np.errstate(over="ignore", invalid="ignore"):
+        assert np.array_equal(block_distances(a, b), pairwise(a, b), equal_nan=True)
+
+
+def test_distance_sums_take_long_blocks_in_slices(monkeypatch):
+    """The left side is measured a few rows at a time, whatever its length."""
+    draw = np.random.default_rng(4)
+    frame = pd.DataFrame({"id": range(900), "vec": list(draw.normal(size=(900, 8))), "cluster": draw.integers(0, 3, 900)})
+    most = []
+    monkeypatch.setattr(K, "block_distances", lambda x, y: most.append(x.shape[0] * y.shape[0]) or block_distances(x, y))
+    sums = K._distance_sums(frame, frame)
+    assert max(most) <= K.SUM_CELLS
+    gaps = pairwise(np.array(list(frame["vec"])), np.array(list(frame["vec"])))
+    wanted = np.stack([gaps[:, frame["cluster"] == c].sum(axis=1) for c in range(3)], axis=1)
+    assert np.allclose(sums["s"].to_numpy().reshape(900, 3), wanted, rtol=1e-12)

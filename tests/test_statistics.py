@@ -108,3 +108,12 @@ def test_row_numbers_over_text_keys(spark):
     assert [(r.score, r.model_id) for r in sorted(found, key=lambda r: r.row_number)] == wanted
     byname = numbered(frame, [("model_id", True)], slices=8).collect()
     assert [r.model_id for r in sorted(byname, key=lambda r: r.row_number)] == sorted(r[1] for r in rows)
+
+
+def test_counts_around_cuts_with_blanks_and_nan(spark):
+    from tabwright.functions.statistics import _count_around
+
+    values = [None, float("nan"), -0.0, 0.0, 1.0, 1.0, 2.0, float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+    assert _count_around(rows, {"v": [0.0, 1.0, 5.0]}) == {("v", 0.0): (0, 2), ("v", 1.0): (2, 4), ("v", 5.0): (5, 5)}
+    assert _count_around(rows.where("false"), {"v": [0.0]}) == {("v", 0.0): (0, 0)}

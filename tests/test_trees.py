@@ -95,3 +95,27 @@ def test_saved_trees_score_alike(spark, table, tmp_path):
         _, again = saved_models.restore(spark, f"{tmp_path}/{algorithm}")
         one, two = ({r.row_id: r.prediction for r in m.predict(train).collect()} for m in (fitted, again))
         assert one == two and fitted.importance == again.importance
+
+
+def test_training_reads_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 5), float(i % 3)) for i in range(60)], "key long, a double, b double, y double")
+
+    def passed(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    T.fit_forest(rows.mapInPandas(passed, rows.schema), ["a", "b"], "y", False, max_depth=3)
+    assert seen.value == 60
+    T.fit_boosting(rows.mapInPandas(passed, rows.schema), ["a", "b"], "y", False, rounds=2, max_depth=2)
+    assert seen.value == 120
+
+
+def test_bins_stand_for_values(spark):
+    edges = [[0.0, 1.0, 2.5], [5.0]]
+    values = [(0.0, 5.0), (-0.0, 5.5), (2.6, None), (None, float("nan")), (1.5, -1.0)]
+    rows = spark.createDataFrame(values, "f0 double, f1 double").coalesce(1)
+    coded = T._binned(rows, 2, edges).toPandas()
+    assert T._matrix(coded, T._code_type(edges)).tolist() == [[0, 0], [0, 1], [3, 1], [3, 1], [2, 0]]
+    assert T._code_type([[float(i) for i in range(300)]]).endswith("u2")

@@ -245,3 +245,18 @@ def test_distance_sums_take_long_blocks_in_slices(monkeypatch):
     gaps = pairwise(np.array(list(frame["vec"])), np.array(list(frame["vec"])))
     wanted = np.stack([gaps[:, frame["cluster"] == c].sum(axis=1) for c in range(3)], axis=1)
     assert np.allclose(sums["s"].to_numpy().reshape(900, 3), wanted, rtol=1e-12)
+
+
+def test_visits_are_handed_on_in_bounded_frames():
+    import pandas as pd
+
+    from tabwright.operators import neighbors as N
+
+    draw = np.random.default_rng(4)
+    pivots, rows = draw.normal(size=(100, 32)), draw.normal(size=(2_000, 32))
+    frame = pd.DataFrame({"id": range(2_000), "vec": list(rows), "reach": np.inf})
+    made = list(N._visits(pivots, np.full(100, 9.0))([frame]))
+    assert max(len(f) for f in made) * 32 <= N.VISIT_NUMBERS
+    seen = pd.concat(made)
+    assert len(seen) == 2_000 * 99 and not seen.duplicated(["id", "cell"]).any()
+    assert all((v == rows[i]).all() for i, v in zip(seen["id"][::997], seen["vec"][::997], strict=True))

@@ -202,3 +202,19 @@ def test_word_weights_have_length_one_and_skip_common_words(spark):
     assert {"red", "fox", "red fox", "fox red", "blue fox", "green"} <= terms and "the" not in terms
     for i in (1, 2, 4):
         assert sum(r.weight**2 for r in rows if r.id == i) == pytest.approx(1.0)
+
+
+def test_candidate_counts_hold_the_whole_vocabulary(spark):
+    """Keys that repeat or are blank, words in nearly all texts, ties at the last place: as counting every term."""
+    words = [f"w{i * i % 31}" for i in range(400)]
+    texts = [(i // 2 if i % 9 else None, " ".join(["same", *words[i * 5 : i * 5 + 9], "same", "pair"])) for i in range(40)]
+    df = spark.createDataFrame([*texts, (99, None), (100, "")], "id long, t string")
+    n = df.count()
+    whole = W.term_counts(df, "id", "t")
+    for most, share in ((5, 0.95), (12, 0.4), (25, 0.95), (5_000, 0.95)):
+        wanted = W.vocabulary(whole, n, most, share)
+        held = W.candidate_counts(df, "id", "t", n, most, share)
+        assert {tuple(r) for r in W.vocabulary(held, n, most, share).collect()} == {tuple(r) for r in wanted.collect()}
+        kept = held.join(wanted.select("term"), "term").select("id", "term", "tf")
+        assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in whole.join(wanted.select("term"), "term").select("id", "term", "tf").collect()}
+    assert W.candidate_counts(df, "id", "t", n, 5, 0.95).select("term").distinct().count() < whole.select("term").distinct().count() / 4

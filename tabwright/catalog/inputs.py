@@ -164,8 +164,10 @@ def trained_on_orders(spark, folder):
 
 @query("residuals_of_best", "EVL-8", "EVL-7")
 def residuals_of_best(spark, folder):
+    """The price is a quantity, however often its values repeat in a large table."""
     df = table(spark, folder, "part")
-    return train(df, "p_retailprice", "p_partkey", algorithms=["ridge_regression", "random_forest"]).residuals
+    algorithms = ["ridge_regression", "random_forest"]
+    return train(df, "p_retailprice", "p_partkey", algorithms=algorithms, task="regression").residuals
 
 
 @query("decoded_predictions", "SCO-1", "FEA-2", "FEA-6")

@@ -17,6 +17,7 @@ from tabwright.operators.models import Fitted, rank_candidates
 from tabwright.operators.profile import problem_type
 
 MIN_ROWS = 4
+TASKS = ("regression", "classification")
 STEP_LOG = "step string, detail string"
 
 
@@ -54,15 +55,25 @@ class Prepared:
     target_min: float | None
 
 
-def prepare(df: DataFrame, target: str, key: str, config: Mapping[str, object] | None = None) -> Prepared:
-    """Clean, choose and encode features, detect the task, scale."""
+def prepare(
+    df: DataFrame, target: str, key: str, config: Mapping[str, object] | None = None, task: str | None = None
+) -> Prepared:
+    """Clean, choose and encode features, detect the task unless it is named, scale.
+
+    The detected task follows the share of distinct values, which falls as a table grows: a caller who
+    means "regression" or "classification" at any size says so.
+    """
+    if task not in (None, *TASKS):
+        raise ValueError(f"unknown task {task!r}")
     config = {**DEFAULT_CONFIG, **(config or {})}
     df = df.where(F.col(target).isNotNull())
-    task = problem_type(df, target).first()
-    if task.n_rows < MIN_ROWS:
+    detected = problem_type(df, target).first()
+    if detected.n_rows < MIN_ROWS:
         raise ValueError(f"at least {MIN_ROWS} rows are needed")
     cleaned, log = clean(df, config, keep=(key, target))
     encoder = fit_encoder(cleaned, target, keys=[key])
+    if task == "regression" and encoder.labels is not None:
+        raise ValueError(f"{target} holds no numbers")
     if not encoder.feature_names:
         raise ValueError("no usable feature is left")
     if config["scaling"] != "none":
@@ -70,7 +81,7 @@ def prepare(df: DataFrame, target: str, key: str, config: Mapping[str, object] |
         encoder.scales = fit_scale(plain, encoder.feature_names, config["scaling"])
     rows = encoder.training(cleaned, [key]).withColumnRenamed(f"key_{key}", "row_id")
     low = None if encoder.labels is not None else rows.agg(F.min("label")).first()[0]
-    return Prepared(rows, encoder, task.problem_type == "classification", log, low)
+    return Prepared(rows, encoder, (task or detected.problem_type) == "classification", log, low)
 
 
 @dataclass
@@ -92,9 +103,10 @@ def train(
     config: Mapping[str, object] | None = None,
     algorithms: Sequence[str] | None = None,
     folds: int = 0,
+    task: str | None = None,
 ) -> Training:
     """Prepare a table, split it 80/20 by key, fit and rank the learners, look at the best one's residuals."""
-    ready = prepare(df, target, key, config)
+    ready = prepare(df, target, key, config, task)
     train_rows, test_rows = train_test(ready.table, ["row_id"])
     board, learners = rank_candidates(
         train_rows, test_rows, ready.encoder.feature_names, ready.classification, algorithms, folds

@@ -181,3 +181,15 @@ def test_driver_entry(spark):
     out = entry.entry(spark)
     assert [r.status for r in out.collect()] == ["ok"] * 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_named_task_holds_where_values_repeat(spark):
+    """240 rows with 6 distinct prices look like classes; a caller who asks for regression gets residuals."""
+    rows = [(i, float(i % 6), 900.1 + 10 * (i % 6)) for i in range(240)]
+    df = spark.createDataFrame(rows, "k long, size double, price double")
+    found = train(df, "price", "k", algorithms=["ridge_regression"], task="regression")
+    assert found.residuals is not None and found.residuals.count() == 1 and not found.prepared.classification
+    with pytest.raises(ValueError):
+        train(df, "price", "k", algorithms=["ridge_regression"], task="ranking")
+    with pytest.raises(ValueError):
+        train(df.withColumn("price", F.concat(F.lit("p"), "price")), "price", "k", algorithms=["ridge_regression"], task="regression")

@@ -260,3 +260,44 @@ def test_visits_are_handed_on_in_bounded_frames():
     seen = pd.concat(made)
     assert len(seen) == 2_000 * 99 and not seen.duplicated(["id", "cell"]).any()
     assert all((v == rows[i]).all() for i, v in zip(seen["id"][::997], seen["vec"][::997], strict=True))
+
+
+def brute_silhouettes(matrix, labels):
+    """Per clustered row that is not alone; negatives are 0."""
+    d, out = distances(matrix), {}
+    for i in np.flatnonzero(labels >= 0):
+        mine = (labels == labels[i]) & (np.arange(len(labels)) != i)
+        others = set(labels.tolist()) - {-1, int(labels[i])}
+        if mine.any() and others:
+            a, b = d[i, mine].mean(), min(d[i, labels == c].mean() for c in others)
+            out[int(i)] = (b - a) / b if b > a else 0.0
+    return out
+
+
+def test_silhouette_of_many_clusters_hands_on_least_means(spark):
+    """Two large clusters, which blocks share, 300 small ones, some rows alone or noise."""
+    draw = np.random.default_rng(6)
+    labels = np.array([0] * 70 + [1] * 45 + [2 + i // 2 for i in range(600)] + [400, 401, -1, -1])
+    matrix = draw.normal(size=(len(labels), 2)) + np.maximum(labels, 0)[:, None] % 17
+    marks = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "id long, cluster int")
+    got = {r.id: r.silhouette for r in K.silhouette_rows(frame(spark, matrix), marks, block_rows=60).collect()}
+    assert got == pytest.approx(brute_silhouettes(matrix, labels))
+    right = pd.DataFrame({"id": range(600), "vec": list(matrix[115:715]), "cluster": labels[115:715], "n": 2})
+    left = right.drop(columns="n")
+    assert len(K._nearest_means(left, right)) == 2 * len(left)  # its own sum and the least mean, not 300 sums
+
+
+def test_silhouettes_of_several_groupings_take_distances_once(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    matrix = draw.normal(size=(150, 2))
+    every = [draw.integers(-1, k, 150) for k in (2, 3, 5)]
+    points = frame(spark, matrix)
+    marks = [spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "id long, cluster int") for labels in every]
+    passes, pairs = [], K.block_pairs
+    monkeypatch.setattr(K, "block_pairs", lambda *given, **named: passes.append(1) or pairs(*given, **named))
+    found = K.silhouette_means(points, marks, block_rows=40)
+    assert len(passes) == 1
+    wanted = [np.mean(list(brute_silhouettes(matrix, labels).values())) for labels in every]
+    assert found == pytest.approx(wanted)
+    twice = points.unionByName(points)  # repeated ids are measured one grouping at a time, as before
+    assert K.silhouette_means(twice, marks[:2]) == pytest.approx([K.silhouette(twice, m).first().silhouette for m in marks[:2]])

@@ -131,3 +131,19 @@ def test_pipeline(spark, sf):
     mixed = corpus_pipeline.mix_sources(spark, docs, sf)
     assert mixed.count() == mixed.select("doc_id").distinct().count() > 0
     assert mixed.where(F.col("taken") > 2 * F.col("size")).count() == 0
+
+
+def test_context_mixing_scores_a_word_once_for_a_window_of_texts(monkeypatch):
+    draw = np.random.default_rng(2)
+    code = context_mixing.make_code(draw.integers(0, 50, (256, 256)))
+    tables = tuple(draw.integers(-3_000, 3_000, 1 << b).astype(np.int16) for b in context_mixing.table_bits(15))
+    model = context_mixing.Model(code, 15, tables, np.full((context_mixing.GATES, 5), 0.2, dtype=np.float32))
+    texts = [b"one two three", b"two three four", b"", b"four One one"]
+    alone = [context_mixing._bits_of(model, [text]) for text in texts]
+    asked, real = [], context_mixing._word_bits
+    monkeypatch.setattr(context_mixing, "GROUP_BYTES", 1)
+    monkeypatch.setattr(context_mixing, "_word_bits", lambda m, words: asked.extend(words) or real(m, words))
+    bits, sizes, hashes = context_mixing._bits_of(model, texts)
+    assert sorted(asked) == [b"\n", b"four ", b"one ", b"three ", b"two "]
+    assert np.allclose(bits, [float(a[0][0]) for a in alone], rtol=1e-9) and sizes.tolist() == [15, 16, 1, 14]
+    assert [len(own) for own in hashes] == [3, 3, 0, 3]

@@ -218,3 +218,24 @@ def test_candidate_counts_hold_the_whole_vocabulary(spark):
         kept = held.join(wanted.select("term"), "term").select("id", "term", "tf")
         assert {tuple(r) for r in kept.collect()} == {tuple(r) for r in whole.join(wanted.select("term"), "term").select("id", "term", "tf").collect()}
     assert W.candidate_counts(df, "id", "t", n, 5, 0.95).select("term").distinct().count() < whole.select("term").distinct().count() / 4
+
+
+def test_learners_get_few_partitions(spark, monkeypatch):
+    seen = []
+    plain = M.Pipeline.fit
+
+    def watched(self, df, *rest):
+        seen.append(df.rdd.getNumPartitions())
+        return plain(self, df, *rest)
+
+    monkeypatch.setattr(M.Pipeline, "fit", watched)
+    df = spark.range(60).select((F.col("id") * 1.0).alias("x"), (F.col("id") * 2.0).alias("label")).repartition(40)
+    M.fit("decision_tree", df, ["x"], False, {"maxDepth": 2})
+    assert seen and seen[0] <= spark.sparkContext.defaultParallelism
+    assert M.gathered(df, M.PARTITION_NUMBERS, 20).rdd.getNumPartitions() == 20
+
+
+def test_text_matrix_with_repeats_and_nulls(spark):
+    rows = [(1, "a", 0.5), (1, "a", 0.25), (1, "b", None), (2, None, 1.0), (None, "b", 2.0), (3, "z", 1.0)]
+    found = W.text_matrix(spark.createDataFrame(rows, "doc_id long, term string, weight double"), "doc_id", ["a", "b"])
+    assert {tuple(r) for r in found.collect()} == {(1, 0.75, 0.0), (2, 0.0, 0.0), (None, 0.0, 2.0), (3, 0.0, 0.0)}

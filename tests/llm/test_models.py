@@ -7,6 +7,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -147,3 +149,48 @@ def test_context_mixing_scores_a_word_once_for_a_window_of_texts(monkeypatch):
     assert sorted(asked) == [b"\n", b"four ", b"one ", b"three ", b"two "]
     assert np.allclose(bits, [float(a[0][0]) for a in alone], rtol=1e-9) and sizes.tolist() == [15, 16, 1, 14]
     assert [len(own) for own in hashes] == [3, 3, 0, 3]
+
+
+def test_context_mixing_predicts_a_word_from_the_one_before():
+    """Shares of pairs, and scores of texts, against brute force; three parts, and a word whose pairs lie in all of them."""
+    taught = [b"a b c", b"a b d", b"c a b", b"d d d", b"a", b"", None, b"e b a", b"a b"]
+    asked = [b"a b c", b"c b a", b"d d", b"x a", b"", b"b c a", b"a x"]
+    pairs = collections.Counter(p for t in taught for p in itertools.pairwise([b"", *(t or b"").split(), b"\n"]))
+    short = lambda text: context_mixing._hashed([text])[0] >> np.uint64(32)
+    routes = context_mixing.Routes(3, np.sort(np.concatenate([short(b"a"), [np.uint64(context_mixing.BEGIN_HASH)]])))
+    batch = lambda texts: pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.binary()), "partition": [0] * len(texts)})
+    blocks = pa.Table.from_batches([*context_mixing._taught_pairs(routes)([batch(taught[:4]), batch(taught[4:])]), *context_mixing._asked(routes)([batch(asked)])])
+    answers = []
+    for part in blocks["part"].unique().to_pylist():
+        answers += context_mixing._answered(routes)(blocks.filter(pc.equal(blocks["part"], part))).to_pylist()
+    sums = [r for r in answers if r["window"] == context_mixing.TAUGHT]
+    once, twice = (sum(r[name] for r in sums) for name in ("once", "twice"))
+    assert (once, twice) == tuple(sum(c == n for c in pairs.values()) for n in (1, 2))
+    totals, kinds = (np.array([sum(h[f] for r in sums for h in r["hot"] if h["name"] == n) for n in routes.hot.tolist()]) for f in ("total", "kinds"))
+    follow = context_mixing.Follow(routes, 0.6, totals, kinds)
+    code = context_mixing.make_code(np.random.default_rng(2).integers(0, 50, (256, 256)))
+    tables = tuple(np.random.default_rng(3).integers(-3_000, 3_000, 1 << b).astype(np.int16) for b in context_mixing.table_bits(15))
+    model = context_mixing.Model(code, 15, tables, np.full((context_mixing.GATES, 5), 0.2, dtype=np.float32))
+    held = [r for r in answers if r["window"] != context_mixing.TAUGHT]
+    bits, _, _ = context_mixing._bits_of(model, asked, lambda keys: context_mixing._pair_answers(follow, held, keys))
+    for text, found in zip(asked, bits, strict=True):
+        total = np.zeros(len(context_mixing.SHARPNESS))
+        for before, word in itertools.pairwise([b"", *text.split(), b"\n"]):
+            own = context_mixing._word_bits(model, [word if word == b"\n" else word + b" "])[0]
+            after = {k[1]: c for k, c in pairs.items() if k[0] == before}
+            n = sum(after.values())
+            share, left = (max(after.get(word, 0) - 0.6, 0) / n, 0.6 * len(after) / n) if n else (0.0, 1.0)
+            total -= np.log2(share + left * 2**-own)
+        assert abs(found + np.log2(np.exp2(-total).mean())) < 1e-6 * found
+
+
+def test_context_mixing_knows_the_order_of_words(spark, monkeypatch):
+    """The same words score apart in another order; several parts and frequent words change nothing."""
+    lines = ["the cat sat on the mat", "a cat sat on a chair", "the dog lay on the mat", "the cat sat on the chair"] * 3
+    train = spark.createDataFrame([*enumerate(lines)], "doc_id long, text string").repartition(3)
+    docs = spark.createDataFrame([(0, "the cat sat on the mat"), (1, "mat the on sat cat the"), (2, "")], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in context_mixing.score(docs, train).collect()}
+    assert found[0] > found[1] + 2
+    monkeypatch.setattr(context_mixing, "PART_TOKENS", 8)
+    again = {r.doc_id: r.score for r in context_mixing.score(docs, train).collect()}
+    assert all(abs(again[i] - found[i]) < 1e-9 * abs(found[i]) for i in found)

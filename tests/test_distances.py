@@ -301,3 +301,28 @@ def test_silhouettes_of_several_groupings_take_distances_once(spark, monkeypatch
     assert found == pytest.approx(wanted)
     twice = points.unionByName(points)  # repeated ids are measured one grouping at a time, as before
     assert K.silhouette_means(twice, marks[:2]) == pytest.approx([K.silhouette(twice, m).first().silhouette for m in marks[:2]])
+
+
+@pytest.mark.parametrize("numbers", [4_000_000, 2_000])
+def test_long_vectors_are_searched_in_one_pass_of_the_base(spark, monkeypatch, numbers):
+    """Cells rule out nothing, so no visits are sent; copies, ties and far rows are found as by brute force."""
+    draw = np.random.default_rng(8)
+    points = np.concatenate([draw.normal(size=(340, 24)), np.repeat(draw.integers(0, 2, (5, 24)), 6, axis=0), [np.full(24, 40.0)]])
+    import tabwright.operators.neighbors as N
+
+    streams, stream = [], N.streamed
+    monkeypatch.setattr(N, "ROWS_PER_PIVOT", 1)
+    monkeypatch.setattr(N, "streamed", lambda *given: streams.append(1) or stream(*given, piece_rows=50))
+    monkeypatch.setattr(N, "STREAM_NUMBERS", numbers)
+    got = nearest(frame(spark, points), frame(spark, points), 5, same=True, block_rows=10, max_pivots=16).collect()
+    assert streams
+    gaps = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
+    ids = np.array([r.id for r in frame(spark, points).orderBy("id").collect()])
+    wanted = {}
+    for i, row in enumerate(gaps):
+        order = [j for j in np.lexsort((ids, np.round(row, 9))) if j != i][:5]
+        wanted[ids[i]] = [(ids[j], pytest.approx(row[j])) for j in order]
+    found = {i: [] for i in wanted}
+    for r in sorted(got, key=lambda r: (r.id, r["rank"])):
+        found[r.id].append((r.neighbor, r.distance))
+    assert found == wanted

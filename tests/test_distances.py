@@ -326,3 +326,21 @@ def test_long_vectors_are_searched_in_one_pass_of_the_base(spark, monkeypatch, n
     for r in sorted(got, key=lambda r: (r.id, r["rank"])):
         found[r.id].append((r.neighbor, r.distance))
     assert found == wanted
+
+
+def test_silhouettes_of_many_rows_are_summed_in_a_stream(spark, monkeypatch):
+    """Beyond some blocks no sums per pair of blocks are handed on; repeated and missing ids come out as before."""
+    draw = np.random.default_rng(9)
+    cuts = np.repeat(np.arange(140), 5)
+    matrix = np.concatenate([draw.normal(size=(690, 2)), draw.normal(size=(10, 2)) + 9])
+    points = frame(spark, matrix).withColumn("id", F.when(F.col("id") == 5, 4).when(F.col("id") != 7, F.col("id")))
+    for labels, clusters in ((draw.integers(-1, 4, 700), 4), (np.where(cuts > 120, 3, cuts), 121)):
+        marks = spark.createDataFrame([(i, int(c)) for i, c in enumerate(labels)], "id long, cluster int")
+        monkeypatch.setattr(K, "MAX_SUMS", 100)
+        paired = {r.id: r.silhouette for r in K.silhouette_rows(points, marks, block_rows=350).collect()}
+        handed, stream = [], K.streamed
+        monkeypatch.setattr(K, "streamed", lambda *given: handed.append(stream(*given)) or handed[-1])
+        found = {r.id: r.silhouette for r in K.silhouette_rows(points, marks, block_rows=40).collect()}
+        monkeypatch.setattr(K, "streamed", stream)
+        assert found == pytest.approx(paired)
+        assert handed[0].count() <= 700  # one row each, not one per block

@@ -239,3 +239,30 @@ def test_text_matrix_with_repeats_and_nulls(spark):
     rows = [(1, "a", 0.5), (1, "a", 0.25), (1, "b", None), (2, None, 1.0), (None, "b", 2.0), (3, "z", 1.0)]
     found = W.text_matrix(spark.createDataFrame(rows, "doc_id long, term string, weight double"), "doc_id", ["a", "b"])
     assert {tuple(r) for r in found.collect()} == {(1, 0.75, 0.0), (2, 0.0, 0.0), (None, 0.0, 2.0), (3, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize("classification", [False, True])
+def test_depths_of_a_tuned_tree_share_one_tree(spark, monkeypatch, classification):
+    """Scores are those of a tree grown for each combination; one is grown for each number of least rows."""
+    draw = np.random.default_rng(4)
+    xs = draw.normal(size=(400, 3))
+    ys = np.sin(3 * xs[:, 0]) + xs[:, 1] ** 2 + draw.normal(scale=0.1, size=400)
+    ys = (ys > 0.8).astype(float) if classification else ys
+    rows = [(i, *map(float, x), float(y)) for i, (x, y) in enumerate(zip(xs, ys, strict=True))]
+    rows.append((400, float("nan"), None, 0.5, 1.0))
+    df = spark.createDataFrame(rows, "row_id long, `a b` double, b double, c double, label double").repartition(3)
+    train, test = df.where("row_id % 4 > 0"), df.where("row_id % 4 = 0")
+    names = ["a b", "b", "c"]
+    grid = [{"maxDepth": d, "minSamples": m} for d, m in ((2, 2), (7, 2), (4, 3), (5, 20), (2, 20), (25, 2))] + [{"maxDepth": 40, "minSamples": 9}]
+    measure = E.classification_metrics if classification else E.regression_metrics
+    wanted = {}
+    for number, params in enumerate(grid[:-1]):
+        held = measure(M.fit("decision_tree", train, names, classification, params).predict(test), "label", "prediction")
+        wanted[number] = held.first()["accuracy" if classification else "r2"]
+    grown, fit = [], M.fit
+    monkeypatch.setattr(M, "fit", lambda *given: grown.append(given[4]) or fit(*given))
+    tuning = M.tune("decision_tree", train, test, names, classification, grid)
+    assert len([g for g in grown if g["maxDepth"] < 40]) == 2
+    found = {r.trial: r.score for r in tuning.trials.collect()}
+    assert found.pop(6) == float("-inf")
+    assert found == pytest.approx(wanted)
